@@ -1,8 +1,8 @@
 """SQL that gives the same rows as the queries of this subpackage, where SQL can."""
 
-FILLED = """regexp_matches(lower(trim(regexp_replace(v, '[\\s\\u00a0]+', ' ', 'g'))), '[\\p{L}\\p{N}]')
+FILLED = """regexp_matches(lower(trim(regexp_replace(v, '[\\s\\x{00a0}]+', ' ', 'g'))), '[\\p{L}\\p{N}]')
     AND NOT regexp_matches(lower(trim(v)), '^x+$')
-    AND lower(trim(regexp_replace(v, '[\\s\\u00a0]+', ' ', 'g'))) NOT IN
+    AND lower(trim(regexp_replace(v, '[\\s\\x{00a0}]+', ' ', 'g'))) NOT IN
         ('n/a', 'na', 'nil', 'none', 'null', 'unknown', 'not known', 'not available', 'tbc', 'tba', 'xxx', 'no email', 'no phone', 'none@none')"""
 
 P4_FOUND = f"""
