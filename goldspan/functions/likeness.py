@@ -31,7 +31,7 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
     if not left:
         return 0.0
     right = [b[j] for j, t in enumerate(taken) if t]
-    swaps = sum(x != y for x, y in zip(left, right)) / 2
+    swaps = sum(x != y for x, y in zip(left, right)) // 2
     m = len(left)
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     if jaro <= 0.7:
