@@ -16,7 +16,10 @@ from goldspan.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-DAY_FIRST = F.col("source_system").isin(*S.DAY_FIRST_SOURCES)
+
+
+def day_first():
+    return F.col("source_system").isin(*S.DAY_FIRST_SOURCES)
 
 
 def query(sql: str | None = None):
@@ -194,13 +197,13 @@ def _date_sql(c: str, first: str) -> str:
 
 @query(f"SELECT source_system, source_key, {_date_sql('birth_date', 'source_system = ' + chr(39) + 'student_records' + chr(39))} AS born FROM person_records")
 def std_date_orders(spark, d):
-    return table(spark, d, "person_records").select("source_system", "source_key", S.iso_date("birth_date", DAY_FIRST).alias("born"))
+    return table(spark, d, "person_records").select("source_system", "source_key", S.iso_date("birth_date", day_first()).alias("born"))
 
 
 @query(f"""SELECT source_system, count(*) AS n FROM (SELECT source_system, {_date_sql('birth_date', 'source_system = ' + chr(39) + 'student_records' + chr(39))} AS b FROM person_records)
     WHERE b = '1900-01-01' OR (source_system = 'student_records' AND b LIKE '%-01-01') GROUP BY 1""")
 def placeholder_dates(spark, d):
-    iso = S.iso_date("birth_date", DAY_FIRST)
+    iso = S.iso_date("birth_date", day_first())
     rows = table(spark, d, "person_records").select("source_system", iso.alias("b"))
     return rows.where(S.is_placeholder_date(F.col("b"), F.col("source_system"))).groupBy("source_system").agg(F.count(F.lit(1)).alias("n"))
 
@@ -420,7 +423,7 @@ _PEOPLE = f"SELECT source_system || ':' || source_key AS rec, {_BORN} AS born, n
 SELECT left_rec, right_rec, {_level_sql("born", "(substr(l_born, 1, 4) = substr(r_born, 1, 4) AND substr(l_born, 6, 2) = substr(r_born, 9, 2) AND substr(l_born, 9, 2) = substr(r_born, 6, 2)) OR levenshtein(l_born, r_born) = 1", "substr(l_born, 1, 4) = substr(r_born, 1, 4)")} AS level
 FROM (SELECT a.rec AS left_rec, b.rec AS right_rec, a.born AS l_born, b.born AS r_born FROM k a JOIN g USING (key) JOIN k b ON a.key = b.key AND a.rec < b.rec)""")
 def cmp_date(spark, d):
-    p = table(spark, d, "person_records").select(F.concat_ws(":", "source_system", "source_key").alias("rec"), S.iso_date("birth_date", DAY_FIRST).alias("born"), F.regexp_replace("phone", r"\D", "").alias("phone"))
+    p = table(spark, d, "person_records").select(F.concat_ws(":", "source_system", "source_key").alias("rec"), S.iso_date("birth_date", day_first()).alias("born"), F.regexp_replace("phone", r"\D", "").alias("phone"))
     k = pairs.blocking_keys(p.where("length(phone) >= 8"), "rec", {"phone": [F.right("phone", F.lit(8))]})
     met = pairs.candidate_pairs(k, "rec").select("left_rec", "right_rec")
     met = met.join(p.select(F.col("rec").alias("left_rec"), F.col("born").alias("l_born")), "left_rec").join(p.select(F.col("rec").alias("right_rec"), F.col("born").alias("r_born")), "right_rec")
