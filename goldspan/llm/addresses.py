@@ -43,7 +43,7 @@ UNIT = re.compile(r"\b(?:flat|apartment|apt|appartement|appt|app|unit|wohnung|wh
 NUMBER = re.compile(r"(?:#|\bno\b\.?|\bnr\b\.?|n°)?\s*\b(\d{1,5})(?:\s*-?\s*([a-f])(?![a-z0-9]))?\b")
 POSTCODE = re.compile(r"\b([a-z]{2}\d{1,2})[\s-]?(\d[a-z]{2})\b|\b(\d{5})\b")
 #: What an address must reach in cosine similarity; names are then compared once more.
-THRESHOLD = 0.35
+THRESHOLD = 0.2
 
 
 def _plain(text: str | None) -> str:
