@@ -10,10 +10,8 @@ record is assigned to one record at most, so that the total confidence is larges
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -80,25 +78,6 @@ def _firm_keys(t: dict) -> list[str]:
     return out
 
 
-def _signature(t: dict) -> list[int]:
-    """A number for each trait, 0 where it is silent: the strong ones, then those of GROUPS."""
-    words = t["family"].split()
-    born = t["born"]
-    firm = not t["given"]
-    fine = [c for c in t["codes"] if firm or not c.isdigit()]  # a code of digits names a whole town
-    told = (
-        t["email"], t["phone"], t["ident"], " ".join(sorted(x[:5] for x in (t["given"], t["family"]) if x) if t["given"] else sorted(words)),
-        t["given"][:3], t["family"][:4], max(words, key=len, default=""), born[:4] + "".join(sorted((born[4:6], born[6:]))), born[4:],
-        t["houses"][0] if t["houses"] else "", fine[0] if fine else "", fine[-1] if len(fine) > 1 else t["town"][:5] if firm else "",
-    )
-    return [zlib.crc32(x.encode()) & 0x7FFFFFFF if x else 0 for x in told]
-
-
-#: How many traits of a signature stand alone as evidence worth a comparison, and the groups of others of which two must agree in some trait.
-STRONG = 4
-GROUPS = ((4,), (5, 6), (7, 8), (9, 10, 11))
-
-
 @dataclass(frozen=True)
 class Kind:
     """How one kind of entity is read, sorted, compared and weighed."""
@@ -149,7 +128,7 @@ _TYPES = [pa.list_(pa.string()) if f in ("houses", "codes") else pa.string() for
 
 
 def _read(records: DataFrame, kind: Kind) -> DataFrame:
-    """rec, system, the traits, sort keys and signature of every record with both parts of its key."""
+    """rec, system, the traits and sort keys of every record with both parts of its key."""
     rows = records.where("source_system is not null and source_key is not null")
     rows = spread(rows.select("source_system", "source_key", *kind.columns), True) if not rows.isEmpty() else rows.select("source_system", "source_key", *kind.columns)
 
@@ -162,19 +141,22 @@ def _read(records: DataFrame, kind: Kind) -> DataFrame:
                 told.append(kind.read(r))
             columns = [pa.array(recs, pa.string()), pa.array(systems, pa.string())]
             columns += [pa.array([t[f] for t in told], ty) for f, ty in zip(FIELDS, _TYPES)]
-            columns += [pa.array([kind.keys(t) for t in told], pa.list_(pa.string())), pa.array([_signature(t) for t in told], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["rec", "system", *FIELDS, "keys", "sig"])
+            columns.append(pa.array([kind.keys(t) for t in told], pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays(columns, ["rec", "system", *FIELDS, "keys"])
+
+    return rows.mapInArrow(read, f"rec string, system string, {TRAITS}, keys array<string>").dropDuplicates(["rec"])
 
-    return rows.mapInArrow(read, f"rec string, system string, {TRAITS}, keys array<string>, sig array<int>").dropDuplicates(["rec"])
 
+def _levels(compare: Callable[[dict, dict], tuple[int, ...]], x: dict, y: dict) -> str:
+    return "".join(map(str, compare(x, y)))
 
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    same = (a == b) & (a != 0)
-    return same[:, :STRONG].any(axis=1) | (sum(same[:, list(g)].any(axis=1).astype(int) for g in GROUPS) >= 2)
 
+def neighbours(keyed: DataFrame, space: Workspace, window: int = WINDOW, compare: Callable[[dict, dict], tuple[int, ...]] | None = None) -> DataFrame:
+    """a, b of all rows of ``keyed`` (id, pass, key) less than ``window`` apart in the order of a pass.
 
-def neighbours(keyed: DataFrame, space: Workspace, window: int = WINDOW) -> DataFrame:
-    """a, b of all rows of ``keyed`` (id, pass, key, sig) less than ``window`` apart in the order of a pass, where their signatures agree enough.
+    With ``compare``, keyed has the traits ``told`` as well, and every pair its
+    levels: pairs are compared where the window meets them, so traits travel once
+    for each key and not once for each pair.
 
     The order is cut into ranges that are windowed apart from each other; pairs
     that reach over a cut come from the ends of the ranges, by their place in the
@@ -182,17 +164,17 @@ def neighbours(keyed: DataFrame, space: Workspace, window: int = WINDOW) -> Data
     """
     spark = keyed.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = keyed.repartitionByRange(width, "pass", "key", "id").sortWithinPartitions("pass", "key", "id").select("id", "pass", "sig")
-    out = pa.schema([("what", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("pos", pa.int64()), ("pass", pa.string()), ("sig", pa.list_(pa.int32()))])
+    order = keyed.repartitionByRange(width, "pass", "key", "id").sortWithinPartitions("pass", "key", "id").select("id", "pass", *(["told"] if compare else []))
+    out = pa.schema([("what", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("levels", pa.string()), ("part", pa.int32()), ("pos", pa.int64()), ("pass", pa.string())])
 
     def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
-        ids, passes, sigs = np.empty(0, np.int64), np.empty(0, object), None
+        ids, passes, told = np.empty(0, np.int64), np.empty(0, object), []
 
-        def rows(what: int, a, b, pos, ps, sig) -> pa.RecordBatch:
+        def rows(what: int, a, b, levels, pos, ps) -> pa.RecordBatch:
             k = len(a)
             return pa.RecordBatch.from_arrays(
-                [pa.array([what] * k, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([part] * k, pa.int32()), pa.array(pos, pa.int64()), pa.array(ps, pa.string()), pa.array(sig, pa.list_(pa.int32()))],
+                [pa.array([what] * k, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(levels, pa.string()), pa.array([part] * k, pa.int32()), pa.array(pos, pa.int64()), pa.array(ps, pa.string())],
                 schema=out,
             )
 
@@ -202,52 +184,61 @@ def neighbours(keyed: DataFrame, space: Workspace, window: int = WINDOW) -> Data
                 continue
             new_ids = batch.column(0).to_numpy(zero_copy_only=False)
             new_passes = np.array(batch.column(1).to_pylist(), dtype=object)
-            new_sigs = np.array(batch.column(2).to_pylist(), dtype=np.int64)
             old = len(ids)
             ids, passes = np.concatenate([ids, new_ids]), np.concatenate([passes, new_passes])
-            sigs = new_sigs if sigs is None else np.concatenate([sigs, new_sigs])
+            if compare:
+                told = told + batch.column(2).to_pylist()
             if headed < window - 1:
                 k = min(window - 1 - headed, len(new_ids))
-                yield rows(1, new_ids[:k], [None] * k, list(range(headed, headed + k)), list(new_passes[:k]), [list(map(int, s)) for s in new_sigs[:k]])
+                yield rows(1, new_ids[:k], [None] * k, [None] * k, list(range(headed, headed + k)), list(new_passes[:k]))
                 headed += k
             for d in range(1, window):
                 lo = max(old - d, 0)  # the later row of each pair is new
                 if len(ids) - d <= lo:
                     continue
                 x, y = slice(lo, len(ids) - d), slice(lo + d, len(ids))
-                ok = (passes[x] == passes[y]) & (ids[x] != ids[y]) & _agree(sigs[x], sigs[y])
-                if ok.any():
-                    a, b = ids[x][ok], ids[y][ok]
-                    k = len(a)
-                    yield rows(0, np.minimum(a, b), np.maximum(a, b), [None] * k, [None] * k, [None] * k)
+                at = np.flatnonzero((passes[x] == passes[y]) & (ids[x] != ids[y])) + lo
+                if len(at):
+                    i, j = np.where(ids[at] < ids[at + d], at, at + d), np.where(ids[at] < ids[at + d], at + d, at)
+                    levels = [_levels(compare, told[p], told[q]) for p, q in zip(i.tolist(), j.tolist())] if compare else [None] * len(at)
+                    yield rows(0, ids[i], ids[j], levels, [None] * len(at), [None] * len(at))
             n += len(new_ids)
             keep = min(window - 1, len(ids))
-            ids, passes, sigs = ids[-keep:] if keep else ids[:0], passes[-keep:] if keep else passes[:0], sigs[-keep:] if keep else sigs[:0]
+            ids, passes, told = ids[-keep:] if keep else ids[:0], passes[-keep:] if keep else passes[:0], told[-keep:] if keep else []
         if n:
             tail = [k for k in range(len(ids)) if n - len(ids) + k >= headed]
             if tail:
-                yield rows(1, ids[tail], [None] * len(tail), [n - len(ids) + k for k in tail], list(passes[tail]), [list(map(int, sigs[k])) for k in tail])
-            yield rows(2, [0], [None], [n], [None], [None])
+                yield rows(1, ids[tail], [None] * len(tail), [None] * len(tail), [n - len(ids) + k for k in tail], list(passes[tail]))
+            yield rows(2, [0], [None], [None], [n], [None])
 
-    found = space.save(order.mapInArrow(slide, "what int, a bigint, b bigint, part int, pos bigint, pass string, sig array<int>"), "windows")
+    found = space.save(order.mapInArrow(slide, "what int, a bigint, b bigint, levels string, part int, pos bigint, pass string"), "windows")
     sizes = {r.part: r.pos for r in found.where("what = 2").select("part", "pos").collect()}  # a row for each range
     offsets, total = [], 0
     for part in sorted(sizes):
         offsets.append((part, total))
         total += sizes[part]
     at = spark.createDataFrame(offsets, "part int, first bigint")
-    ends = found.where("what = 1").join(F.broadcast(at), "part").select(F.col("a").alias("id"), "pass", "sig", "part", (F.col("first") + F.col("pos")).alias("place"))
-    later = ends.select(F.col("id").alias("id2"), F.col("pass").alias("pass2"), F.col("sig").alias("sig2"), F.col("part").alias("part2"), F.col("place").alias("place2"))
+    ends = found.where("what = 1").join(F.broadcast(at), "part").select(F.col("a").alias("id"), "pass", "part", (F.col("first") + F.col("pos")).alias("place"))
+    later = ends.select(F.col("id").alias("id2"), F.col("pass").alias("pass2"), F.col("part").alias("part2"), F.col("place").alias("place2"))
     reach = ends.withColumn("place2", F.explode(F.sequence(F.col("place") + 1, F.col("place") + window - 1)))
-    at = lambda k: F.coalesce((F.get("sig", F.lit(k)) == F.get("sig2", F.lit(k))) & (F.get("sig", F.lit(k)) != 0), F.lit(False))
-    some = lambda ks: reduce(lambda x, y: x | y, map(at, ks))
     over = (
         reach.join(later, "place2")
         .where("part <> part2 and pass = pass2 and id <> id2")
-        .where(some(range(STRONG)) | (sum(some(g).cast("int") for g in GROUPS) >= 2))
         .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
     )
-    return found.where("what = 0").select("a", "b").unionAll(over).distinct()
+    inside = found.where("what = 0")
+    if compare is None:
+        return inside.select("a", "b").unionAll(over).distinct()
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels = [_levels(compare, x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(levels, pa.string())], ["a", "b", "levels"])
+
+    # Few: less than window * window for each cut. A record tells the same under all its keys.
+    of = lambda end, name: keyed.select(F.col("id").alias(end), F.col("told").alias(name)).join(F.broadcast(over.select(end).distinct()), end, "left_semi").dropDuplicates([end])
+    joined = over.distinct().join(of("a", "l"), "a").join(of("b", "r"), "b").select("a", "b", "l", "r")
+    return inside.select("a", "b", "levels").unionAll(joined.mapInArrow(finish, "a bigint, b bigint, levels string")).distinct()
 
 
 def _terms(kind: Kind, levels: tuple[int, ...]) -> list[str]:
@@ -300,20 +291,9 @@ def confidence(kind: Kind, weights: dict[str, float], levels: tuple[int, ...]) -
 
 
 def scored(read: DataFrame, pairs: DataFrame, kind: Kind, space: Workspace) -> DataFrame:
-    """a, b, confidence, sa and sb (the sources) of every pair of at least LINK; the weights are fitted on all labelled pairs."""
+    """a, b, confidence, sa and sb (the sources) of every pair (a, b, levels) of at least LINK; the weights are fitted on all labelled pairs."""
     spark = read.sparkSession
-    left = read.select(F.col("id").alias("a"), F.struct("system", *FIELDS).alias("l"))
-    right = read.select(F.col("id").alias("b"), F.struct("system", *FIELDS).alias("r"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            l, r = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            levels = [kind.compare(x, y) for x, y in zip(l, r)]
-            code = pa.array(["".join(map(str, v)) for v in levels], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x["system"] for x in l], pa.string()), pa.array([y["system"] for y in r], pa.string()), code], ["a", "b", "sa", "sb", "levels"])
-
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "l", "r")
-    compared = space.save(joined.mapInArrow(compare, "a bigint, b bigint, sa string, sb string, levels string"), "compared")
+    compared = space.save(pairs, "compared")
     # Distinct combinations of levels: 6 * 6 * 7 * 5 * 4 * 5 * 5 * 3 at most.
     patterns = {r.levels: r.n for r in compared.groupBy("levels").agg(F.count(F.lit(1)).alias("n")).collect()}
     at = traits.PERSON_FIELDS.index("ident")
@@ -324,7 +304,9 @@ def scored(read: DataFrame, pairs: DataFrame, kind: Kind, space: Workspace) -> D
             labelled.setdefault(levels[:at] + (0,) + levels[at + 1 :], [0, 0])[int(levels[at] == 1)] += n
     weights = fit(kind, [(lv, *n) for lv, n in sorted(labelled.items())])
     sure = [(code, c) for code in patterns if (c := confidence(kind, weights, tuple(map(int, code)))) >= LINK]
-    return compared.join(F.broadcast(spark.createDataFrame(sure, "levels string, confidence double")), "levels").select("a", "b", "sa", "sb", "confidence")
+    links = compared.join(F.broadcast(spark.createDataFrame(sure, "levels string, confidence double")), "levels")
+    of = lambda end: read.select(F.col("id").alias(end), F.col("system").alias(f"s{end}"))
+    return links.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "confidence")
 
 
 def assign(edges: list[tuple[int, int, float]]) -> set[tuple[int, int]]:
@@ -421,8 +403,9 @@ def same_entities(records: DataFrame, kind: Kind, window: int = WINDOW) -> DataF
     """
     space = Workspace(records.sparkSession, f"match-{kind.entity}")
     read = space.save(_read(records, kind).withColumn("id", F.monotonically_increasing_id()), "traits")
-    keyed = read.select("id", "sig", F.explode("keys").alias("k")).select("id", F.substring("k", 1, 1).alias("pass"), F.substring("k", 3, 1000).alias("key"), "sig").distinct()
-    pairs = neighbours(keyed, space, window)
+    keys = F.array_distinct(F.transform("keys", lambda k: F.substring(k, 1, 1002)))
+    keyed = read.select("id", F.struct(*FIELDS).alias("told"), F.explode(keys).alias("k")).select("id", F.substring("k", 1, 1).alias("pass"), F.substring("k", 3, 1000).alias("key"), "told")
+    pairs = neighbours(keyed, space, window, kind.compare)
     links = space.save(scored(read, pairs, kind, space), "links")
 
     # Copies within a source become one class, named by its representative.

@@ -275,6 +275,28 @@ def test_small_world_of_people(spark):
     assert matching.same_entities(df.limit(0), matching.PERSON).count() == 0
 
 
+FIRMS = "source_system string, source_key string, name string, registered_id string, phone string, email string, website string, postcode string, city string, addresses array<struct<kind:string,line1:string,city:string,postcode:string,country:string>>, parent string"
+
+
+def test_firms_at_one_house_match_by_a_slip_in_the_first_letters(spark):
+    house = [(None, "12 Granary Lane", "Norwickmoor", "AA1 1BC", "QM")]
+    rows = [(s, k, name, None, None, None, None, "AA1 1BC", "Norwickmoor", house, None) for s, k, name in (("crm", "1", "Bremdexaro"), ("finance", "2", "Bermdexaro"), ("finance", "3", "Quillontav"))]
+    got = {(r.left_rec, r.right_rec) for r in matching.same_entities(spark.createDataFrame(rows, FIRMS), matching.FIRM).collect()}
+    assert got == {("crm:1", "finance:2")}
+
+
+def test_windows_give_the_levels_of_every_pair(spark):
+    rng = random.Random(15)
+    told = {k: rng.randrange(10) for k in range(200)}
+    rows = [(k, p, f"{rng.randrange(30):02d}", (f"{told[k]}",)) for k in told for p in "pq"]
+    df = spark.createDataFrame(rows, "id long, `pass` string, key string, told struct<x:string>")
+    compare = lambda x, y: (int(x["x"]), int(y["x"]))
+    got = matching.neighbours(df, Workspace(spark, "t"), 5, compare).collect()
+    plain = {tuple(r) for r in matching.neighbours(df, Workspace(spark, "t"), 5).collect()}
+    assert {(r.a, r.b) for r in got} == plain and len(got) == len(plain)
+    assert all(r.levels == f"{told[r.a]}{told[r.b]}" for r in got)
+
+
 def test_fitted_weights_hold_on_held_out_pairs():
     rng = random.Random(13)
     draw = lambda same: tuple(rng.choices(range(n), w)[0] for n, w in (((6, [1, 8, 1, 1, 1, 1]) if same else (6, [1, 1, 0, 0, 1, 8]), (6, [1, 8, 1, 1, 0, 1]) if same else (6, [1, 2, 0, 0, 1, 8]), (7, [1, 8, 1, 1, 0, 0, 0]) if same else (7, [1, 0, 0, 0, 1, 1, 8]), (5, [3, 5, 0, 0, 1]) if same else (5, [3, 0, 0, 0, 5]), (4, [3, 5, 0, 1]) if same else (4, [3, 0, 0, 5]), (1, [1]), (5, [0, 6, 0, 1, 1]) if same else (5, [0, 0, 1, 4, 4]), (3, [1, 0, 0]))))
