@@ -10,6 +10,7 @@ record is assigned to one record at most, so that the total confidence is larges
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,8 +28,6 @@ from goldspan.runtime import Workspace, spread
 WINDOW = 10
 #: Links of at least this confidence are kept.
 LINK = 0.5
-#: Largest set of contested links that one task assigns exactly; larger sets are assigned by rounds of mutually best links.
-EXACT = 400
 
 
 def _person_keys(t: dict) -> list[str]:
@@ -310,50 +309,66 @@ def scored(read: DataFrame, pairs: DataFrame, kind: Kind, space: Workspace) -> D
 
 
 def assign(edges: list[tuple[int, int, float]]) -> set[tuple[int, int]]:
-    """The one-to-one choice of edges (left, right, weight) with the largest total weight: successive shortest augmenting paths."""
-    lefts, rights = sorted({e[0] for e in edges}), sorted({e[1] for e in edges})
-    n = max(len(lefts), len(rights))
-    li, ri = {v: k for k, v in enumerate(lefts)}, {v: k for k, v in enumerate(rights)}
-    cost = np.zeros((n, n))
+    """The one-to-one choice of edges (left, right, weight) with the largest total weight: successive shortest augmenting paths.
+
+    Paths are searched along edges only, by reduced costs, and end at the nearest
+    free right or at a left that is better left alone, so time and memory follow
+    the edges and not the square of the ends.
+    """
+    of: dict[int, dict[int, float]] = {}
     for a, b, w in edges:
-        cost[li[a], ri[b]] = min(cost[li[a], ri[b]], -w)
-    u, v, match = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int)
-    way = np.zeros(n + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, used = np.full(n + 1, np.inf), np.zeros(n + 1, bool)
+        if w > of.setdefault(a, {}).get(b, 0.0):
+            of[a][b] = w
+    worth = {a: max(to.values(), default=0.0) for a, to in of.items()}  # what a left yet has to gain; 0 once it is left alone
+    price: dict[int, float] = {}  # of a right; only taken ones have one
+    mate: dict[int, int | None] = {}
+    taken: dict[int, int] = {}
+    for start in of:
+        near, reached, via = {}, {}, {}
+        queue: list[tuple[float, int]] = [(0.0, start)]
+        best, end = np.inf, (start, None)
+        while queue:
+            d, a = heapq.heappop(queue)
+            if a in near:
+                continue
+            if d >= best:
+                break
+            near[a] = d
+            if d + worth[a] < best:
+                best, end = d + worth[a], (a, None)
+            for b, w in of[a].items():
+                if mate.get(a) == b:
+                    continue
+                further = d + max(worth[a] + price.get(b, 0.0) - w, 0.0)
+                if further >= best:
+                    continue
+                if b not in taken:
+                    best, end = further, (a, b)
+                elif further < reached.get(b, np.inf):
+                    reached[b], via[b] = further, a
+                    heapq.heappush(queue, (further, taken[b]))
+        for a, d in near.items():
+            if d < best:
+                worth[a] -= best - d
+        for b, d in reached.items():
+            if d < best:
+                price[b] = price.get(b, 0.0) + best - d
+        a, b = end
         while True:
-            used[j0] = True
-            i0, delta, j1 = match[j0], np.inf, 0
-            for j in range(1, n + 1):
-                if not used[j]:
-                    cur = cost[i0 - 1, j - 1] - u[i0] - v[j]
-                    if cur < least[j]:
-                        least[j], way[j] = cur, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(n + 1):
-                if used[j]:
-                    u[match[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
-            j0 = j1
-            if match[j0] == 0:
+            before, mate[a] = mate.get(a), b
+            if b is not None:
+                taken[b] = a
+            if a == start:
                 break
-        while j0:
-            match[j0] = match[way[j0]]
-            j0 = way[j0]
-    real = {(a, b) for a, b, _ in edges}
-    return {(lefts[match[j] - 1], rights[j - 1]) for j in range(1, n + 1) if match[j] - 1 < len(lefts) and j - 1 < len(rights) and (lefts[match[j] - 1], rights[j - 1]) in real}
+            a, b = via[before], before
+    return {(a, b) for a, b in mate.items() if b is not None}
 
 
 def one_to_one(edges: DataFrame, space: Workspace) -> DataFrame:
     """The edges (p, u, v, w) chosen so that in each p no u and no v is in two, with the largest sum of w.
 
     Edges without a rival are chosen at once. Contested edges fall into connected
-    sets; a set of up to EXACT edges is assigned exactly in one task, larger sets
-    by rounds that choose every edge that is the best of both its ends.
+    sets; each is assigned exactly, whatever its size, in one task that holds it.
     """
     both = edges.select("p", F.col("u").alias("x"), F.lit(0).alias("side")).unionAll(edges.select("p", F.col("v").alias("x"), F.lit(1).alias("side")))
     rivals = both.groupBy("p", "x", "side").count().where("count > 1")
@@ -371,24 +386,13 @@ def one_to_one(edges: DataFrame, space: Workspace) -> DataFrame:
     known = space.save(rest.join(lu, ["p", "u"]).join(lv, ["p", "v"]), "contested")
     sets = contract(known.select(F.col("nu").alias("u"), F.col("nv").alias("v")), space)
     known = known.join(sets.select(F.col("v").alias("nu"), F.col("rep").alias("set")), "nu")
-    sizes = known.groupBy("set").count()
-    known = space.save(known.join(sizes, "set"), "sets")
+    known = space.save(known, "sets")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         chosen = assign(list(zip(pdf.u, pdf.v, pdf.w)))
         return pdf[[(a, b) in chosen for a, b in zip(pdf.u, pdf.v)]][["p", "u", "v", "w"]]
 
-    chosen = free.unionAll(known.where(f"count <= {EXACT}").groupBy("set").applyInPandas(solve, "p string, u bigint, v bigint, w double"))
-    large = space.save(known.where(f"count > {EXACT}").select("p", "u", "v", "w"), "large")
-    while not large.isEmpty():
-        best_u = large.groupBy("p", "u").agg(F.max(F.struct("w", "u", "v")).alias("bu"))
-        best_v = large.groupBy("p", "v").agg(F.max(F.struct("w", "u", "v")).alias("bv"))
-        top = large.join(best_u, ["p", "u"]).join(best_v, ["p", "v"]).where("bu.v = v and bv.u = u").select("p", "u", "v", "w")
-        top = space.save(top, "best")
-        chosen = chosen.unionAll(top)
-        left = large.join(top.select("p", "u"), ["p", "u"], "left_anti").join(top.select("p", "v"), ["p", "v"], "left_anti")
-        large = space.save(left.select("p", "u", "v", "w"), "large")
-    return chosen
+    return free.unionAll(known.groupBy("set").applyInPandas(solve, "p string, u bigint, v bigint, w double"))
 
 
 def same_entities(records: DataFrame, kind: Kind, window: int = WINDOW) -> DataFrame:

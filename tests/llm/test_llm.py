@@ -251,6 +251,28 @@ def test_assignment_is_the_best_of_all():
         assert len({a for a, _ in chosen}) == len({b for _, b in chosen}) == len(chosen)
 
 
+def test_a_large_contested_set_is_assigned_at_best(spark):
+    # A chain of 1,201 links: the slightly stronger ones, taken first, leave 600 links of the 601 that fit together.
+    edges = [("s|t", k // 2 + k % 2, k // 2, 0.9 + 0.0001 * (k % 2)) for k in range(1201)]
+    df = spark.createDataFrame(edges, "p string, u long, v long, w double")
+    chosen = matching.one_to_one(df, Workspace(spark, "t")).collect()
+    assert len({r.u for r in chosen}) == len({r.v for r in chosen}) == len(chosen) == 601
+    assert sum(r.w for r in chosen) == pytest.approx(601 * 0.9)
+
+
+def test_sparse_assignment_equals_a_dense_one():
+    from itertools import permutations
+
+    rng = random.Random(16)
+    for _ in range(200):
+        edges = [(a, 10 + b, rng.choice([0.5, 0.6, 0.9, rng.random()])) for a in range(5) for b in range(5) if rng.random() < 0.5]
+        w = {(a, b): x for a, b, x in edges}
+        best = max(sum(w.get((a, 10 + b), 0.0) for a, b in enumerate(p)) for p in permutations(range(5)))
+        chosen = matching.assign(edges)
+        assert sum(w[e] for e in chosen) == pytest.approx(best)
+        assert len({a for a, _ in chosen}) == len({b for _, b in chosen}) == len(chosen)
+
+
 PEOPLE = "source_system string, source_key string, given_name string, family_name string, birth_date string, email string, phone string, postcode string, city string, person_ref string, addresses array<struct<kind:string,line1:string,city:string,postcode:string,country:string>>, employer string"
 
 
