@@ -14,17 +14,18 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldspan.runtime import Workspace
 
 ATTRIBUTES = ("given_name", "birth_date", "email", "phone", "postcode", "country", "person_ref", "source_version", "occurred_at")
-#: Runs longer than this, and shapes of more runs than this, are told apart no further, which bounds the shapes of a column.
-LONGEST_RUN, MOST_RUNS = 12, 12
 #: A share, net of chance, by which a load must depart to be named, and how far beyond the departures of the other loads.
 DEPARTURE, BEYOND = 0.2, 3.0
 
@@ -94,17 +95,8 @@ _CLASS_BITS = {"A": math.log2(26), "a": math.log2(26), "9": math.log2(10), "x":
 
 
 def runs(shape: str) -> tuple[tuple[str, int], ...]:
-    """The shape's runs; a longer run counts as LONGEST_RUN + 1, runs beyond MOST_RUNS as one of any kind."""
-    out: list[tuple[str, int]] = []
-    for ch in shape:
-        if out and out[-1][0] == ch:
-            out[-1] = (ch, min(out[-1][1] + 1, LONGEST_RUN + 1))
-        elif len(out) == MOST_RUNS:
-            out[-1] = ("…", 1)
-            break
-        else:
-            out.append((ch, 1))
-    return tuple(out)
+    """All runs of the whole shape."""
+    return tuple((ch, len(list(same))) for ch, same in groupby(shape))
 
 
 def generalise(parts: tuple[tuple[str, int], ...], degree: int) -> tuple[tuple[str, int], ...]:
@@ -125,11 +117,11 @@ def generalise(parts: tuple[tuple[str, int], ...], degree: int) -> tuple[tuple[s
 
 def expression(parts: tuple[tuple[str, int], ...]) -> str:
     """The regular expression of generalised runs."""
-    names = {"A": r"\p{Lu}", "a": r"\p{Ll}", "9": r"\d", "x": r"[\p{Ll}\d]", "w": r"[\p{L}\d]", "…": ".*"}
+    names = {"A": r"\p{Lu}", "a": r"\p{Ll}", "9": r"\d", "x": r"[\p{Ll}\d]", "w": r"[\p{L}\d]"}
     out = []
     for cls, length in parts:
         text = names.get(cls, re.escape(cls))
-        size = "" if cls == "…" or length == 1 else "+" if length == 0 or length > LONGEST_RUN else f"{{{length}}}"
+        size = "" if length == 1 else "+" if length == 0 else f"{{{length}}}"
         out.append(text + size)
     return "^" + "".join(out) + "$"
 
@@ -172,13 +164,52 @@ def induce(shapes: dict[str, int]) -> dict[str, str]:
     return out
 
 
+_DEGREES = (1, 0, 2, 3)
+
+
+def _toll(e: tuple[tuple[str, int], ...]) -> float:
+    """Bits that an expression itself takes."""
+    return 8.0 + 7.0 * len(e) + 3.0 * sum(1 for _, k in e if k > 1)
+
+
+def induced(shapes: DataFrame, space: Workspace) -> DataFrame:
+    """source_system, attr_name, shape and expression, as ``induce`` has them, of rows with n distinct values of each shape.
+
+    Only sums by expression meet, never the shapes of a column, so their number needs no bound.
+    """
+    at = ["source_system", "attr_name"]
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for source, attr, shape, n in zip(*(c.to_pylist() for c in batch.columns)):
+                parts = runs(shape)
+                family = expression(generalise(parts, 3))
+                for rank, degree in enumerate(_DEGREES):
+                    e = generalise(parts, degree)
+                    out.append((source, attr, shape, n, family, rank, expression(e), _toll(e), _bits(parts, e)))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64())
+            names = [*at, "shape", "n", "family", "rank", "expression", "toll", "bits"]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names)
+
+    per = shapes.groupBy(*at, "shape").agg(F.sum("n").cast("bigint").alias("n"))
+    offers = space.save(per.mapInArrow(offer, "source_system string, attr_name string, shape string, n bigint, family string, rank int, expression string, toll double, bits double"), "offers")
+    total = offers.where("rank = 0").groupBy(*at).agg(F.sum("n").alias("total"))
+    # Bits in millionths: sums of whole numbers don't depend on their order.
+    by = offers.groupBy(*at, "family", "rank", "expression").agg(F.sum("n").alias("n"), F.max("toll").alias("toll"), F.sum(F.round(F.col("bits") * 1_000_000).cast("bigint") * F.col("n")).alias("bits"))
+    cost = F.round((F.col("toll") + F.col("n") * F.log2(F.col("total") / F.col("n"))) * 1_000_000).cast("bigint") + F.col("bits")
+    costs = by.join(F.broadcast(total), at).groupBy(*at, "family", "rank").agg(F.sum(cost).alias("cost"))
+    best = costs.groupBy(*at, "family").agg(F.min(F.struct("cost", "rank")).alias("best")).select(*at, "family", F.col("best.rank").alias("rank"))
+    return offers.join(best, [*at, "family", "rank"]).select(*at, "shape", "expression")
+
+
 # --- comparison of loads ------------------------------------------------------------
 
 STATS = "load_no int, source_system string, attr_name string, feature string, item string, n bigint"
 
 
 def statistics(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
-    """Counts by load and column of what is compared: rows, empty cells, distincts, shapes, values, buckets and characters by position.
+    """Counts by load and column of what is compared: rows, empty cells, distincts, expressions, values, buckets and characters by position.
 
     Values are told apart where at least a hundredth of a load's rows carry
     them; the rest of the load counts together.
@@ -195,9 +226,10 @@ def statistics(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> Da
     rows = part(counted, "rows", F.lit(""), F.sum("n"))
     empty = part(counted, "empty", F.lit(""), F.sum(F.when(full, 0).otherwise(F.col("n"))))
     distinct = part(filled, "distinct", F.lit(""), F.count_distinct("value"))
-    shaped = filled.where(~F.col("attr_name").isin("occurred_at")).withColumn("shape", F.substring(shape_of(F.col("value")), 1, 64))
-    shapes = part(shaped, "shape", F.col("shape"), F.sum("n"))
-    shape_values = part(shaped, "shape_values", F.col("shape"), F.count(F.lit(1)))
+    shaped = filled.where(~F.col("attr_name").isin("occurred_at", "loaded_at") & F.col("load_no").isNotNull() & F.col("source_system").isNotNull()).withColumn("shape", shape_of(F.col("value")))
+    shaped = space.save(shaped.groupBy(*at, "shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values")), "shapes")
+    of = induced(shaped.select("source_system", "attr_name", "shape", F.col("values").alias("n")), space)
+    shapes = part(shaped.join(of, ["source_system", "attr_name", "shape"]), "shape", F.col("expression"), F.sum("n"))
     size = rows.select(*at, F.col("n").alias("all"))
     common = filled.join(size, at).where("n * 100 >= all")
     values = part(common, "value", F.col("value"), F.sum("n"))
@@ -206,7 +238,7 @@ def statistics(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> Da
     chars = fixed.select(*at, "n", F.posexplode(F.split("value", "")).alias("pos", "ch")).where("ch <> ''")
     places = part(chars, "place", F.concat(F.lpad(F.col("pos").cast("string"), 2, "0"), F.col("ch")), F.sum("n"))
     out = rows
-    for more in (empty, distinct, shapes, shape_values, values, buckets, places):
+    for more in (empty, distinct, shapes, values, buckets, places):
         out = out.unionAll(more)
     return out
 
@@ -241,11 +273,10 @@ def _departures(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.Series(0.0, index=index)
         return of[feature].groupby("load_no")["n"].sum().reindex(index).fillna(0.0).astype(float)
 
-    def table(feature: str, items=None) -> pd.DataFrame:
+    def table(feature: str) -> pd.DataFrame:
         d = of.get(feature)
         if d is None or not len(d):
             return pd.DataFrame(index=index)
-        d = d.assign(item=d["item"].map(items) if items else d["item"])
         return d.pivot_table(index="load_no", columns="item", values="n", aggfunc="sum", fill_value=0).reindex(index).fillna(0.0)
 
     out = {}
@@ -258,9 +289,7 @@ def _departures(pdf: pd.DataFrame) -> pd.DataFrame:
     weight = filled / size  # a change in few filled cells is no change of a large share of the column
 
     if "shape" in of:
-        known = of.get("shape_values", of["shape"]).groupby("item")["n"].sum().to_dict()
-        expressions = induce({k: int(v) for k, v in known.items()})
-        out["shape"] = _spread(table("shape", expressions), filled.clip(lower=1)) * weight
+        out["shape"] = _spread(table("shape"), filled.clip(lower=1)) * weight
     for feature in ("value", "bucket"):
         t = table(feature)
         if len(t.columns):
@@ -309,12 +338,10 @@ def expressions(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> D
     The main expressions of a column are the commonest ones that together cover
     nine tenths of the source's filled rows.
     """
-    stats = statistics(loads, attributes).where("feature in ('shape', 'shape_values') and load_no is not null and source_system is not null")
+    stats = statistics(loads, attributes).where("feature = 'shape' and load_no is not null and source_system is not null")
 
     def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf[pdf.feature == "shape_values"].groupby("item")["n"].sum().to_dict()
-        of = induce({k: int(v) for k, v in known.items()})
-        d = pdf[pdf.feature == "shape"].assign(expression=lambda x: x["item"].map(of))
+        d = pdf.rename(columns={"item": "expression"})
         by = d.groupby("expression")["n"].sum().sort_index().sort_values(ascending=False, kind="stable")
         main = set(by.index[: int((by.cumsum() < 0.9 * by.sum()).sum()) + 1])
         d = d.groupby(["load_no", "expression"], as_index=False)["n"].sum().rename(columns={"n": "n_rows"})

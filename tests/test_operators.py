@@ -156,6 +156,22 @@ def test_description_length_keeps_cases_apart_and_joins_rare_lengths():
     assert loads.induce({}) == {}
 
 
+def test_expressions_tell_whole_values(spark):
+    long = ["-".join(["a1"] * 10) + end for end in ("/x", "#9")] + ["A" * 20, "A" * 70 + "9"]
+    rows = [tuple({"load_no": 1, "source_system": "crm", "email": v}.get(c.split()[0]) for c in LOADS.split(", ")) for v in long]
+    got = [r.expression for r in loads.expressions(spark.createDataFrame(rows, LOADS), ("email",)).collect()]
+    assert len(got) == 4
+    java = spark._jvm.java.util.regex.Pattern
+    assert all(sum(java.matches(e, v) for e in got) == 1 for v in long)
+
+
+def test_distributed_induction_equals_induce(spark):
+    rng = random.Random(4)
+    shapes = {"".join(c * rng.randrange(1, 5) for c in rng.choices("Aa9-@", k=rng.randrange(1, 7))): rng.randrange(1, 300) for _ in range(150)}
+    df = spark.createDataFrame([("crm", "email", k, n) for k, n in shapes.items()], "source_system string, attr_name string, shape string, n long")
+    assert {r["shape"]: r.expression for r in loads.induced(df, Workspace(spark, "t")).collect()} == loads.induce(shapes)
+
+
 # --- landing
 
 
