@@ -30,6 +30,11 @@ ATTRIBUTES = ("given_name", "birth_date", "email", "phone", "postcode", "country
 DEPARTURE, BEYOND = 0.2, 3.0
 
 
+def columns_of(loads: DataFrame) -> tuple[str, ...]:
+    """Every column but the two that a profile goes by."""
+    return tuple(c for c in loads.columns if c not in ("load_no", "source_system"))
+
+
 def values_of(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
     """load_no, source_system, attr_name, value (text, null kept) and bucket of every cell.
 
@@ -208,7 +213,7 @@ def induced(shapes: DataFrame, space: Workspace) -> DataFrame:
 STATS = "load_no int, source_system string, attr_name string, feature string, item string, n bigint"
 
 
-def statistics(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
+def statistics(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES, shapeless: tuple[str, ...] = ("occurred_at",)) -> DataFrame:
     """Counts by load and column of what is compared: rows, empty cells, distincts, expressions, values, buckets and characters by position.
 
     Values are told apart where at least a hundredth of a load's rows carry
@@ -226,7 +231,7 @@ def statistics(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> Da
     rows = part(counted, "rows", F.lit(""), F.sum("n"))
     empty = part(counted, "empty", F.lit(""), F.sum(F.when(full, 0).otherwise(F.col("n"))))
     distinct = part(filled, "distinct", F.lit(""), F.count_distinct("value"))
-    shaped = filled.where(~F.col("attr_name").isin("occurred_at", "loaded_at") & F.col("load_no").isNotNull() & F.col("source_system").isNotNull()).withColumn("shape", shape_of(F.col("value")))
+    shaped = filled.where(~F.col("attr_name").isin(*shapeless) & F.col("load_no").isNotNull() & F.col("source_system").isNotNull()).withColumn("shape", shape_of(F.col("value")))
     shaped = space.save(shaped.groupBy(*at, "shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values")), "shapes")
     of = induced(shaped.select("source_system", "attr_name", "shape", F.col("values").alias("n")), space)
     shapes = part(shaped.join(of, ["source_system", "attr_name", "shape"]), "shape", F.col("expression"), F.sum("n"))
@@ -338,7 +343,7 @@ def expressions(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> D
     The main expressions of a column are the commonest ones that together cover
     nine tenths of the source's filled rows.
     """
-    stats = statistics(loads, attributes).where("feature = 'shape' and load_no is not null and source_system is not null")
+    stats = statistics(loads, attributes, ()).where("feature = 'shape' and load_no is not null and source_system is not null")
 
     def cover(pdf: pd.DataFrame) -> pd.DataFrame:
         d = pdf.rename(columns={"item": "expression"})

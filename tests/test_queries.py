@@ -61,3 +61,10 @@ def test_core_imports_without_llm():
             for f in files:
                 if f.endswith(".py"):
                     assert "goldspan.llm" not in open(os.path.join(folder, f)).read()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+@pytest.mark.parametrize("name", ["p3_profile_whole", "p3_expressions"])
+def test_every_column_of_a_load_is_profiled(spark, name):
+    want = set(spark.read.parquet(f"{DATA}/load_extract.parquet").columns) - {"load_no", "source_system"}
+    assert {r.attr_name for r in CORE[name](spark, DATA).select("attr_name").distinct().collect()} == want
