@@ -1,16 +1,23 @@
 """Current state from a feed of upserts and deletes: a log-structured merge store.
 
-Each batch of changes becomes a run: files sorted by record and by the order of
-its changes. Runs are never rewritten by later batches. Reading merges all runs
-and keeps the last change of each record, deletes being tombstones that hide the
-record and stay in the store, so that an older change that lands afterwards
-cannot bring it back. Compaction merges the runs into one.
+Each batch of changes becomes a run: the last change of each of its records, in
+files bucketed by record and sorted by record and order. Runs are never changed.
+A read brings the files of one bucket of all runs into one task, where their
+sorted stretches are merged (Spark's sort finds and merges ascending stretches);
+nothing is exchanged. The last change of each record decides, deletes being
+tombstones that hide the record and stay in the store, so that an older change
+that lands afterwards cannot bring it back. Whenever a level holds ``fanout``
+runs, they are compacted into one run of the next level, so a change is
+rewritten logarithmically often; replaced runs are deleted one compaction later.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from goldspan.runtime import Manifest, Workspace
 
@@ -25,6 +32,12 @@ def change_order() -> Column:
     return F.struct(*ORDER, "op")
 
 
+def _last(rows: DataFrame) -> DataFrame:
+    """The last change of each record; formed in part before any exchange, so a record of any number of changes costs a row a task."""
+    last = rows.groupBy(*KEY).agg(F.max(change_order()).alias("last"))
+    return last.select(*KEY, *(F.col(f"last.{c}").alias(c) for c in (*ORDER, "op")))
+
+
 class ChangeStore:
     """Runs of changes under one folder.
 
@@ -32,50 +45,65 @@ class ChangeStore:
     comes before every value. Changes that tie in all of ORDER are one change.
     An operation other than ``delete`` counts as an upsert. Rows whose key has
     a null part are kept and form a record of their own, null being a value of
-    the key. Empty batches add an empty run.
+    the key. Empty batches add an empty run. ``buckets`` is fixed when the store
+    is made: about one for each 100 MB of state; it defaults to the session's
+    shuffle partitions.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None, fanout: int = 4):
         self.space = Workspace(spark, "changes", root)
-        self.spark, self.manifest = spark, Manifest(spark, self.space.root)
+        self.spark, self.manifest, self.fanout = spark, Manifest(spark, self.space.root), fanout
+        _, held = self.manifest.latest()
+        self.buckets = held.get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _write(self, rows: DataFrame, name: str) -> str:
+        return self.space.write_sorted(rows, self.space.path(name), KEY, ORDER, self.buckets)
 
     def append(self, changes: DataFrame) -> None:
-        """Write one batch as a sorted run and publish it."""
+        """Write one batch as a sorted run and publish it; compact every level that has filled up."""
         base, held = self.manifest.latest()
-        rows = changes.select(*KEY, *ORDER, "op")
-        # Salted by event within a record: a record that holds a tenth of all changes spreads over many files.
-        width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        run = rows.repartition(width, *KEY, F.pmod(F.xxhash64("event_id"), F.lit(8))).sortWithinPartitions(*KEY, *ORDER)
-        path = self.space.write(run, self.space.path("run"))
-        schema = rows.schema.json()
-        self.manifest.commit(base, {"runs": [*held.get("runs", []), path], "schema": schema})
-
-    def runs(self) -> list[str]:
+        rows = _last(changes.select(*KEY, *ORDER, "op"))
+        run = {"path": self._write(rows, "run"), "level": 0}
+        self.manifest.commit(base, held | {"buckets": self.buckets, "runs": [*held.get("runs", []), run], "schema": rows.schema.json()})
+        level = 0
+        while sum(r["level"] == level for r in self.runs()) >= self.fanout:
+            self.compact(level)
+            level += 1
+
+    def runs(self) -> list[dict]:
         return self.manifest.latest()[1].get("runs", [])
 
+    def _merged(self, paths: list[str], schema: str) -> DataFrame:
+        kind = StructType.fromJson(json.loads(schema))
+        rows = self.space.read_sorted(paths, kind, KEY, ORDER, self.buckets)
+        return _last(rows)
+
     def merged(self) -> DataFrame:
         """The last change of every record, tombstones included."""
-        from pyspark.sql.types import StructType
-        import json
-
         _, held = self.manifest.latest()
-        if not held:
+        if not held.get("runs"):
             raise ValueError("the store has no run yet")
-        rows = self.spark.read.schema(StructType.fromJson(json.loads(held["schema"]))).parquet(*held["runs"])
-        last = rows.groupBy(*KEY).agg(F.max(change_order()).alias("last"))
-        return last.select(*KEY, *(F.col(f"last.{c}").alias(c) for c in (*ORDER, "op")))
+        return self._merged([r["path"] for r in held["runs"]], held["schema"])
 
     def state(self) -> DataFrame:
         """One row for each record that exists, with the change that gave its state."""
         return self.merged().where(~F.coalesce(F.col("op") == "delete", F.lit(False)))
 
-    def compact(self) -> None:
-        """Merge all runs into one, keeping the last change of each record and its tombstone."""
+    def compact(self, level: int | None = None) -> None:
+        """Merge the runs of a level, or all runs, into one of the next level, tombstones included.
+
+        Runs replaced by the compaction before are deleted: a reader that began
+        before it has then had one compaction's time.
+        """
         base, held = self.manifest.latest()
-        if len(held.get("runs", [])) < 2:
+        old = [r for r in held.get("runs", []) if level is None or r["level"] == level]
+        if len(old) < 2:
             return
-        path = self.space.write(self.merged().sortWithinPartitions(*KEY), self.space.path("compacted"))
-        self.manifest.commit(base, held | {"runs": [path]})
+        merged = {"path": self._write(self._merged([r["path"] for r in old], held["schema"]), "merged"), "level": max(r["level"] for r in old) + 1}
+        kept = [r for r in held["runs"] if r not in old]
+        self.manifest.commit(base, held | {"runs": [merged, *kept], "stale": [r["path"] for r in old]})
+        for path in held.get("stale", []):
+            self.space.delete(path)
 
 
 def queued_changes(queue: DataFrame, landing: DataFrame, versioned: tuple[str, ...] = VERSIONED_SOURCES) -> DataFrame:
@@ -100,15 +128,16 @@ def queued_changes(queue: DataFrame, landing: DataFrame, versioned: tuple[str, .
     return heard.join(told, "event_id").withColumn("version", version).select(*KEY, *ORDER, "op")
 
 
-def current_state(spark: SparkSession, queue: DataFrame, landing: DataFrame, batches: int = 1) -> DataFrame:
-    """The state of every source record after all queued events; batches > 1 appends as many runs and compacts them."""
-    store = ChangeStore(spark)
-    changes = queued_changes(queue, landing)
-    if batches > 1:
-        changes = store.space.save(changes, "queued")
-        for n in range(batches):
-            store.append(changes.where(F.pmod(F.xxhash64("event_id"), F.lit(batches)) == n))
-        store.compact()
-    else:
-        store.append(changes)
+def current_state(spark: SparkSession, queue: DataFrame, landing: DataFrame, batches: int = 3, fanout: int = 4) -> DataFrame:
+    """The state of every source record after all queued events, which are appended in ``batches`` runs by landing number.
+
+    With as many batches as ``fanout`` the runs are compacted on the way.
+    """
+    store = ChangeStore(spark, fanout=fanout)
+    changes = store.space.save(queued_changes(queue, landing), "queued")
+    ends = changes.agg(F.min("landing_seq").alias("lo"), F.max("landing_seq").alias("hi")).first()
+    lo, width = ends.lo or 0, ((ends.hi or 0) - (ends.lo or 0)) // batches + 1
+    for n in range(batches):
+        at = F.coalesce(F.col("landing_seq"), F.lit(lo))
+        store.append(changes.where((at >= lo + n * width) & (at < lo + (n + 1) * width)))
     return store.state()

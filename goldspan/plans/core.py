@@ -85,8 +85,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same state from four runs that are then compacted."""
-    state = changelog.current_state(spark, table(spark, sf_dir, "arrival_queue"), table(spark, sf_dir, "landing_rows"), batches=4)
+    """The same state from nine runs, compacted as levels fill up."""
+    state = changelog.current_state(spark, table(spark, sf_dir, "arrival_queue"), table(spark, sf_dir, "landing_rows"), batches=9)
     return state.select("entity", "source_system", "source_key", "event_id")
 
 

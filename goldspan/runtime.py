@@ -3,25 +3,31 @@
 Intermediates that are read more than once, or that end an iteration's lineage,
 are written as parquet under the folder that the cluster names in
 ``spark.checkpoint.dir``; every executor sees it, so the loss of an executor
-loses nothing. A folder of our own is used only where that setting is absent.
+loses nothing. Where that setting is absent, only a session on one machine
+(master ``local``) may use a folder of its own; on a cluster it is an error.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or a temporary one where none is set."""
+    """The folder named by spark.checkpoint.dir; a temporary one where none is set and everything runs in one process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="goldspan-")
@@ -33,6 +39,10 @@ def _path(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+def _table_name(path: str) -> str:
+    return "goldspan_" + hashlib.sha256(path.encode()).hexdigest()[:24]
+
+
 class Workspace:
     """A private directory in the shared folder for one run of an operator."""
 
@@ -55,6 +65,30 @@ class Workspace:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return path
 
+    def write_sorted(self, df: DataFrame, path: str, keys: tuple[str, ...], order: tuple[str, ...], buckets: int) -> str:
+        """Write df in ``buckets`` files, one for each hash of ``keys``, each sorted by keys and order."""
+        name = _table_name(path)
+        cut = df.repartition(buckets, *keys)
+        writer = cut.write.format("parquet").option("compression", "zstd").option("path", path)
+        writer.bucketBy(buckets, *keys).sortBy(*keys, *order).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the name only: the files are the caller's
+        return path
+
+    def read_sorted(self, paths: list[str], schema: StructType, keys: tuple[str, ...], order: tuple[str, ...], buckets: int) -> DataFrame:
+        """What write_sorted wrote to several paths, as one table of a partition each: a task reads one bucket of all, so grouping by keys needs no exchange."""
+        name = _table_name("|".join(paths))
+        if not self.spark.catalog.tableExists(name):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+            by, sort = ", ".join(keys), ", ".join((*keys, *order))
+            self.spark.sql(f"CREATE TABLE {name} ({columns}, _run int) USING parquet PARTITIONED BY (_run) CLUSTERED BY ({by}) SORTED BY ({sort}) INTO {buckets} BUCKETS LOCATION '{self.root}/none'")
+            for k, path in enumerate(paths):
+                self.spark.sql(f"ALTER TABLE {name} ADD PARTITION (_run={k}) LOCATION '{path}'")
+        return self.spark.table(name).drop("_run")
+
+    def delete(self, path: str) -> None:
+        fs, jpath = _path(self.spark, path)
+        fs.delete(jpath, True)
+
     def read(self, path: str, schema) -> DataFrame:
         out = self.spark.read.schema(schema).parquet(path)
         out._goldspan_path = path
@@ -64,8 +98,7 @@ class Workspace:
         """Delete a table that save() wrote, once nothing reads it any more."""
         path = getattr(df, "_goldspan_path", None)
         if path:
-            fs, jpath = _path(self.spark, path)
-            fs.delete(jpath, True)
+            self.delete(path)
 
 
 class Manifest:
@@ -120,9 +153,17 @@ def spread(df: DataFrame, cpu_heavy: bool = True) -> DataFrame:
     and pass through without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if cpu_heavy and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    if not cpu_heavy:
+        return df
+    fields = df.sparkSession.conf
+    split = max(1, int(fields.get("spark.sql.files.maxPartitionBytes").removesuffix("b")))
+    size = sum(_file_bytes(df.sparkSession, f) for f in df.inputFiles())
+    return df.repartition(cores) if size < split * cores else df
+
+
+def _file_bytes(spark: SparkSession, path: str) -> int:
+    fs, jpath = _path(spark, path)
+    return fs.getFileStatus(jpath).getLen()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

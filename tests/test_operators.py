@@ -38,6 +38,22 @@ def test_ledger_admits_each_id_once_over_batches(spark):
         seen |= set(want)
 
 
+def test_ledger_repeats_a_batch_and_touches_only_its_shards(spark):
+    ledger = deliveries.DeliveryLedger(spark, shards=5, fanout=3)
+    batch = lambda *ids: spark.createDataFrame([("t", i, n) for n, i in enumerate(ids)], "scope string, event_id string, landing_seq long")
+    first = {tuple(r) for r in ledger.admit(batch("a", "b", "b"), "one").collect()}
+    again = deliveries.DeliveryLedger(spark, ledger.space.root, fanout=3)  # a consumer that crashed before it stored the rows asks once more
+    assert {tuple(r) for r in again.admit(batch("a", "b", "b"), "one").collect()} == first == {("t", "a", 0, 1), ("t", "b", 1, 2)}
+    again.release("one")
+    for k in range(4):
+        assert {r.event_id for r in again.admit(batch("a", f"n{k}"), f"k{k}").collect()} == {f"n{k}"}
+    _, held = again.manifest.latest()
+    assert len(held["bitmaps"]) < 3 and len(held["dictionary"]) < 3  # compacted
+    touched = spark.read.parquet(held["bitmaps"][-1]).select("shard").distinct().count()
+    assert touched <= 5
+    assert {(r.event_id, r.fresh) for r in again.judge(batch("a", "z"), "last").collect()} == {("a", False), ("z", True)}
+
+
 def test_ledger_keeps_hot_ids_nulls_and_case_apart(spark):
     rows = [("t", "hot", k) for k in range(500)] + [("t", "HOT", 1), ("t", " hot", 2), ("t", None, 3), ("u", "hot", None), ("t", "", 9)]
     df = spark.createDataFrame(rows, "scope string, event_id string, landing_seq long").withColumn("code", F.lit("x")).withColumn("shard", F.lit(1))
@@ -79,11 +95,14 @@ def test_changes_in_any_order_give_one_state(spark):
             last[k] = r
     want = {(*k, r[6]) for k, r in last.items() if r[7] != "delete"}
     rng.shuffle(rows)
-    store = changelog.ChangeStore(spark)
-    for k in range(4):
-        store.append(spark.createDataFrame(rows[k::4], CHANGES).withColumn("last", F.lit(1)))
+    store = changelog.ChangeStore(spark, buckets=3, fanout=3)
     state = lambda: {tuple(r) for r in store.state().select("entity", "source_system", "source_key", "event_id").collect()}
-    assert state() == want
+    for k in range(5):
+        store.append(spark.createDataFrame(rows[k::5], CHANGES).withColumn("last", F.lit(1)))
+    assert [r["level"] for r in store.runs()] == [1, 0, 0] and state() == want
+    plan = store.merged()._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan  # sorted runs are merged where they lie
+    assert {tuple(r) for r in changelog.ChangeStore(spark, store.space.root).state().select("entity", "source_system", "source_key", "event_id").collect()} == want
     store.compact()
     assert len(store.runs()) == 1 and state() == want
     store.append(spark.createDataFrame([("p", "crm", "hot", 0, at(-5), 999, "late", "upsert")], CHANGES))
