@@ -2,11 +2,13 @@
 
 A pair model gives every text a cost: how surprising its neighbouring characters
 are, counted over the whole corpus. From a suspicious word a best-first search
-goes over three kinds of operation, unescaping, and encoding back in one code
-page followed by decoding in another, never visiting a text twice, and ends at
-the cheapest text it can reach. A document is damaged where such a text is far
-cheaper than what stands there, or where a replacement character shows that
-bytes were lost.
+goes over three kinds of operation, unescaping, encoding back in a code page,
+and decoding in another, never visiting a text or a string of bytes twice, and
+ends at the cheapest text it can reach. Its paths may be of any length. Bytes
+that form UTF-8 vouch for themselves and are followed wherever they lead; any
+two other pages give some text, so of those steps the ones that cheapen the text
+are followed. A document is damaged where such a text is far cheaper than what
+stands there, or where a replacement character shows that bytes were lost.
 """
 
 from __future__ import annotations
@@ -35,10 +37,10 @@ ENTITY = re.compile(r"&#?\w{1,31};")
 C1 = re.compile("[\x80-\x84\x86-\x9f]")
 #: Characters beyond this code share one class per script, so the model has fewer than 1,500 squared pairs whatever the corpus.
 NAMED = 0x530
-#: Texts longer than this are cut at word pieces for the search only; every piece is searched.
-PIECE = 400
-#: Texts visited by one search at most; the operations reach far fewer distinct ones from any real word.
-VISITS = 200
+#: A run of characters longer than this has its operations proposed by all its windows of this length, and is then restored whole by them.
+WINDOW = 120
+#: Nats that a step of each kind must gain by itself to be believed: UTF-8 hardly forms by chance, other pages need more evidence.
+CERTAIN, ALONE = 3.0, 12.0
 
 
 def _class(ch: str) -> str:
@@ -114,6 +116,27 @@ class Plausibility:
                 per_class[_class(ch)] += n
         self.within = {ch: math.log((per_class[_class(ch)] + 1) / (n + 0.5)) for ch, n in counts.items() if len(ch) == 1}
 
+        # The least that a pair can cost after a change of single-byte pages, by its unchanging ASCII side.
+        small = lambda c: c < "\x80" or ord(c) < NAMED or 0x2000 <= ord(c) < 0x2600
+        self.least: dict[str, float] = {}
+        for pair, cost in self.cost.items():
+            if small(pair[0]) and small(pair[1]):
+                key = (pair[0] if pair[0] < "\x80" else "\x80") + (pair[1] if pair[1] < "\x80" else "\x80")
+                self.least[key] = min(cost, self.least.get(key, cost))
+
+    def floor(self, word: str) -> float:
+        """No change of single-byte pages makes the word cheaper than this."""
+        text = " " + re.sub("[0-9]", "0", re.sub("[^\x00-\x7f]", "\x80", word)) + " "
+        keys = [text[i : i + 2] for i in range(len(text) - 1)]
+        return sum(self.least_of(k) for k in keys if "\x80" in k)
+
+    def least_of(self, key: str) -> float:
+        known = self.least.get(key)
+        if key != key.lower():  # capitals may be counted as small letters
+            low = self.least.get(key.lower(), self.unseen) + 1
+            known = low if known is None else min(known, low)
+        return self.unseen if known is None else known
+
     def _pair(self, pair: str) -> float:
         cost = self.cost.get(pair, self.unseen)
         if pair == pair.upper():  # capitals are as plausible as the small letters, nearly
@@ -148,53 +171,94 @@ def _unescape(text: str) -> str:
     return html.unescape(re.sub(r"&#(\d{1,7});", lambda m: chr(int(m[1])) if int(m[1]) < 0x110000 else m[0], text))
 
 
-def _steps(text: str) -> Iterator[tuple[str, str]]:
-    """The texts one operation away, with the operation's name."""
+def _vouched(name: str) -> bool:
+    return name == "unescape" or name.endswith(">utf-8")
+
+
+def _price(name: str) -> float:
+    """Nats that an operation costs: UTF-8 vouches for itself, any other pair of pages always gives some text."""
+    return 1.0 if _vouched(name) else 4.0
+
+
+def _decode(raw: bytes, page: str, loose: bool) -> str | None:
+    """The text, or nothing where bytes have no meaning; loose forgives a sequence cut at either end."""
+    try:
+        return raw.decode(page)
+    except UnicodeDecodeError:
+        pass
+    if loose:
+        for i, j in ((i, j) for i in range(4) for j in range(4)):
+            try:
+                return raw[i : len(raw) - j].decode(page)
+            except UnicodeDecodeError:
+                pass
+    return None
+
+
+#: Pages in which several bytes are one character.
+WIDE = ("utf-8", "cp932", "euc_jp")
+
+
+def _steps(text: str, known: set[bytes], narrow: bool = True, loose: bool = False) -> Iterator[tuple[str, str]]:
+    """The texts one operation away, with the operation's name; bytes met before lead nowhere new. Without ``narrow``, no changes of single-byte pages."""
     if ENTITY.search(text):
         yield _unescape(text), "unescape"
     if text.isascii():
         return
     for page in MISREAD_AS:
         raw = _encode(text, page)
-        if raw is None:
+        if raw is None or raw in known:
             continue
-        for written in WRITTEN_IN:
-            if written == page:
-                continue
-            try:
-                yield raw.decode(written), f"{page}>{written}"
-            except UnicodeDecodeError:
-                pass
+        known.add(raw)
+        for written in WRITTEN_IN if narrow else WIDE:
+            if written != page:
+                further = _decode(raw, written, loose and written in WIDE)
+                if further is not None:
+                    yield further, f"{page}>{written}"
 
 
-def _price(name: str) -> float:
-    """Nats that an operation costs: UTF-8 vouches for itself, any other pair of pages always gives some text."""
-    return 1.0 if name == "unescape" or name.endswith(">utf-8") else 4.0
+#: A text on the way and what it costs with all that was paid to reach it.
+Stage = tuple[str, str, float]
 
 
-def cheapest(word: str, cost: Plausibility) -> tuple[str, tuple[str, ...], float]:
-    """The cheapest text reachable from a word, the operations that lead to it, and the gain over the word itself."""
+def cheapest(word: str, cost: Plausibility, loose: bool = False) -> tuple[float, tuple[Stage, ...]]:
+    """What the word costs, and the operations, texts and costs on the way to the cheapest text that can be reached from it."""
     start = max(cost(word), cost(_unescape(word)) if ENTITY.search(word) else 0.0)
-    best = (start, word, ())
-    queue: list[tuple[float, int, str, tuple[str, ...], float]] = [(start, 0, word, (), 0.0)]
-    seen, n = {word}, 0
-    while queue and n < VISITS:
+    best: tuple[float, tuple[Stage, ...]] = (start, ())
+    queue: list[tuple[float, int, str, tuple[Stage, ...], float]] = [(start, 0, word, (), 0.0)]
+    seen, known = {word}, set()
+    while queue:
         now, _, text, path, paid = heapq.heappop(queue)
         if now < best[0]:
-            best = (now, text, path)
-        if len(path) == 3:
-            continue
-        n += 1
-        for further, name in _steps(text):
+            best = (now, path)
+        for further, name in _steps(text, known, narrow=paid + 4.0 + cost.floor(text) < now, loose=loose):
             if further in seen:
                 continue
             seen.add(further)
             spent = paid + _price(name)
+            if spent >= best[0]:  # nothing behind it can be cheaper than what is known
+                continue
             reached = cost(further) + spent
-            # Only what lessens the cost, or is a wrapping that hides a cheaper text, is followed.
-            if reached < now or name == "unescape":
-                heapq.heappush(queue, (reached, len(seen), further, (*path, name), spent))
-    return best[1], best[2], start - best[0]
+            if reached < now or _vouched(name):
+                heapq.heappush(queue, (reached, len(seen), further, (*path, (name, further, reached)), spent))
+    return start, best[1]
+
+
+def follow(text: str, names: tuple[str, ...], cost: Plausibility) -> tuple[float, tuple[Stage, ...]] | None:
+    """As ``cheapest``, by given operations; nothing where one can't be done."""
+    start, paid, out = cost(text), 0.0, []
+    for name in names:
+        if name == "unescape":
+            text = _unescape(text)
+        else:
+            page, _, written = name.partition(">")
+            raw = _encode(text, page)
+            text = None if raw is None else _decode(raw, written, False)
+        if text is None:
+            return None
+        paid += _price(name)
+        out.append((name, text, cost(text) + paid))
+    return start, tuple(out)
 
 
 class Restorer:
@@ -203,46 +267,83 @@ class Restorer:
     def __init__(self, counts: dict[str, int], kept: int = 200_000):
         self.cost, self.kept, self.words = Plausibility(counts), kept, {}
 
-    def word(self, word: str) -> tuple[str, tuple[str, ...], float]:
-        if len(word) > PIECE:
-            parts = [self.word(word[i : i + PIECE]) for i in range(0, len(word), PIECE)]
-            return "".join(p[0] for p in parts), max(parts, key=lambda p: p[2])[1], sum(p[2] for p in parts)
+    def _long(self, run: str) -> tuple[float, tuple[Stage, ...]]:
+        """A long run: every window proposes its operations, which are then done on the whole run; the cheapest result counts."""
+        offers = {tuple(name for name, _, _ in cheapest(run[i : i + WINDOW], self.cost, loose=True)[1]) for i in range(0, len(run), WINDOW)}
+        done = [f for names in sorted(offers) if (f := follow(run, names, self.cost)) is not None]
+        return min(done, key=lambda f: f[1][-1][2] if f[1] else f[0], default=(self.cost(run), ()))
+
+    def parts(self, word: str) -> list[str]:
+        """A long word falls into its runs of ASCII and of other characters: no sequence of UTF-8 reaches over their borders."""
+        return [word] if len(word) <= 2 * WINDOW else re.findall("[\x00-\x7f]+|[^\x00-\x7f]+", word)
+
+    def word(self, word: str) -> tuple[float, tuple[Stage, ...]]:
         known = self.words.get(word)
         if known is None:
-            known = cheapest(word, self.cost)
+            known = self._long(word) if len(word) > 2 * WINDOW else cheapest(word, self.cost)
             if len(self.words) >= self.kept:
                 self.words.clear()
             self.words[word] = known
         return known
 
     def judge(self, text: str | None) -> tuple[bool, bool, str | None, str, float]:
-        """Damaged, restorable throughout, the restored text, the commonest operations and the gain."""
+        """Damaged, restorable throughout, the restored text, the commonest operation and the gain.
+
+        Each step on a word's path counts with what it gains over the text before it.
+        """
         if not text or (text.isascii() and "&" not in text):
             return False, True, text, "", 0.0
         gains: dict[str, float] = defaultdict(float)
         wide: dict[str, set[str]] = defaultdict(set)
         strong = False
-        found = {}
-        for word in set(WORD.findall(text)):
-            restored, path, gain = self.word(word)
-            if not any(">" in p for p in path):
+        found: dict[str, list[tuple[str, str, float]]] = {}
+        words = {part for w in set(WORD.findall(text)) for part in self.parts(w) if not part.isascii() or ENTITY.search(part)}
+        for word in sorted(words):
+            before, path = self.word(word)
+            if not any(">" in name for name, _, _ in path):
                 continue
-            # Bytes that form valid UTF-8 hardly do so by chance; other pairs of pages need more evidence.
-            certain = any(p.endswith(">utf-8") for p in path)
-            found[word] = (restored, path, gain, certain)
-            if gain >= (3.0 if certain else 12.0):
-                strong = True
-            key = path[-1]
-            gains[key] += gain
-            wide[key].add(word)
+            steps, hidden = [], 0.0
+            for name, further, reached in path:
+                gain = before - reached + hidden
+                hidden = min(gain, 0.0) if _vouched(name) else 0.0  # a layer that seems to cost is paid by the next one
+                steps.append((name, further, gain))
+                before = reached
+                if ">" not in name:
+                    continue
+                strong = strong or gain >= (CERTAIN if _vouched(name) else ALONE)
+                gains[name] += gain
+                wide[name].add(word)
+            found[word] = steps
         lost = LOST in text or "ï¿½" in text
-        best = max(gains, key=gains.get, default="")
-        many = bool(best) and gains[best] >= 12.0 and len(wide[best]) >= 2
+        # A text is mostly damaged by one change of pages: of those that its words suggest, the one that gains most over all its words holds for them all.
+        for name in sorted({steps[0][0] for steps in found.values() if not _vouched(steps[0][0])}):
+            done = {w: f for w in words if (f := follow(w, (name,), self.cost)) is not None and f[1][0][2] < f[0] + _price(name)}
+            gains[name], wide[name] = sum(f[0] - f[1][0][2] for f in done.values()), set(done)
+        best = max(sorted(gains), key=gains.get, default="")
+        if best and not _vouched(best):
+            for w in wide[best]:
+                steps = found.get(w, [])
+                if not steps or (not _vouched(steps[0][0]) and steps[0][0] != best):
+                    start, ((name, further, reached),) = follow(w, (best,), self.cost)
+                    if not steps or sum(gain for _, _, gain in steps) < start - reached + ALONE:
+                        found[w] = [(name, further, start - reached)]
+        many = bool(best) and gains[best] >= ALONE and len(wide[best]) >= 2
         damaged = lost or strong or many or bool(C1.search(text))
         if not damaged:
             return False, True, text, "", 0.0
-        swap = {w: r for w, (r, path, gain, certain) in found.items() if gain >= (3.0 if certain else 6.0) or path[-1] == best}
-        restored = WORD.sub(lambda m: swap.get(m[0], m[0]), text)
+        swap = {}
+        for word, steps in found.items():
+            kept, open_ = word, word
+            for k, (name, further, gain) in enumerate(steps):
+                if not (_vouched(name) or gain >= ALONE / 2 or (name == best and k == 0)):
+                    break  # a guess behind a sure step doesn't ride along
+                open_ = further
+                if gain >= (CERTAIN if _vouched(name) else 0.0) or name == best:
+                    kept = open_
+            if kept != word:
+                swap[word] = kept
+        put = lambda m: "".join(swap.get(part, part) for part in self.parts(m[0]))
+        restored = WORD.sub(put, text)
         whole = LOST not in restored and not C1.search(restored)
         return True, whole, restored, best, max(gains.values(), default=0.0)
 
