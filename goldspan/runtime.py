@@ -155,9 +155,12 @@ def spread(df: DataFrame, cpu_heavy: bool = True) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if not cpu_heavy:
         return df
-    fields = df.sparkSession.conf
-    split = max(1, int(fields.get("spark.sql.files.maxPartitionBytes").removesuffix("b")))
-    size = sum(_file_bytes(df.sparkSession, f) for f in df.inputFiles())
+    spark = df.sparkSession
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    files = df.inputFiles()
+    if len(files) >= cores:
+        return df
+    size = sum(_file_bytes(spark, f) for f in files)
     return df.repartition(cores) if size < split * cores else df
 
 
