@@ -2,20 +2,24 @@
 
 An address is read into the parts of its location: house number with letter,
 flat, kind and name of the street, place and postcode; addressees and names of
-houses are no part of it. Street and place become weighted character n-grams.
-Candidates come from an inverted index over the rarest grams of each address, as
-many as its length needs for no pair over the threshold to be missed, and are
-verified by cosine similarity and by compatible house numbers, flats, streets
-and postcodes. Equal readings are one entry of the index; their rows are paired
+houses are no part of it. An address becomes a vector of weighted grams: one gram
+for its house number, kind of street and area together, which has half of the
+vector's mass, and the character n-grams of its street for the other half.
+Candidates come from an inverted index over the prefix of each vector, its
+rarest grams up to where the rest is too light to reach the threshold, and the
+cosine decides. Equal readings are one entry of the index; their rows are paired
 only when the result is expanded.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +46,16 @@ SMALL_WORDS = {"de", "des", "du", "la", "le", "les", "l", "d", "the"}
 UNIT = re.compile(r"\b(?:flat|apartment|apt|appartement|appt|app|unit|wohnung|whg|suite|fl)\b[.:]?\s*(?:no\b\.?|nr\b\.?|#)?\s*(\d+\s*[a-z]?|[a-z])\b")
 NUMBER = re.compile(r"(?:#|\bno\b\.?|\bnr\b\.?|n°)?\s*\b(\d{1,5})(?:\s*-?\s*([a-f])(?![a-z0-9]))?\b")
 POSTCODE = re.compile(r"\b([a-z]{2}\d{1,2})[\s-]?(\d[a-z]{2})\b|\b(\d{5})\b")
-#: What an address must reach in cosine similarity; names are then compared once more.
-THRESHOLD = 0.2
+#: What two addresses must reach in cosine similarity. Without the gram of house and area it can't be reached, with it the streets' own cosine must be 0.55.
+THRESHOLD = 0.775
+#: What the names of two places must reach: towns share their endings.
+PLACES = 0.7
+#: Weights of n-grams by length: a slip of the pen spares most single letters, but changes several longer grams.
+LENGTHS = {1: 1.2, 2: 1.0, 3: 0.7}
+#: Power of a gram's rarity in its weight: low, as slips make rare grams.
+RARITY = 0.15
+#: Entries of one house and area that are compared with each other as they are; beyond, the grams of the street are indexed as well. The result is the same.
+PLAIN = 100
 
 
 def _plain(text: str | None) -> str:
@@ -184,14 +196,14 @@ def _letter(ch: str) -> str:
     return ch if ch.isascii() else chr(0xE000 + ord(ch) % 64)
 
 
-def grams(street: str, place: str) -> list[str]:
-    """Marked pairs of neighbouring characters of street and place; at most 2 * 102 ** 2 different ones exist."""
-    out = []
-    for mark, word in (("s", street), ("p", place)):
-        if word:
-            text = "^" + "".join(map(_letter, word)) + "$"
-            out += [mark + text[i : i + 2] for i in range(len(text) - 1)]
-    return sorted(set(out))
+def grams(word: str) -> Counter[str]:
+    """Marked n-grams of one to three characters with their numbers; at most 102 + 102 ** 2 + 102 ** 3 different ones exist."""
+    plain = "".join(map(_letter, word))
+    out: Counter[str] = Counter(plain)
+    for n in (2, 3):
+        text = "^" * (n - 1) + plain + "$" * (n - 1)
+        out.update(text[i : i + n] for i in range(len(text) - n + 1))
+    return out
 
 
 def slips(a: str, b: str, most: int = 2) -> int:
@@ -216,112 +228,167 @@ def slips(a: str, b: str, most: int = 2) -> int:
 
 
 class Weights:
-    """Rarity weights of grams."""
+    """Weights of grams by length and rarity, and the vectors of words."""
 
     def __init__(self, counts: dict[str, int], total: int):
-        import math
-
-        self.of = {g: math.log(1 + total / n) for g, n in counts.items()}
-        self.unseen = math.log(1 + total)
-
-    def vector(self, street: str, place: str) -> dict[str, float]:
-        raw = {g: self.of.get(g, self.unseen) for g in grams(street, place)}
-        norm = sum(w * w for w in raw.values()) ** 0.5 or 1.0
-        return {g: w / norm for g, w in raw.items()}
-
-    def prefix(self, street: str, place: str, threshold: float) -> list[str]:
-        """The rarest grams, as many as leave less than the threshold to the rest: any pair over it shares one of them."""
-        order = sorted(self.vector(street, place).items(), key=lambda gw: (-gw[1], gw[0]))
-        rest, out = sum(w * w for _, w in order), []
+        self.of = {g: LENGTHS[len(g)] * math.log(1 + total / n) ** RARITY for g, n in counts.items()}
+        self.counts, self.unseen = counts, math.log(1 + total) ** RARITY
+        self.known: dict[str, dict[str, float]] = {}
+
+    def vector(self, word: str) -> dict[str, float]:
+        """The word's n-grams with weights of length 1 together; words met lately are remembered."""
+        got = self.known.get(word)
+        if got is None:
+            raw = {g: n * self.of.get(g, LENGTHS[len(g)] * self.unseen) for g, n in grams(word).items()}
+            norm = math.sqrt(sum(w * w for w in raw.values())) or 1.0
+            got = {g: w / norm for g, w in raw.items()}
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[word] = got
+        return got
+
+    def cosine(self, a: str, b: str) -> float:
+        if a == b:
+            return 1.0
+        v = self.vector(b)
+        return sum(w * v.get(g, 0.0) for g, w in self.vector(a).items())
+
+    def prefix(self, word: str, threshold: float) -> list[str]:
+        """The rarest grams, as many as leave less than the threshold to the rest: any two words over it share one of them."""
+        order = sorted(self.vector(word).items(), key=lambda gw: (self.counts.get(gw[0], 0), gw[0]))
+        rest, out = 1.0, []
         for g, w in order:
             out.append(g)
             rest -= w * w
-            if rest < threshold * threshold:
+            if rest < threshold * threshold - 1e-9:
                 break
         return out
 
 
+def _counted(words: DataFrame) -> DataFrame:
+    """gram and n over the rows of one column of words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                seen.update(set(grams(word)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["gram", "n"])
+
+    return words.mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _kept(met: DataFrame, weights: Broadcast, threshold: float, ids: str) -> DataFrame:
+    """x and y of the rows of met (x, y, wx, wy) whose words reach the threshold."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Weights(*weights.value)
+        for batch in batches:
+            keep = pa.array([own.cosine(a, b) >= threshold for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+            kept = batch.filter(keep)
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["x", "y"])
+
+    return met.select("x", "y", "wx", "wy").mapInArrow(verify, f"x {ids}, y {ids}")
+
+
+def _indexed(entries: DataFrame, weights: Broadcast, threshold: float) -> DataFrame:
+    """entries (with a column word) once for each gram of the word's prefix."""
+    at = entries.columns.index("word")
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Weights(*weights.value)
+        for batch in batches:
+            lists = pa.array([own.prefix(w, threshold) for w in batch.column(at).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "prefix"])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in entries.dtypes) + ", prefix array<string>"
+    return entries.mapInArrow(index, schema).withColumn("gram", F.explode("prefix")).drop("prefix")
+
+
+def _candidates(left: DataFrame, right: DataFrame | None, weights: Broadcast, threshold: float) -> DataFrame:
+    """x, y, wx, wy of entries (anchor, id, word, bare) that share the anchor; of one side, each pair once, of two, each left with each right.
+
+    An anchor is half of each vector, so it alone is the prefix: the rest, the
+    street, can't reach the threshold. Where many entries share one, as many
+    nameless houses may, the pair must share a gram of the prefix of its streets too.
+    """
+    both = left if right is None else left.unionByName(right)
+    large = both.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PLAIN).select("anchor")
+
+    def met(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        x = a.select(*on, F.col("id").alias("x"), F.col("word").alias("wx"), F.col("bare").alias("bx"))
+        y = b.select(*on, F.col("id").alias("y"), F.col("word").alias("wy"), F.col("bare").alias("by"))
+        once = F.col("x") < F.col("y") if right is None else (F.col("x") < F.col("y")) | (~F.col("by") & (F.col("x") != F.col("y")))
+        return x.join(y, on).where(once).select("x", "y", "wx", "wy")
+
+    few = lambda df: df.join(large, "anchor", "left_anti")
+    many = lambda df: _indexed(df.join(large, "anchor", "left_semi"), weights, threshold)
+    other = left if right is None else right
+    dense = met(many(left), many(other), ["anchor", "gram"]).dropDuplicates(["x", "y"])
+    return met(few(left), few(other), ["anchor"]).unionAll(dense)
+
+
 def _expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of both entries of each pair of entries; large entries are cut into slices of about a thousand rows."""
+    """Rows of both entries of each pair of entries; large entries are cut on both sides into slices of about a thousand rows."""
     sizes = members.groupBy("form").agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("slices"))
-    sliced = pairs.join(sizes.withColumnRenamed("form", "fa"), "fa").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    cut = members.join(sizes, "form").select(F.col("form").alias("fa"), F.col("address_id").alias("a"), F.pmod(F.xxhash64("address_id"), F.col("slices")).cast("int").alias("slice"))
-    left = sliced.join(cut, ["fa", "slice"]).select("fa", "fb", "a")
-    right = members.select(F.col("form").alias("fb"), F.col("address_id").alias("b"))
-    return left.join(right, "fb").where((F.col("fa") != F.col("fb")) | (F.col("a") < F.col("b"))).select("a", "b")
+
+    def side(form: str, row: str, cut: str) -> tuple[DataFrame, DataFrame]:
+        rows = members.join(sizes.where("slices > 1"), "form", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+        rows = rows.select(F.col("form").alias(form), F.col("address_id").alias(row), F.pmod(F.xxhash64("address_id"), F.col("slices")).cast("int").alias(cut))
+        return sizes.select(F.col("form").alias(form), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias(cut)), rows
+
+    (cuts_a, rows_a), (cuts_b, rows_b) = side("fa", "a", "ca"), side("fb", "b", "cb")
+    sliced = pairs.join(cuts_a, "fa").join(cuts_b, "fb")
+    out = sliced.join(rows_a, ["fa", "ca"]).join(rows_b, ["fb", "cb"])
+    return out.where((F.col("fa") != F.col("fb")) | (F.col("a") < F.col("b"))).select("a", "b")
 
 
 def same_location(addresses: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """address_a, address_b (address_a smaller) of every pair of rows that denote one location.
 
     House number, letter and flat must be equal, a flat that only one of them
-    tells being a difference; streets of one kind may differ by two slips of the
-    pen. Where both tell a postcode, it must be equal; where one doesn't, the
-    places must agree, a postcode standing for the place most rows with it name.
+    tells being a difference; the names of streets of one kind must be alike.
+    Where both tell a postcode, it must be equal; where one doesn't, the places
+    must be alike, a postcode standing for the place most rows with it name.
     Rows without a street, or with neither place nor postcode, denote no location
     and match nothing, as do rows without an address_id. Rows of equal text are
-    pairs; a repeated address_id counts once.
+    pairs; of rows with one address_id the smallest reading counts.
     """
     spark = addresses.sparkSession
     space = Workspace(spark, "addresses")
+    street_share = 2 * threshold - 1  # what the streets' own cosine must be where the anchor is shared
     told = space.save(readings(addresses).where("address_id is not null and street <> ''"), "read")
     named = told.where("area <> '' and place <> ''").groupBy("area", "place").count()
-    majority = named.groupBy("area").agg(F.max_by("place", F.struct("count", "place")).alias("usual"))
-    placed = told.join(majority, "area", "left").withColumn("place", F.coalesce("usual", "place"))
-    placed = placed.where("place <> '' or postcode <> ''").select("address_id", "house", "kind", "street", "place", "postcode").distinct()
+    majority = space.save(named.groupBy("area").agg(F.max_by("place", F.struct("count", "place")).alias("usual")), "usual")
+    placed = told.where("area <> ''").join(majority, "area", "left").withColumn("place", F.coalesce("usual", "place")).drop("usual")
+    placed = placed.unionByName(told.where("area = ''")).where("place <> '' or postcode <> ''")
     parts = ["house", "kind", "street", "place", "postcode"]
-    forms = space.save(placed.groupBy(*parts).agg(F.count(F.lit(1)).alias("n")).withColumn("form", F.monotonically_increasing_id()), "forms")
-    members = placed.join(forms, parts).select("form", "address_id")
-    members = space.save(members, "members")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for street, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen.update(grams(street, place))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["gram", "n"])
-
-    counted = forms.select("street", "place").mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    counts = {r.gram: r.n for r in counted.collect()}  # bounded: see grams
-    shared = spark.sparkContext.broadcast((counts, forms.count()))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(*shared.value)
-        for batch in batches:
-            s, p = batch.schema.get_field_index("street"), batch.schema.get_field_index("place")
-            lists = pa.array([weights.prefix(x, y, threshold) for x, y in zip(batch.column(s).to_pylist(), batch.column(p).to_pylist())], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "prefix"])
-
-    schema = "form bigint, house string, kind string, street string, place string, postcode string, prefix array<string>"
-    indexed = forms.select("form", *parts).mapInArrow(index, schema).withColumn("gram", F.explode("prefix")).drop("prefix")
-    near = indexed.select(*(F.col(c).alias(f"{c}_2") if c not in ("house", "kind", "gram") else F.col(c) for c in indexed.columns))
-    met = indexed.join(near, ["house", "kind", "gram"]).where("form < form_2 and (postcode = postcode_2 or postcode = '' or postcode_2 = '')")
-    met = met.where("abs(length(street) - length(street_2)) <= 2")
-    candidates = met.groupBy(F.col("form").alias("fa"), F.col("form_2").alias("fb")).agg(
-        *(F.first(c).alias(c) for c in ("street", "street_2", "place", "place_2", "postcode", "postcode_2"))
-    )
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(*shared.value)
-        for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns))
-            kept = []
-            for fa, fb, s1, s2, p1, p2, c1, c2 in rows:
-                most = 2 if min(len(s1), len(s2)) > 4 else 1
-                if slips(s1, s2, most) > most:
-                    continue
-                if not (c1 and c1 == c2) and not (p1 and p2 and slips(p1, p2) <= 2):
-                    continue
-                v1, v2 = weights.vector(s1, p1), weights.vector(s2, p2)
-                cosine = sum(w * v2.get(g, 0.0) for g, w in v1.items())
-                if cosine >= threshold:
-                    kept.append((fa, fb, cosine))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.float64())], ["fa", "fb", "similarity"])
-
-    alike = candidates.mapInArrow(verify, "fa bigint, fb bigint, similarity double").select("fa", "fb")
+    one = placed.groupBy("address_id").agg(F.min(F.struct(*parts)).alias("r")).select("address_id", "r.*")
+    # An entry's number is the digest of its parts: equal readings need no join to find theirs.
+    members = space.save(one.withColumn("form", F.unhex(F.md5(F.to_json(F.struct(*parts))))), "members")
+    forms = space.save(members.groupBy("form").agg(*(F.first(c).alias(c) for c in parts), F.count(F.lit(1)).alias("n")), "forms")
+    members = members.select("form", "address_id")
+
+    words = forms.select(F.col("street").alias("w")).unionAll(forms.select("place").where("place <> ''"))
+    counts = {r.gram: r.n for r in _counted(words).collect()}  # bounded: see grams
+    weights = spark.sparkContext.broadcast((counts, 2 * forms.count()))
+
+    anchor = lambda area: F.concat_ws("|", "house", "kind", area)
+    entry = lambda df, area: df.select(anchor(area).alias("anchor"), F.col("form").alias("id"), F.col("street").alias("word"), (F.col("postcode") == "").alias("bare"))
+    coded = _candidates(entry(forms.where("postcode <> ''"), "postcode"), None, weights, street_share)
+
+    # Rows without a postcode meet all rows of places spelt like theirs. Places are far fewer than rows.
+    bare = forms.where("postcode = ''")
+    spelt = space.save(forms.where("place <> ''").groupBy("place").agg(F.max(F.col("postcode") == "").alias("bare")).select(F.col("place").alias("word"), "bare"), "places")
+    x = _indexed(spelt.where("bare").select("word"), weights, PLACES).select("gram", F.col("word").alias("x"))
+    y = _indexed(spelt.select("word"), weights, PLACES).select("gram", F.col("word").alias("y"))
+    near = x.join(y, "gram").where("abs(length(x) - length(y)) <= 3").select("x", "y", F.col("x").alias("wx"), F.col("y").alias("wy")).distinct()
+    near = space.save(_kept(near, weights, PLACES, "string"), "near")
+    asking = bare.join(near.select(F.col("x").alias("place"), F.col("y").alias("spelt")), "place")
+    placewise = _candidates(entry(asking, "spelt"), entry(forms.where("place <> ''"), "place"), weights, street_share)
+
+    alike = _kept(coded.unionAll(placewise), weights, street_share, "binary").select(F.col("x").alias("fa"), F.col("y").alias("fb"))
     own = forms.where("n > 1").select(F.col("form").alias("fa"), F.col("form").alias("fb"))
     alike = space.save(alike.unionAll(own), "alike")
     pairs = _expand(members, alike)
-    return pairs.where("a <> b").select(F.least("a", "b").alias("address_a"), F.greatest("a", "b").alias("address_b")).distinct()
+    return pairs.select(F.least("a", "b").alias("address_a"), F.greatest("a", "b").alias("address_b"))

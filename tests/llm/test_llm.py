@@ -4,6 +4,7 @@ import base64
 import datetime
 import os
 import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -177,8 +178,6 @@ def test_damage_is_found_and_undone(spark):
 
 
 def _restorer(texts):
-    from collections import Counter
-
     counts: Counter = Counter()
     for text in texts:
         for w in garbled.WORD.findall(text):
@@ -257,14 +256,44 @@ def test_same_locations_equal_brute_force(spark):
         house, kind, street, place, code = addresses.read(*a)
         if k is not None and street and (place or code):
             told[k] = (house, kind, street, areas.get(code[:-3], place) if code else place, code)
+    counts, forms = Counter(), set(told.values())
+    for f in forms:
+        for word in (f[2], f[3]):
+            counts.update(set(addresses.grams(word)) if word else ())
+    own = addresses.Weights(counts, 2 * len(forms))
     want = set()
     for (i, x), (j, y) in combinations(sorted(told.items()), 2):
-        if x[:2] == y[:2] and addresses.slips(x[2], y[2]) <= 2 and (x[4] == y[4] if x[4] and y[4] else x[3] == y[3]):
+        if x[:2] == y[:2] and own.cosine(x[2], y[2]) >= 0.55 and (x[4] == y[4] if x[4] and y[4] else own.cosine(x[3], y[3]) >= addresses.PLACES):
             want.add((i, j))
     assert got == want and len(want) > 150
+    by_slips = {(i, j) for (i, x), (j, y) in combinations(sorted(told.items()), 2) if x[:2] == y[:2] and addresses.slips(x[2], y[2]) <= 2 and (x[4] == y[4] if x[4] and y[4] else x[3] == y[3])}
+    assert len(got & by_slips) >= 0.99 * len(by_slips)
     assert addresses.same_location(df.limit(0)).count() == 0
 
 
+def test_the_prefix_is_short_and_loses_nothing():
+    rng = random.Random(18)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 9))) for _ in range(150)]
+    words += [w[:2] + w[3] + w[2] + w[4:] for w in words if len(w) > 4]
+    own = addresses.Weights(Counter(g for w in words for g in set(addresses.grams(w))), len(words))
+    for at in (0.55, addresses.PLACES):
+        prefixes = {w: set(own.prefix(w, at)) for w in words}
+        assert all(prefixes[a] & prefixes[b] for a, b in combinations(sorted(set(words)), 2) if own.cosine(a, b) >= at)
+    # Of a whole address the gram of house and area is the prefix: without it, half of the mass can't reach the threshold.
+    assert 0.5 < addresses.THRESHOLD
+
+
+def test_many_entries_of_one_house_are_indexed_by_their_streets(spark, monkeypatch):
+    rng = random.Random(19)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(60)]
+    names += [n[:3] + n[4] + n[3] + n[5:] for n in names]
+    rows = [(k, f"{n} Lane", "Norwickmoor", rng.choice(["AA1 2BC", None])) for k, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "address_id long, line1 string, city string, postcode string")
+    whole = {tuple(r) for r in addresses.same_location(df).collect()}
+    monkeypatch.setattr(addresses, "PLAIN", 3)
+    assert {tuple(r) for r in addresses.same_location(df).collect()} == whole and len(whole) >= 50
+
+
 def test_a_third_of_equal_addresses_is_whole(spark):
     rows = [(k, "5 Granary Lane", "Norwickmoor", "AA1 2BC") for k in range(120)] + [(k, f"{k} Harbour Road", "Norwickmoor", "AA1 3BC") for k in range(1000, 1240)]
     assert addresses.same_location(spark.createDataFrame(rows, "address_id long, line1 string, city string, postcode string")).count() == 120 * 119 // 2
