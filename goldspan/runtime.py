@@ -50,6 +50,7 @@ class Workspace:
         self.spark = spark
         self.root = root or f"{shared_dir(spark)}/goldspan/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._saved: dict[str, list[str]] = {}
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -58,7 +59,15 @@ class Workspace:
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Write df and return a reader of the written table, its lineage cut."""
         path = self.path(name)
-        return self.read(self.write(df, path, partition_by), df.schema)
+        out = self.read(self.write(df, path, partition_by), df.schema)
+        self._saved.setdefault(name, []).append(path)
+        return out
+
+    def clear(self, *names: str) -> None:
+        """Delete all that save() wrote under these names, once nothing reads it any more."""
+        for name in names:
+            for path in self._saved.pop(name, []):
+                self.delete(path)
 
     def write(self, df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
         writer = df.write.option("compression", "zstd")
