@@ -212,17 +212,26 @@ def slips(a: str, b: str, most: int = 2) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    while a and b and a[0] == b[0]:  # equal ends take part in no slip
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return len(a) + len(b)
+    far = most + 1
     two: list[int] = []
-    one = list(range(len(b) + 1))
+    one = [k if k <= most else far for k in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(one[j] + 1, row[j - 1] + 1, one[j - 1] + (x != y))
+        row = [far] * (len(b) + 1)
+        row[0] = i if i <= most else far
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):  # further from the diagonal lie more slips than count
+            y = b[j - 1]
+            best = min(one[j] + 1, row[j - 1] + 1, one[j - 1] + (x != y), far)
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 best = min(best, two[j - 2] + 1)
-            row.append(best)
+            row[j] = best
         if min(row) > most:
-            return most + 1
+            return far
         two, one = one, row
     return one[-1]
 
@@ -328,7 +337,7 @@ def _candidates(left: DataFrame, right: DataFrame | None, weights: Broadcast, th
     return met(few(left), few(other), ["anchor"]).unionAll(dense)
 
 
-def _expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
+def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of both entries of each pair of entries; large entries are cut on both sides into slices of about a thousand rows."""
     sizes = members.groupBy("form").agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("slices"))
 
@@ -340,7 +349,7 @@ def _expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
     (cuts_a, rows_a), (cuts_b, rows_b) = side("fa", "a", "ca"), side("fb", "b", "cb")
     sliced = pairs.join(cuts_a, "fa").join(cuts_b, "fb")
     out = sliced.join(rows_a, ["fa", "ca"]).join(rows_b, ["fb", "cb"])
-    return out.where((F.col("fa") != F.col("fb")) | (F.col("a") < F.col("b"))).select("a", "b")
+    return out.where((F.col("fa") != F.col("fb")) | (F.col("a") < F.col("b"))).select("fa", "fb", "a", "b")
 
 
 def same_location(addresses: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -390,5 +399,5 @@ def same_location(addresses: DataFrame, threshold: float = THRESHOLD) -> DataFra
     alike = _kept(coded.unionAll(placewise), weights, street_share, "binary").select(F.col("x").alias("fa"), F.col("y").alias("fb"))
     own = forms.where("n > 1").select(F.col("form").alias("fa"), F.col("form").alias("fb"))
     alike = space.save(alike.unionAll(own), "alike")
-    pairs = _expand(members, alike)
+    pairs = expand(members, alike)
     return pairs.select(F.least("a", "b").alias("address_a"), F.greatest("a", "b").alias("address_b"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldspan.llm import traits
+from goldspan.llm import levels, traits
+from goldspan.llm.addresses import expand
 from goldspan.llm.components import contract
 from goldspan.runtime import Workspace, spread
 
@@ -85,7 +87,8 @@ class Kind:
     columns: tuple[str, ...]
     read: Callable[[dict], dict]
     keys: Callable[[dict], list[str]]
-    compare: Callable[[dict, dict], tuple[int, ...]]
+    #: Levels of agreement of many pairs of records at once.
+    compare: Callable[[levels.Records, np.ndarray, np.ndarray], list[np.ndarray]]
     #: Weight of each level of each field before any evidence, in nats.
     weights: dict[str, dict[int, float]]
     bias: float
@@ -94,7 +97,7 @@ class Kind:
 PERSON = Kind(
     "person",
     ("given_name", "family_name", "birth_date", "email", "phone", "postcode", "city", "person_ref", "addresses", "employer"),
-    traits.person, _person_keys, traits.compare_persons,
+    traits.person, _person_keys, levels.Records.persons,
     {
         "given": {0: 0, 1: 2, 2: 1.2, 3: 1, 4: -1.5, 5: -5},
         "family": {0: 0, 1: 2.5, 2: 1, 3: 1.5, 4: -1, 5: -4},
@@ -109,7 +112,7 @@ PERSON = Kind(
 FIRM = Kind(
     "organisation",
     ("name", "registered_id", "phone", "email", "website", "postcode", "city", "addresses", "parent"),
-    traits.firm, _firm_keys, traits.compare_firms,
+    traits.firm, _firm_keys, levels.Records.firms,
     {
         "family": {0: 0, 1: 2.5, 2: 1.5, 3: 1.5, 4: -2.5, 5: -5},
         "email": {0: 0, 1: 3, 2: 1, 4: -3},
@@ -121,15 +124,16 @@ FIRM = Kind(
 #: Weight of identifiers; their agreement labels the pairs that the other weights are fitted on, so it isn't fitted itself.
 IDENT = {0: 0.0, 1: 9.0, 2: 4.0, 3: -0.5, 4: -7.0}
 
-TRAITS = "given string, family string, born string, email string, phone string, ident string, houses array<string>, codes array<string>, town string, employer string"
 FIELDS = ("given", "family", "born", "email", "phone", "ident", "houses", "codes", "town", "employer")
+#: Besides the traits, bits of the houses' numbers and of the codes that tell at once when two records share none.
+TRAITS = "given string, family string, born string, email string, phone string, ident string, houses array<string>, codes array<string>, town string, employer string, spots bigint, areas bigint"
 _TYPES = [pa.list_(pa.string()) if f in ("houses", "codes") else pa.string() for f in FIELDS]
+NAMES = (*FIELDS, "spots", "areas")
 
 
 def _read(records: DataFrame, kind: Kind) -> DataFrame:
-    """rec, system, the traits and sort keys of every record with both parts of its key."""
-    rows = records.where("source_system is not null and source_key is not null")
-    rows = spread(rows.select("source_system", "source_key", *kind.columns), True) if not rows.isEmpty() else rows.select("source_system", "source_key", *kind.columns)
+    """rec, system, the traits and sort keys of every record with both parts of its key; of rows of one record the smallest counts."""
+    rows = spread(records.where("source_system is not null and source_key is not null").select("source_system", "source_key", *kind.columns))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,22 +144,21 @@ def _read(records: DataFrame, kind: Kind) -> DataFrame:
                 told.append(kind.read(r))
             columns = [pa.array(recs, pa.string()), pa.array(systems, pa.string())]
             columns += [pa.array([t[f] for t in told], ty) for f, ty in zip(FIELDS, _TYPES)]
+            columns.append(pa.array([levels.bloom([h.rpartition("|")[0] for h in t["houses"]]) for t in told], pa.int64()))
+            columns.append(pa.array([levels.bloom(t["codes"]) for t in told], pa.int64()))
             columns.append(pa.array([kind.keys(t) for t in told], pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays(columns, ["rec", "system", *FIELDS, "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["rec", "system", *NAMES, "keys"])
 
-    return rows.mapInArrow(read, f"rec string, system string, {TRAITS}, keys array<string>").dropDuplicates(["rec"])
+    told = rows.mapInArrow(read, f"rec string, system string, {TRAITS}, keys array<string>")
+    return told.groupBy("rec").agg(F.min(F.struct("system", *NAMES, "keys")).alias("r")).select("rec", "r.*")
 
 
-def _levels(compare: Callable[[dict, dict], tuple[int, ...]], x: dict, y: dict) -> str:
-    return "".join(map(str, compare(x, y)))
-
-
-def neighbours(keyed: DataFrame, space: Workspace, window: int = WINDOW, compare: Callable[[dict, dict], tuple[int, ...]] | None = None) -> DataFrame:
+def neighbours(keyed: DataFrame, space: Workspace, window: int = WINDOW, compare: Callable[[levels.Records, np.ndarray, np.ndarray], list[np.ndarray]] | None = None) -> DataFrame:
     """a, b of all rows of ``keyed`` (id, pass, key) less than ``window`` apart in the order of a pass.
 
-    With ``compare``, keyed has the traits ``told`` as well, and every pair its
-    levels: pairs are compared where the window meets them, so traits travel once
-    for each key and not once for each pair.
+    With ``compare``, keyed has the traits as well, and every pair its levels:
+    pairs are compared where the window meets them, so traits travel once for
+    each key and not once for each pair.
 
     The order is cut into ranges that are windowed apart from each other; pairs
     that reach over a cut come from the ends of the ranges, by their place in the
@@ -163,54 +166,54 @@ def neighbours(keyed: DataFrame, space: Workspace, window: int = WINDOW, compare
     """
     spark = keyed.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = keyed.repartitionByRange(width, "pass", "key", "id").sortWithinPartitions("pass", "key", "id").select("id", "pass", *(["told"] if compare else []))
-    out = pa.schema([("what", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("levels", pa.string()), ("part", pa.int32()), ("pos", pa.int64()), ("pass", pa.string())])
+    told = NAMES if compare else ()
+    order = keyed.repartitionByRange(width, "pass", "key", "id").sortWithinPartitions("pass", "key", "id").select("id", "pass", *told)
+    out = pa.schema([("what", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("levels", pa.int32()), ("part", pa.int32()), ("pos", pa.int64()), ("pass", pa.string())])
 
     def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
-        ids, passes, told = np.empty(0, np.int64), np.empty(0, object), []
+        part, n, headed = TaskContext.get().partitionId(), 0, 0
+        held: pa.Table | None = None
 
-        def rows(what: int, a, b, levels, pos, ps) -> pa.RecordBatch:
+        def rows(what: int, a, b, level, pos, ps) -> pa.RecordBatch:
             k = len(a)
             return pa.RecordBatch.from_arrays(
-                [pa.array([what] * k, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(levels, pa.string()), pa.array([part] * k, pa.int32()), pa.array(pos, pa.int64()), pa.array(ps, pa.string())],
+                [pa.array(np.full(k, what), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(level, pa.int32()), pa.array(np.full(k, part), pa.int32()), pa.array(pos, pa.int64()), pa.array(ps, pa.string())],
                 schema=out,
             )
 
-        headed = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            new_passes = np.array(batch.column(1).to_pylist(), dtype=object)
-            old = len(ids)
-            ids, passes = np.concatenate([ids, new_ids]), np.concatenate([passes, new_passes])
-            if compare:
-                told = told + batch.column(2).to_pylist()
+            new = pa.Table.from_batches([batch])
+            old = 0 if held is None else held.num_rows
+            held = new if held is None else pa.concat_tables([held, new]).combine_chunks()
+            ids = held.column(0).to_numpy()
+            passes = held.column(1).combine_chunks().dictionary_encode()
+            code = passes.indices.to_numpy(zero_copy_only=False)
+            names = np.array(passes.dictionary.to_pylist(), dtype=object)
             if headed < window - 1:
-                k = min(window - 1 - headed, len(new_ids))
-                yield rows(1, new_ids[:k], [None] * k, [None] * k, list(range(headed, headed + k)), list(new_passes[:k]))
+                k = min(window - 1 - headed, new.num_rows)
+                head = slice(old, old + k)
+                yield rows(1, ids[head], [None] * k, [None] * k, np.arange(headed, headed + k), list(names[code[head]]))
                 headed += k
-            for d in range(1, window):
-                lo = max(old - d, 0)  # the later row of each pair is new
-                if len(ids) - d <= lo:
-                    continue
-                x, y = slice(lo, len(ids) - d), slice(lo + d, len(ids))
-                at = np.flatnonzero((passes[x] == passes[y]) & (ids[x] != ids[y])) + lo
-                if len(at):
-                    i, j = np.where(ids[at] < ids[at + d], at, at + d), np.where(ids[at] < ids[at + d], at + d, at)
-                    levels = [_levels(compare, told[p], told[q]) for p, q in zip(i.tolist(), j.tolist())] if compare else [None] * len(at)
-                    yield rows(0, ids[i], ids[j], levels, [None] * len(at), [None] * len(at))
-            n += len(new_ids)
-            keep = min(window - 1, len(ids))
-            ids, passes, told = ids[-keep:] if keep else ids[:0], passes[-keep:] if keep else passes[:0], told[-keep:] if keep else []
+            first = np.concatenate([np.arange(max(old - d, 0), max(len(ids) - d, 0)) for d in range(1, window)])  # the later row of each pair is new
+            far = np.concatenate([np.full(max(max(len(ids) - d, 0) - max(old - d, 0), 0), d) for d in range(1, window)]).astype(np.int64)
+            fits = (code[first] == code[first + far]) & (ids[first] != ids[first + far])
+            x, y = first[fits], (first + far)[fits]
+            if len(x):
+                i, j = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+                level = levels.packed(compare(levels.Records(held), i, j)) if compare else np.zeros(len(i), np.int32)
+                yield rows(0, ids[i], ids[j], level, [None] * len(i), [None] * len(i))
+            n += new.num_rows
+            held = held.slice(max(held.num_rows - window + 1, 0))
         if n:
+            ids, passes = held.column(0).to_numpy(), held.column(1).to_pylist()
             tail = [k for k in range(len(ids)) if n - len(ids) + k >= headed]
             if tail:
-                yield rows(1, ids[tail], [None] * len(tail), [None] * len(tail), [n - len(ids) + k for k in tail], list(passes[tail]))
+                yield rows(1, ids[tail], [None] * len(tail), [None] * len(tail), [n - len(ids) + k for k in tail], [passes[k] for k in tail])
             yield rows(2, [0], [None], [None], [n], [None])
 
-    found = space.save(order.mapInArrow(slide, "what int, a bigint, b bigint, levels string, part int, pos bigint, pass string"), "windows")
+    found = space.save(order.mapInArrow(slide, "what int, a bigint, b bigint, levels int, part int, pos bigint, pass string"), "windows")
     sizes = {r.part: r.pos for r in found.where("what = 2").select("part", "pos").collect()}  # a row for each range
     offsets, total = [], 0
     for part in sorted(sizes):
@@ -231,18 +234,21 @@ def neighbours(keyed: DataFrame, space: Workspace, window: int = WINDOW, compare
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            levels = [_levels(compare, x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(levels, pa.string())], ["a", "b", "levels"])
+            k = batch.num_rows
+            sides = [pa.table({n: batch.column(at).field(m) for m, n in enumerate(NAMES)}) for at in (2, 3)]
+            both = pa.concat_tables(sides).combine_chunks()
+            level = levels.packed(compare(levels.Records(both), np.arange(k), np.arange(k, 2 * k))) if k else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(level, pa.int32())], ["a", "b", "levels"])
 
     # Few: less than window * window for each cut. A record tells the same under all its keys.
-    of = lambda end, name: keyed.select(F.col("id").alias(end), F.col("told").alias(name)).join(F.broadcast(over.select(end).distinct()), end, "left_semi").dropDuplicates([end])
+    of = lambda end, name: keyed.select(F.col("id").alias(end), F.struct(*NAMES).alias(name)).join(F.broadcast(over.select(end).distinct()), end, "left_semi").dropDuplicates([end])
     joined = over.distinct().join(of("a", "l"), "a").join(of("b", "r"), "b").select("a", "b", "l", "r")
-    return inside.select("a", "b", "levels").unionAll(joined.mapInArrow(finish, "a bigint, b bigint, levels string")).distinct()
+    return inside.select("a", "b", "levels").unionAll(joined.mapInArrow(finish, "a bigint, b bigint, levels int")).distinct()
 
 
-def _terms(kind: Kind, levels: tuple[int, ...]) -> list[str]:
+def _terms(kind: Kind, level: tuple[int, ...]) -> list[str]:
     """The terms of a pair in the model: each field's level, and levels that mean more together."""
-    at = dict(zip(traits.PERSON_FIELDS, levels))
+    at = dict(zip(traits.PERSON_FIELDS, level))
     out = [f"{f}={at[f]}" for f in kind.weights]
     if kind is PERSON or kind.entity == "person":
         out += [f"given={at['given']}&born={at['born']}", f"born={at['born']}&place={at['place']}", f"email={at['email']}&phone={at['phone']}"]
@@ -260,14 +266,14 @@ def fit(kind: Kind, patterns: list[tuple[tuple[int, ...], int, int]], strength:
     combinations of levels: their number doesn't grow with the data.
     """
     prior = {f"{f}={lv}": float(w) for f, by in kind.weights.items() for lv, w in by.items()} | {"bias": kind.bias}
-    names = sorted({t for levels, _, _ in patterns for t in _terms(kind, levels)} | set(prior))
+    names = sorted({t for level, _, _ in patterns for t in _terms(kind, level)} | set(prior))
     index = {t: k for k, t in enumerate(names)}
     w0 = np.array([prior.get(t, 0.0) for t in names])
     if not patterns:
         return dict(zip(names, w0))
     x = np.zeros((len(patterns), len(names)))
-    for i, (levels, _, _) in enumerate(patterns):
-        x[i, [index[t] for t in _terms(kind, levels)]] = 1
+    for i, (level, _, _) in enumerate(patterns):
+        x[i, [index[t] for t in _terms(kind, level)]] = 1
         x[i, index["bias"]] = 1
     neg, pos = (np.array([p[k] for p in patterns], float) for k in (1, 2))
     n, w = neg + pos, w0.copy()
@@ -283,9 +289,9 @@ def fit(kind: Kind, patterns: list[tuple[tuple[int, ...], int, int]], strength:
     return dict(zip(names, w))
 
 
-def confidence(kind: Kind, weights: dict[str, float], levels: tuple[int, ...]) -> float:
-    at = dict(zip(traits.PERSON_FIELDS, levels))
-    z = weights["bias"] + sum(weights.get(t, 0.0) for t in _terms(kind, levels)) + IDENT[at["ident"]]
+def confidence(kind: Kind, weights: dict[str, float], level: tuple[int, ...]) -> float:
+    at = dict(zip(traits.PERSON_FIELDS, level))
+    z = weights["bias"] + sum(weights.get(t, 0.0) for t in _terms(kind, level)) + IDENT[at["ident"]]
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -298,12 +304,12 @@ def scored(read: DataFrame, pairs: DataFrame, kind: Kind, space: Workspace) -> D
     at = traits.PERSON_FIELDS.index("ident")
     labelled: dict[tuple[int, ...], list[int]] = {}
     for code, n in patterns.items():
-        levels = tuple(map(int, code))
-        if levels[at] in (1, 4):
-            labelled.setdefault(levels[:at] + (0,) + levels[at + 1 :], [0, 0])[int(levels[at] == 1)] += n
+        level = levels.unpacked(code)
+        if level[at] in (1, 4):
+            labelled.setdefault(level[:at] + (0,) + level[at + 1 :], [0, 0])[int(level[at] == 1)] += n
     weights = fit(kind, [(lv, *n) for lv, n in sorted(labelled.items())])
-    sure = [(code, c) for code in patterns if (c := confidence(kind, weights, tuple(map(int, code)))) >= LINK]
-    links = compared.join(F.broadcast(spark.createDataFrame(sure, "levels string, confidence double")), "levels")
+    sure = [(code, c) for code in patterns if (c := confidence(kind, weights, levels.unpacked(code))) >= LINK]
+    links = compared.join(F.broadcast(spark.createDataFrame(sure, "levels int, confidence double")), "levels")
     of = lambda end: read.select(F.col("id").alias(end), F.col("system").alias(f"s{end}"))
     return links.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "confidence")
 
@@ -407,10 +413,11 @@ def same_entities(records: DataFrame, kind: Kind, window: int = WINDOW) -> DataF
     """
     space = Workspace(records.sparkSession, f"match-{kind.entity}")
     read = space.save(_read(records, kind).withColumn("id", F.monotonically_increasing_id()), "traits")
-    keys = F.array_distinct(F.transform("keys", lambda k: F.substring(k, 1, 1002)))
-    keyed = read.select("id", F.struct(*FIELDS).alias("told"), F.explode(keys).alias("k")).select("id", F.substring("k", 1, 1).alias("pass"), F.substring("k", 3, 1000).alias("key"), "told")
+    keyed = read.select("id", *NAMES, F.explode(F.array_distinct("keys")).alias("k"))
+    keyed = keyed.select("id", F.substring("k", 1, 1).alias("pass"), F.expr("substring(k, 3)").alias("key"), *NAMES)
     pairs = neighbours(keyed, space, window, kind.compare)
     links = space.save(scored(read, pairs, kind, space), "links")
+    space.clear("windows", "compared")
 
     # Copies within a source become one class, named by its representative.
     inner = links.where("sa = sb")
@@ -424,6 +431,7 @@ def same_entities(records: DataFrame, kind: Kind, window: int = WINDOW) -> DataF
         F.when(flip, F.col("ca")).otherwise(F.col("cb")).alias("u"), F.when(flip, F.col("cb")).otherwise(F.col("ca")).alias("v"),
     ).agg(F.max("confidence").alias("w"))
     chosen = space.save(one_to_one(edges, space), "chosen")
+    space.clear("marked", "ends", "contested", "sets")
 
     groups = contract(chosen.select("u", "v"), space).select(F.col("v").alias("class"), "rep")
     grouped = space.save(classes.join(groups, "class", "left").withColumn("group", F.coalesce("rep", "class")).drop("rep"), "grouped")
@@ -431,9 +439,10 @@ def same_entities(records: DataFrame, kind: Kind, window: int = WINDOW) -> DataF
     clean = grouped.join(clash, "group", "left_anti")
     least = chosen.join(of.select(F.col("id").alias("u")), "u").select("u", "w").unionAll(inner.select(F.col("a").alias("u"), F.col("confidence").alias("w")))
     least = least.join(grouped.select(F.col("id").alias("u"), "group"), "u").groupBy("group").agg(F.min("w").alias("least"))
-    mine = clean.select("group", F.col("rec").alias("x"), F.col("id").alias("ix"))
-    other = clean.select("group", F.col("rec").alias("y"), F.col("id").alias("iy"))
-    whole = mine.join(other, "group").where("ix < iy").join(least, "group", "left")
+    members = clean.select(F.col("group").alias("form"), F.struct("id", "rec").alias("address_id"))
+    several = clean.groupBy("group").count().where("count > 1").select(F.col("group").alias("fa"), F.col("group").alias("fb"))
+    whole = expand(members, several).select("fa", F.col("a.id").alias("ix"), F.col("b.id").alias("iy"), F.col("a.rec").alias("x"), F.col("b.rec").alias("y"))
+    whole = whole.join(least.withColumnRenamed("group", "fa"), "fa", "left")
     direct = links.select(F.col("a").alias("ix"), F.col("b").alias("iy"), "confidence")
     whole = whole.join(direct, ["ix", "iy"], "left").select("x", "y", F.coalesce("confidence", "least").alias("confidence"))
 
@@ -446,6 +455,8 @@ def same_entities(records: DataFrame, kind: Kind, window: int = WINDOW) -> DataF
 
 
 def all_matches(persons: DataFrame, firms: DataFrame) -> DataFrame:
-    """entity, left_rec, right_rec and confidence of all matching pairs of persons and of firms."""
-    parts = [same_entities(df, kind).select(F.lit(kind.entity).alias("entity"), "left_rec", "right_rec", "confidence") for df, kind in ((persons, PERSON), (firms, FIRM))]
-    return parts[0].unionAll(parts[1])
+    """entity, left_rec, right_rec and confidence of all matching pairs of persons and of firms, both matched at the same time."""
+    with ThreadPoolExecutor(2) as pool:
+        parts = list(pool.map(lambda job: same_entities(*job), ((persons, PERSON), (firms, FIRM))))
+    named = [df.select(F.lit(kind.entity).alias("entity"), "left_rec", "right_rec", "confidence") for df, kind in zip(parts, (PERSON, FIRM))]
+    return named[0].unionAll(named[1])

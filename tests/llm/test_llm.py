@@ -10,7 +10,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from goldspan.llm import addresses, components, garbled, matching, mixture, survivors, tokens, traits
+from goldspan.llm import addresses, components, garbled, levels, matching, mixture, survivors, tokens, traits
 from goldspan.runtime import Workspace
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="no vocabulary here")
@@ -271,6 +271,23 @@ def test_same_locations_equal_brute_force(spark):
     assert addresses.same_location(df.limit(0)).count() == 0
 
 
+def test_slips_equal_the_plain_table():
+    def plain(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = random.Random(20)
+    for _ in range(4000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(8))) for _ in "xy")
+        for most in (1, 2):
+            assert addresses.slips(a, b, most) == min(plain(a, b), most + 1)
+
+
 def test_the_prefix_is_short_and_loses_nothing():
     rng = random.Random(18)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 9))) for _ in range(150)]
@@ -385,16 +402,55 @@ def test_firms_at_one_house_match_by_a_slip_in_the_first_letters(spark):
     assert got == {("crm:1", "finance:2")}
 
 
+def _people(rng, n):
+    out = []
+    for k in range(n):
+        given, family = rng.choice(["anna", "anne maria", "ann", "a", "boris", "brois", "", "marlowe"]), rng.choice(["marlowe", "marlwoe", "nordstrom", "nord strom", "", "anna", "okafor"])
+        born = rng.choice(["", "1980", "1981", *(f"{y}{m:02d}{d:02d}" for y in (1980, 1981) for m in (5, 6) for d in (5, 6, 11))])
+        email = rng.choice(["", f"{given}.{family}{k % 3}@x.example", f"{family}{k % 2}@y.example"])
+        phone = rng.choice(["", "448153712", "448153721", "44815371", "999888777"])
+        ident = rng.choice(["", "79927398713", "79927398731", "12345", "AB12"])
+        houses = sorted(set(rng.choices(["1/|lane|granary", "1/|lane|grnaary", "2/|road|harbour", "2/3|road|harbour"], k=rng.randrange(3))))
+        codes = sorted(set(rng.choices(["AA12BC", "AB34CD", "12345"], k=rng.randrange(3))))
+        out.append({"given": given, "family": family, "born": born, "email": email, "phone": phone, "ident": ident, "houses": houses, "codes": codes, "town": rng.choice(["", "norwickmoor", "norwikcmoor", "ullderlund"]), "employer": rng.choice(["", "f1", "f2"])})
+    return out
+
+
+def _table(told):
+    import pyarrow as pa
+
+    columns = {f: pa.array([t[f] for t in told], kind) for f, kind in zip(matching.FIELDS, matching._TYPES)}
+    columns["spots"] = pa.array([levels.bloom([h.rpartition("|")[0] for h in t["houses"]]) for t in told], pa.int64())
+    columns["areas"] = pa.array([levels.bloom(t["codes"]) for t in told], pa.int64())
+    return pa.table(columns)
+
+
+@pytest.mark.parametrize("kind, compare", [(matching.PERSON, traits.compare_persons), (matching.FIRM, traits.compare_firms)])
+def test_levels_of_many_pairs_equal_those_of_each(kind, compare):
+    import numpy as np
+
+    told = _people(random.Random(14), 130)
+    i, j = np.array(list(combinations(range(len(told)), 2))).T
+    got = levels.packed(kind.compare(levels.Records(_table(told)), i, j))
+    assert all(levels.unpacked(int(c)) == compare(told[a], told[b]) for a, b, c in zip(i, j, got))
+
+
 def test_windows_give_the_levels_of_every_pair(spark):
-    rng = random.Random(15)
-    told = {k: rng.randrange(10) for k in range(200)}
-    rows = [(k, p, f"{rng.randrange(30):02d}", (f"{told[k]}",)) for k in told for p in "pq"]
-    df = spark.createDataFrame(rows, "id long, `pass` string, key string, told struct<x:string>")
-    compare = lambda x, y: (int(x["x"]), int(y["x"]))
-    got = matching.neighbours(df, Workspace(spark, "t"), 5, compare).collect()
+    told = _people(random.Random(15), 150)
+    rows = [(k, p, t["family"][: 3 + (p == "q")] + t["born"][:4], *(t[f] for f in matching.FIELDS), levels.bloom([h.rpartition("|")[0] for h in t["houses"]]), levels.bloom(t["codes"])) for k, t in enumerate(told) for p in "pq"]
+    df = spark.createDataFrame(rows, "id long, `pass` string, key string, " + matching.TRAITS)
+    got = matching.neighbours(df, Workspace(spark, "t"), 5, matching.PERSON.compare).collect()
     plain = {tuple(r) for r in matching.neighbours(df, Workspace(spark, "t"), 5).collect()}
     assert {(r.a, r.b) for r in got} == plain and len(got) == len(plain)
-    assert all(r.levels == f"{told[r.a]}{told[r.b]}" for r in got)
+    assert all(levels.unpacked(r.levels) == traits.compare_persons(told[r.a], told[r.b]) for r in got)
+
+
+def test_groups_are_expanded_whole_in_slices(spark):
+    rows = [(0, k) for k in range(2300)] + [(1, 9000), (1, 9001), (2, 9002)]
+    members = spark.createDataFrame(rows, "form long, address_id long")
+    pairs = spark.createDataFrame([(0, 0), (1, 1), (1, 2)], "fa long, fb long")
+    got = addresses.expand(members, pairs)
+    assert got.count() == got.select("a", "b").distinct().count() == 2300 * 2299 // 2 + 1 + 2
 
 
 def test_fitted_weights_hold_on_held_out_pairs():
