@@ -16,6 +16,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _own_dirs: dict[str, str] = {}
@@ -178,6 +179,22 @@ def _file_bytes(spark: SparkSession, path: str) -> int:
     return fs.getFileStatus(jpath).getLen()
 
 
+#: Rows of one key that one task may join; keys with more are joined by broadcast, there being at most a ten-millionth of all rows such keys.
+HEAVY = 10_000_000
+
+
+def join_one(left: DataFrame, right: DataFrame, on: list[str], rows: str, heavy: int | None = None) -> DataFrame:
+    """Inner join with ``right``, saved and unique in ``on``, of which ``rows`` counts the rows of left that carry the key.
+
+    A hot key never meets in one task: the few keys of more than ``heavy`` rows
+    are broadcast. The result is the same as that of a plain join.
+    """
+    limit = HEAVY if heavy is None else heavy
+    light = left.join(right.where(F.col(rows) <= limit).drop(rows), on)
+    hot = right.where(F.col(rows) > limit).drop(rows)
+    return light if hot.isEmpty() else light.unionByName(left.join(F.broadcast(hot), on))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
