@@ -4,24 +4,52 @@ Random contraction: in each round every vertex hooks to the neighbour, or itself
 that comes first in an order of hashes drawn afresh; edges are relabelled with
 the representatives, loops and repeats dropped. A round leaves a fixed share of
 the vertices at most, whatever the graph's shape, so chains and stars of any
-size end in logarithmically many rounds. The rounds' mappings are then composed
-backwards. No group ever meets in one task: every step is an aggregate whose
-partial results are formed before the shuffle, or an equi-join.
+size end in logarithmically many rounds. What is left when at most FEW edges
+are is contracted in one task, whatever the number of vertices was at first.
+The rounds' mappings are then composed backwards. No group ever meets in one
+task: every step is an aggregate whose partial results are formed before the
+shuffle, or an equi-join whose hot keys are broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldspan.runtime import Workspace
+from goldspan.runtime import Workspace, join_one
+
+#: Edges that one task may hold.
+FEW = 20_000
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """v and rep of the vertices of all edges of the task, at most FEW."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            p, q = find(parent.setdefault(u, u)), find(parent.setdefault(v, v))
+            parent[max(p, q)] = min(p, q)
+    yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([find(v) for v in parent], pa.int64())], ["v", "rep"])
 
 
 def contract(edges: DataFrame, space: Workspace) -> DataFrame:
     """``v, rep`` (bigint) of every vertex of ``edges`` (u, v bigint): rep is equal within a component and only there."""
     edges = space.save(edges.where("u <> v").select("u", "v").distinct(), "edges")
     mappings: list[DataFrame] = []
-    while not edges.isEmpty():
+    while (left := edges.count()) > 0:
+        if left <= FEW:
+            mappings.append(space.save(edges.coalesce(1).mapInArrow(_finish, "v bigint, rep bigint"), "hooks"))
+            break
         salt = len(mappings) + 1
 
         def order(c: str, salt: int = salt) -> Column:
@@ -30,27 +58,29 @@ def contract(edges: DataFrame, space: Workspace) -> DataFrame:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hooks = (
             both.groupBy("u")
-            .agg(F.min(order("v")).alias("best"))
-            .select(F.col("u").alias("v"), F.least(F.col("best"), order("u"))["id"].alias("rep"))
+            .agg(F.min(order("v")).alias("best"), F.count(F.lit(1)).alias("degree"))
+            .select(F.col("u").alias("v"), F.least(F.col("best"), order("u"))["id"].alias("rep"), "degree")
         )
         hooks = space.save(hooks, "hooks")
         mappings.append(hooks)
-        a = hooks.select(F.col("v").alias("u"), F.col("rep").alias("ru"))
-        b = hooks.select("v", F.col("rep").alias("rv"))
-        moved = edges.join(a, "u").join(b, "v").where("ru <> rv")
+        a = hooks.select(F.col("v").alias("u"), F.col("rep").alias("ru"), "degree")
+        b = hooks.select("v", F.col("rep").alias("rv"), "degree")
+        moved = join_one(join_one(edges, a, ["u"], "degree"), b, ["v"], "degree").where("ru <> rv")
         fewer = space.save(moved.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "edges")
         space.drop(edges)
         edges = fewer
     if not mappings:
         return edges.select("v", F.col("u").alias("rep"))
     # Expand backwards: later rounds map the representatives of earlier ones.
-    whole = mappings[-1]
+    whole = mappings[-1].select("v", "rep")
     for earlier in reversed(mappings[:-1]):
-        further = whole.select(F.col("v").alias("rep"), F.col("rep").alias("further"))
-        joined = earlier.join(further, "rep", "left").select("v", F.coalesce("further", "rep").alias("rep"))
+        # Of a vertex that many hook to, the mapping is broadcast; most that nothing hooks to stay as they are.
+        hooked = space.save(earlier.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).join(whole.select(F.col("v").alias("rep"), F.col("rep").alias("further")), "rep", "left").select("rep", F.coalesce("further", "rep").alias("further"), "n"), "hooked")
+        joined = join_one(earlier.select("v", "rep"), hooked, ["rep"], "n").select("v", F.col("further").alias("rep"))
         expanded = space.save(joined, "expanded")
         space.drop(earlier)
         space.drop(whole)
+        space.drop(hooked)
         whole = expanded
     return whole
 
@@ -85,8 +115,9 @@ def groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
     )
     reps = contract(ends, space)
     member = recs.join(reps.select(F.col("v").alias("id"), "rep"), "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    names = member.groupBy("rep").agg(F.min("rec").alias("group_id"))
-    return member.join(names, "rep").select("scope", "rec", "group_id")
+    member = space.save(member, "members")
+    names = space.save(member.groupBy("rep").agg(F.min("rec").alias("group_id"), F.count(F.lit(1)).alias("n")), "names")
+    return join_one(member, names, ["rep"], "n").select("scope", "rec", "group_id")
 
 
 def linked(pairs: DataFrame, threshold: float = 90.0) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,8 @@ of one source in one language. A leaf that cannot use its budget, having too few
 tokens even at its most repeats, passes the shortage to its siblings by their
 weights, and what they cannot take goes up to the siblings of its ancestors. A
 leaf fills its budget from seeded epochs: whole passes over its documents, then
-the start of one more pass in an order of its own.
+the start of one more pass in an order of its own. Single uses are then added to
+or taken from a source as long as that brings it nearer to its tokens.
 """
 
 from __future__ import annotations
@@ -66,6 +67,29 @@ def budgets_inf(weights: dict[tuple[str, ...], float], capacity: dict[tuple[str,
     return budgets(weights, capacity, 1.0)
 
 
+def _settled(uses: DataFrame, wanted: dict[str, float], goal: dict[str, tuple[float, int]], space: Workspace) -> DataFrame:
+    """uses, changed until no single use more or less of any one document brings its source nearer to its tokens.
+
+    Each round takes the best document of every source, so a source's miss
+    shrinks in every round that changes it; a few rounds settle it.
+    """
+    spark = uses.sparkSession
+    while True:
+        have = {r.source: r.t or 0 for r in uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("t")).collect()}
+        rows = [(s, int(goal[s][1]), float(wanted[s] - t)) for s, t in sorted(have.items())]
+        lack = spark.createDataFrame(rows, "source string, most int, lack double")  # a row for each source of the targets
+        one = uses.join(F.broadcast(lack), "source").withColumn("step", F.when((F.col("lack") > 0) & (F.col("uses") < F.col("most")), 1).when((F.col("lack") < 0) & (F.col("uses") > 0), -1))
+        left = F.abs(F.col("lack") - F.col("step") * F.col("n_tokens"))
+        best = one.where(F.col("step").isNotNull() & (left < F.abs("lack") - 1e-6)).groupBy("source").agg(F.min(F.struct(left.alias("left"), "doc_id", "step")).alias("b")).collect()
+        if not best:
+            return uses
+        steps = spark.createDataFrame([(r.b.doc_id, r.b.step) for r in best], "doc_id bigint, step int")
+        moved = uses.join(F.broadcast(steps), "doc_id", "left").withColumn("uses", (F.col("uses") + F.coalesce("step", F.lit(0))).cast("int")).drop("step")
+        further = space.save(moved, "uses")
+        space.drop(uses)
+        uses = further
+
+
 def mix(
     documents: DataFrame,
     targets: DataFrame,
@@ -150,10 +174,13 @@ def mix(
         off[r.source] += cut - r.rest
         cuts.append((r.source, r.lang, cut))
     cut = spark.createDataFrame(cuts, "source string, lang string, cut double")
-    uses = placed.join(cut, ["source", "lang"]).select(
+    uses = placed.join(F.broadcast(cut), ["source", "lang"]).select(
         "doc_id", "source", "lang", "n_tokens", (F.col("passes") + (F.col("upto") <= F.col("cut")).cast("int")).alias("uses")
     )
-    uses = space.save(uses, "uses")
+    wanted: dict[str, float] = defaultdict(float)
+    for (_, _, s), b in budget.items():
+        wanted[s] += b
+    uses = _settled(space.save(uses, "uses"), wanted, goal, space)
 
     got = {r.source: r for r in uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("t"), F.sum((F.col("uses") > 0).cast("bigint")).alias("d"), F.sum("uses").alias("u")).collect()}
     all_tokens = sum(r.t for r in got.values())

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldspan.functions import standard as std
+from goldspan.runtime import Workspace
 
 #: Rank of a source that the trust table doesn't name for an attribute.
 UNTRUSTED = 1_000_000
-MOST_STRATEGIES = 4
 LAST = (1 << 63) - 1
 
 
@@ -44,22 +44,16 @@ def _rules(trust: DataFrame) -> DataFrame:
 
 
 def _keys() -> Column:
-    """The sort key of a member: two numbers for each strategy in turn, smaller first."""
-    last = F.lit(LAST)
-    order = F.split(F.regexp_replace("strategies", r"\s", ""), ",")
-    parts = []
-    for k in range(MOST_STRATEGIES):
-        name = F.get(order, F.lit(k))
-        trusted = F.coalesce(F.col("ranks")[F.col("source_system")].cast("bigint"), F.lit(UNTRUSTED).cast("bigint"))
-        bare_year = F.col("value").rlike(r"^\s*\d{4}\s*$").cast("bigint")
-        parts.append(
-            F.when(name == "source_trust", trusted)
-            .when(name == "recency", F.coalesce(-F.unix_micros("occurred_at"), last))
-            .when(name == "completeness", bare_year)
-            .otherwise(F.lit(0).cast("bigint"))
-        )
-        parts.append(F.when(name == "recency", F.coalesce(-F.col("landing_seq"), last)).otherwise(F.lit(0).cast("bigint")))
-    return F.array(*parts)
+    """The sort key of a member: two numbers for each strategy of the list in turn, smaller first."""
+    last, none = F.lit(LAST), F.lit(0).cast("bigint")
+    trusted = F.coalesce(F.col("ranks")[F.col("source_system")].cast("bigint"), F.lit(UNTRUSTED).cast("bigint"))
+    bare_year = F.col("value").rlike(r"^\s*\d{4}\s*$").cast("bigint")
+
+    def key(name: Column) -> Column:
+        first = F.when(name == "source_trust", trusted).when(name == "recency", F.coalesce(-F.unix_micros("occurred_at"), last)).when(name == "completeness", bare_year)
+        return F.struct(first.otherwise(none).alias("first"), F.when(name == "recency", F.coalesce(-F.col("landing_seq"), last)).otherwise(none).alias("then"))
+
+    return F.transform(F.split(F.regexp_replace("strategies", r"\s", ""), ","), key)
 
 
 def survivors(members: DataFrame, trust: DataFrame) -> DataFrame:
@@ -95,46 +89,50 @@ def _claims(members: DataFrame, trust: DataFrame) -> DataFrame:
     return told.join(spoke, ["master_id", "attr_name"]).withColumn("no", F.array_except("all", "yes")).drop("all")
 
 
-def _fit(claims: DataFrame, rounds: int = 50) -> dict[tuple[str, str, str], tuple[float, float, float]]:
-    """(entity, attr, source) -> sensitivity, specificity and the attribute's prior.
+def _scores(quality: dict[tuple[str, str, str], tuple[float, float]], prior: dict[tuple[str, str], float], claims: DataFrame) -> DataFrame:
+    """claims with the chance t that each is true; the quality of sources goes along as a map for each attribute, a row for each line of the trust table."""
+    per: dict[tuple[str, str], tuple[dict[str, float], dict[str, float]]] = {}
+    for (entity, attr, source), (sens, spec) in quality.items():
+        ups, downs = per.setdefault((entity, attr), ({}, {}))
+        ups[source], downs[source] = math.log(sens / (1 - spec)), math.log((1 - sens) / spec)
+    rows = [(e, a, ups, downs, math.log(prior[e, a] / (1 - prior[e, a]))) for (e, a), (ups, downs) in sorted(per.items())]
+    told = claims.sparkSession.createDataFrame(rows, "entity string, attr_name string, ups map<string,double>, downs map<string,double>, base double")
+    add = lambda arr, m: F.aggregate(arr, F.lit(0.0), lambda a, s: a + F.coalesce(F.col(m)[s], F.lit(0.0)))
+    logit = F.col("base") + add(F.col("yes"), "ups") + add(F.col("no"), "downs")
+    return claims.join(F.broadcast(told), ["entity", "attr_name"]).withColumn("t", 1 / (1 + F.exp(-logit))).drop("ups", "downs", "base")
 
-    The claims shrink to distinct patterns of asserting and passing sources with
-    counts: at most 3^sources for each attribute, whatever the data's size.
-    """
-    patterns = claims.groupBy("entity", "attr_name", "yes", "no").agg(F.count(F.lit(1)).alias("n")).collect()
-    out: dict[tuple[str, str, str], tuple[float, float, float]] = {}
-    for entity, attr in sorted({(p.entity, p.attr_name) for p in patterns}):
-        own = [p for p in patterns if (p.entity, p.attr_name) == (entity, attr)]
-        sources = sorted({s for p in own for s in (*p.yes, *p.no)})
-        sens, spec, prior = dict.fromkeys(sources, 0.8), dict.fromkeys(sources, 0.8), 0.5
-        for _ in range(rounds):
-            hit = {s: [1.0, 2.0, 1.0, 2.0] for s in sources}  # smoothed: asserted and all of the true, passed and all of the false
-            true = total = 0.0
-            for p in own:
-                t = _posterior(p.yes, p.no, sens, spec, prior)
-                true, total = true + t * p.n, total + p.n
-                for s in p.yes:
-                    hit[s][0] += t * p.n
-                for s in p.no:
-                    hit[s][2] += (1 - t) * p.n
-                for s in (*p.yes, *p.no):
-                    hit[s][1] += t * p.n
-                    hit[s][3] += (1 - t) * p.n
-            moved = max([abs(sens[s] - h[0] / h[1]) for s, h in hit.items()], default=0)
-            # A claim that several sources assert is likelier true than one that a single source does: sensitivity stays over 1 - specificity.
-            spec = {s: min(0.999, max(0.5, h[2] / h[3])) for s, h in hit.items()}
-            sens = {s: min(0.999, max(1 - spec[s] + 0.01, h[0] / h[1])) for s, h in hit.items()}
-            prior = min(0.99, max(0.01, true / total))
-            if moved < 1e-6:
-                break
-        out |= {(entity, attr, s): (sens[s], spec[s], prior) for s in sources}
-    return out
 
+def _fit(claims: DataFrame, rounds: int = 30) -> tuple[dict[tuple[str, str, str], tuple[float, float]], dict[tuple[str, str], float]]:
+    """Sensitivity and specificity by (entity, attr, source), and prior by (entity, attr).
 
-def _posterior(yes, no, sens, spec, prior) -> float:
-    logit = math.log(prior / (1 - prior))
-    logit += sum(math.log(sens[s] / (1 - spec[s])) for s in yes) + sum(math.log((1 - sens[s]) / spec[s]) for s in no)
-    return 1 / (1 + math.exp(-logit)) if logit > -500 else 0.0
+    Claims shrink to distinct patterns of asserting and passing sources with
+    counts. Both steps of a round are aggregates over the patterns, however many
+    there are; only the sources' sums come to the driver, one row each.
+    """
+    space = Workspace(claims.sparkSession, "survivors")
+    patterns = space.save(claims.groupBy("entity", "attr_name", "yes", "no").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    known = patterns.select("entity", "attr_name", F.explode(F.array_union("yes", "no")).alias("s")).distinct().collect()
+    quality = {(r.entity, r.attr_name, r.s): (0.8, 0.8) for r in known}
+    prior = {(r.entity, r.attr_name): 0.5 for r in known}
+    said = F.concat(F.transform("yes", lambda s: F.struct(s.alias("s"), F.lit(1.0).alias("y"))), F.transform("no", lambda s: F.struct(s.alias("s"), F.lit(0.0).alias("y"))), F.array(F.struct(F.lit(None).cast("string").alias("s"), F.lit(1.0).alias("y"))))
+    for _ in range(rounds if known else 0):
+        sums = _scores(quality, prior, patterns).withColumn("x", F.explode(said)).groupBy("entity", "attr_name", "x.s").agg(
+            F.sum(F.col("t") * F.col("n") * F.col("x.y")).alias("said_true"), F.sum(F.col("t") * F.col("n")).alias("true"),
+            F.sum((1 - F.col("t")) * F.col("n") * (1 - F.col("x.y"))).alias("passed_false"), F.sum((1 - F.col("t")) * F.col("n")).alias("false"),
+        ).collect()
+        moved = 0.0
+        for r in sums:
+            if r.s is None:  # of all claims
+                prior[r.entity, r.attr_name] = min(0.99, max(0.01, r.true / (r.true + r.false)))
+                continue
+            # A claim that several sources assert is likelier true than one that a single source does: sensitivity stays over 1 - specificity.
+            spec = min(0.999, max(0.5, (1 + r.passed_false) / (2 + r.false)))
+            sens = min(0.999, max(1 - spec + 0.01, (1 + r.said_true) / (2 + r.true)))
+            moved = max(moved, abs(sens - quality[r.entity, r.attr_name, r.s][0]))
+            quality[r.entity, r.attr_name, r.s] = sens, spec
+        if moved < 1e-4:
+            break
+    return quality, prior
 
 
 QUALITY = "entity string, attr_name string, source_system string, sensitivity double, specificity double, prior double"
@@ -142,26 +140,12 @@ QUALITY = "entity string, attr_name string, source_system string, sensitivity do
 
 def source_quality(members: DataFrame, trust: DataFrame) -> DataFrame:
     """entity, attr_name, source_system, sensitivity, specificity and prior, fitted over all groups; empty for no claims."""
-    fitted = _fit(_claims(members, trust))
-    return members.sparkSession.createDataFrame([(*k, *v) for k, v in sorted(fitted.items())], QUALITY)
+    quality, prior = _fit(_claims(members, trust))
+    return members.sparkSession.createDataFrame([(*k, *v, prior[k[:2]]) for k, v in sorted(quality.items())], QUALITY)
 
 
 def true_values(members: DataFrame, trust: DataFrame, least: float = 0.5) -> DataFrame:
     """master_id, attr_name, value and p_true of every value judged true; several per attribute where several are."""
     claims = _claims(members, trust)
-    quality = source_quality(members, trust).withColumns(
-        {"up": F.ln(F.col("sensitivity") / (1 - F.col("specificity"))), "down": F.ln((1 - F.col("sensitivity")) / F.col("specificity"))}
-    )
-    per = quality.groupBy("entity", "attr_name").agg(
-        F.map_from_entries(F.collect_list(F.struct("source_system", "up"))).alias("ups"),
-        F.map_from_entries(F.collect_list(F.struct("source_system", "down"))).alias("downs"),
-        F.first("prior").alias("prior"),
-    )
-    add = lambda arr, m: F.aggregate(arr, F.lit(0.0), lambda a, s: a + F.coalesce(F.col(m)[s], F.lit(0.0)))
-    logit = F.ln(F.col("prior") / (1 - F.col("prior"))) + add(F.col("yes"), "ups") + add(F.col("no"), "downs")
-    return (
-        claims.join(per, ["entity", "attr_name"])
-        .withColumn("p_true", F.round(1 / (1 + F.exp(-logit)), 6))
-        .where(F.col("p_true") >= least)
-        .select("master_id", "attr_name", "value", "p_true")
-    )
+    judged = _scores(*_fit(claims), claims).withColumn("p_true", F.round("t", 6))
+    return judged.where(F.col("p_true") >= least).select("master_id", "attr_name", "value", "p_true")

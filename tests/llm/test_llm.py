@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from goldspan.llm import addresses, components, garbled, levels, matching, mixture, survivors, tokens, traits
+from goldspan import runtime
 from goldspan.runtime import Workspace
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="no vocabulary here")
@@ -70,6 +71,17 @@ def test_groups_of_chains_stars_and_lone_records(spark):
     assert by["o", "z"] == by["o", "c000"] == "c000" and by["p", "lone"] == "lone" and by["p", "a"] == "a"
 
 
+def test_contraction_and_hot_keys_give_the_same_groups(spark, monkeypatch):
+    rng = random.Random(22)
+    links = [("p", f"c{k:03d}", f"c{k + 1:03d}") for k in range(90)] + [("p", "hub", f"s{k:03d}") for k in range(120)] + [("p", f"x{rng.randrange(60)}", f"x{rng.randrange(60)}") for _ in range(50)]
+    df, nodes = spark.createDataFrame(links, "scope string, a string, b string"), spark.createDataFrame([], "scope string, rec string")
+    few = {tuple(r) for r in components.groups(nodes, df).collect()}
+    monkeypatch.setattr(components, "FEW", 0)
+    rounds = {tuple(r) for r in components.groups(nodes, df).collect()}
+    monkeypatch.setattr(runtime, "HEAVY", 20)
+    assert few == rounds == {tuple(r) for r in components.groups(nodes, df).collect()}
+
+
 def test_the_row_scored_last_decides(spark):
     at = lambda n: datetime.datetime(2025, 1, n, tzinfo=datetime.timezone.utc)
     rows = [("p", "a", "1", "b", "2", 95.0, 1, at(1)), ("p", "b", "2", "a", "1", 10.0, 1, at(2)), ("p", "a", "3", "b", "4", 10.0, 1, at(1)), ("p", "b", "4", "a", "3", 90.0, 1, at(2)),
@@ -104,6 +116,13 @@ def test_survivors(spark):
     assert survivors.survivors(df.limit(0), trust).count() == 0 and survivors.true_values(df.limit(0), trust).count() == 0
 
 
+def test_any_number_of_strategies_counts(spark):
+    trust = spark.createDataFrame([("p", s, "city", 1, "completeness,source_trust,completeness,source_trust,recency") for s in ("hr", "crm")], TRUST)
+    at = lambda n: datetime.datetime(2025, 1, n, tzinfo=datetime.timezone.utc)
+    rows = [("g", "p", "crm", "a", at(1), 1, {"city": "Rome"}), ("g", "p", "hr", "b", at(2), 2, {"city": "Oslo"})]
+    assert [r.value for r in survivors.survivors(spark.createDataFrame(rows, MEMBER), trust).collect()] == ["Oslo"]
+
+
 def test_latent_model_tells_good_sources_from_bad(spark):
     rng = random.Random(6)
     rows = []
@@ -129,6 +148,24 @@ def test_budgets_pass_shortages_to_siblings_first():
     assert got == pytest.approx({("d", "en", "a"): 10.0, ("d", "en", "b"): 5.0, ("d", "fr", "a"): 85.0})
 
 
+@needs_vocabulary
+def test_no_single_document_brings_a_source_nearer(spark):
+    rng = random.Random(21)
+    rows = [(k, " ".join(["word"] * rng.choice([1, 5, 60, 300])), rng.choice(["a", "b", "b"]), rng.choice(["en", "de", "fr"])) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    for total in (None, 9_000):
+        got = mixture.mix(docs, targets, total)[0].collect()
+        sizes = Counter()
+        for r in got:
+            sizes[r.source] += r.n_tokens * {"a": 2, "b": 1}[r.source]
+        want = (total or 2 * min(sizes.values())) / 2
+        for s, most in (("a", 2), ("b", 1)):
+            have = sum(r.uses * r.n_tokens for r in got if r.source == s)
+            options = [have + r.n_tokens for r in got if r.source == s and r.uses < most] + [have - r.n_tokens for r in got if r.source == s and r.uses > 0]
+            assert all(abs(o - want) >= abs(have - want) - 1e-6 for o in options)
+
+
 @needs_vocabulary
 def test_mix_reaches_targets_and_keeps_caps(spark):
     rng = random.Random(7)
