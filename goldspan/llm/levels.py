@@ -143,6 +143,9 @@ class Records:
         self.houses, self.codes = one("houses"), one("codes")
         self.spots, self.areas = (one(n).to_numpy(zero_copy_only=False).astype(np.uint64) for n in ("spots", "areas"))
         self.some_codes = pc.list_value_length(self.codes).to_numpy(zero_copy_only=False) > 0
+        self.home, self.zone = Column(pc.binary_join(self.houses, ";")), Column(pc.binary_join(self.codes, ";"))
+        lettered = pc.match_substring_regex(self.zone.words, r"(^|;)\d*[^\d;]").to_numpy(zero_copy_only=False)
+        self.fine = lettered[self.zone.code] if len(lettered) else np.zeros(len(self.some_codes), bool)  # some code is finer than a town
 
     def _numbers(self, x: Column, i, j, far: int) -> np.ndarray:
         """Levels of telephone numbers."""
@@ -172,9 +175,17 @@ class Records:
         told = lambda k: (x.length[k] > 0) | self.some_codes[k]
         out = np.where(told(i) & told(j), 4, 0).astype(np.int64)
         codes_meet, spots_meet = (self.areas[i] & self.areas[j]) != 0, (self.spots[i] & self.spots[j]) != 0
-        sure = same & ~silent
-        out[sure & ~codes_meet & ~spots_meet] = 3
-        open_ = np.flatnonzero(codes_meet | (sure & spots_meet) | (~silent & ~same & ~_far(x, i, j, 2)))
+        same &= ~silent
+        zone = (self.zone.code[i] == self.zone.code[j]) & (self.zone.length[i] > 0)
+        home = (self.home.code[i] == self.home.code[j]) & (self.home.length[i] > 0)
+        near = np.zeros(len(i), np.int64)
+        _decide(near, np.flatnonzero(~silent & ~same & ~zone & ~_far(x, i, j, 2)), x, i, x, j, lambda a, b: traits.word_slips(a, b, 2) <= 2)
+        area = same | zone | (near > 0)
+        out[area] = 3
+        out[zone & self.fine[i]] = 2
+        out[area & home] = 1
+        # Left are houses of one number and kind but not all the same, and some codes in common but not all.
+        open_ = np.flatnonzero((area & ~home & spots_meet) | (codes_meet & ~zone & ~(area & home)))
         if len(open_):
             p, q = i[open_], j[open_]
             used = np.unique(np.concatenate([p, q]))

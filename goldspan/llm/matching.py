@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -174,12 +173,10 @@ def neighbours(keyed: DataFrame, space: Workspace, window: int = WINDOW, compare
         part, n, headed = TaskContext.get().partitionId(), 0, 0
         held: pa.Table | None = None
 
-        def rows(what: int, a, b, level, pos, ps) -> pa.RecordBatch:
+        def rows(what: int, a, b=None, level=None, pos=None, ps=None) -> pa.RecordBatch:
             k = len(a)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, what), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(level, pa.int32()), pa.array(np.full(k, part), pa.int32()), pa.array(pos, pa.int64()), pa.array(ps, pa.string())],
-                schema=out,
-            )
+            told = (np.full(k, what, np.int32), a, b, level, np.full(k, part, np.int32), pos, ps)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, f.type) if x is None else pa.array(x, f.type) for x, f in zip(told, out)], schema=out)
 
         for batch in batches:
             if not batch.num_rows:
@@ -194,7 +191,7 @@ def neighbours(keyed: DataFrame, space: Workspace, window: int = WINDOW, compare
             if headed < window - 1:
                 k = min(window - 1 - headed, new.num_rows)
                 head = slice(old, old + k)
-                yield rows(1, ids[head], [None] * k, [None] * k, np.arange(headed, headed + k), list(names[code[head]]))
+                yield rows(1, ids[head], pos=np.arange(headed, headed + k), ps=list(names[code[head]]))
                 headed += k
             first = np.concatenate([np.arange(max(old - d, 0), max(len(ids) - d, 0)) for d in range(1, window)])  # the later row of each pair is new
             far = np.concatenate([np.full(max(max(len(ids) - d, 0) - max(old - d, 0), 0), d) for d in range(1, window)]).astype(np.int64)
@@ -203,15 +200,15 @@ def neighbours(keyed: DataFrame, space: Workspace, window: int = WINDOW, compare
             if len(x):
                 i, j = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
                 level = levels.packed(compare(levels.Records(held), i, j)) if compare else np.zeros(len(i), np.int32)
-                yield rows(0, ids[i], ids[j], level, [None] * len(i), [None] * len(i))
+                yield rows(0, ids[i], ids[j], level)
             n += new.num_rows
             held = held.slice(max(held.num_rows - window + 1, 0))
         if n:
             ids, passes = held.column(0).to_numpy(), held.column(1).to_pylist()
             tail = [k for k in range(len(ids)) if n - len(ids) + k >= headed]
             if tail:
-                yield rows(1, ids[tail], [None] * len(tail), [None] * len(tail), [n - len(ids) + k for k in tail], [passes[k] for k in tail])
-            yield rows(2, [0], [None], [None], [n], [None])
+                yield rows(1, ids[tail], pos=[n - len(ids) + k for k in tail], ps=[passes[k] for k in tail])
+            yield rows(2, [0], pos=[n])
 
     found = space.save(order.mapInArrow(slide, "what int, a bigint, b bigint, levels int, part int, pos bigint, pass string"), "windows")
     sizes = {r.part: r.pos for r in found.where("what = 2").select("part", "pos").collect()}  # a row for each range
@@ -455,8 +452,6 @@ def same_entities(records: DataFrame, kind: Kind, window: int = WINDOW) -> DataF
 
 
 def all_matches(persons: DataFrame, firms: DataFrame) -> DataFrame:
-    """entity, left_rec, right_rec and confidence of all matching pairs of persons and of firms, both matched at the same time."""
-    with ThreadPoolExecutor(2) as pool:
-        parts = list(pool.map(lambda job: same_entities(*job), ((persons, PERSON), (firms, FIRM))))
-    named = [df.select(F.lit(kind.entity).alias("entity"), "left_rec", "right_rec", "confidence") for df, kind in zip(parts, (PERSON, FIRM))]
-    return named[0].unionAll(named[1])
+    """entity, left_rec, right_rec and confidence of all matching pairs of persons and of firms."""
+    parts = [same_entities(df, kind).select(F.lit(kind.entity).alias("entity"), "left_rec", "right_rec", "confidence") for df, kind in ((persons, PERSON), (firms, FIRM))]
+    return parts[0].unionAll(parts[1])
