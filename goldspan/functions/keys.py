@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType
 
 
 def _col(c: Column | str) -> Column:
@@ -79,6 +80,11 @@ def mask(c: Column | str) -> Column:
     return F.when(c.isNotNull(), F.concat(F.substring(c, 1, 1), F.lit("***")))
 
 
+def masked(c: Column, kind: DataType) -> Column:
+    """A personal value as a reader may see it: the first letter of a text, nothing of any other type."""
+    return mask(c) if isinstance(kind, StringType) else F.lit(None).cast(kind)
+
+
 def pattern_of(c: Column | str) -> Column:
     """Letters as A and a, digits as 9, at most 40 characters and an ellipsis."""
     c = F.regexp_replace(F.regexp_replace(F.regexp_replace(_col(c), r"\p{Lu}", "A"), r"[\p{L}&&[^A]]", "a"), r"\p{Nd}", "9")

@@ -42,9 +42,20 @@ def empty_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def clean_text(c: Column | str) -> Column:
-    """Control characters out, white space collapsed and stripped; compatibility forms are left to ``fold``."""
-    c = F.regexp_replace(_col(c), r"[\t\n\x0B\f\r]", " ")
+@F.pandas_udf(StringType())
+def _compatible(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+
+
+def clean_text(c: Column | str, python: bool = True) -> Column:
+    """Compatibility forms made plain, control characters out, white space collapsed and stripped.
+
+    Plain ASCII never reaches Python. Without ``python``, as inside arrays, compatibility forms stay.
+    """
+    c = _col(c)
+    if python:
+        c = F.when(c.rlike(r"[^\x00-\x7F]"), _compatible(c)).otherwise(c)
+    c = F.regexp_replace(c, r"[\t\n\x0B\f\r]", " ")
     c = F.regexp_replace(c, r"[\p{Cc}\p{Cf}]", "")
     return empty_to_null(F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " ")))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,16 +61,22 @@ def resolve_references(rows: DataFrame, ref: str, targets: DataFrame, key: str,
 
 
 def collapse_chains(merges: DataFrame, retired: str = "retired", survivor: str = "survivor") -> DataFrame:
-    """The last survivor of every retired identifier: pointers are doubled until none moves, in logarithmically many joins."""
+    """The last survivor of every retired identifier: pointers are doubled until none moves, in logarithmically many joins.
+
+    Of several rows of one retired id the smallest survivor counts. Ids whose
+    chain runs into a circle have no survivor; they are left out, as are nulls.
+    """
     space = Workspace(merges.sparkSession, "chains")
-    now = space.save(merges.select(F.col(retired).alias("r"), F.col(survivor).alias("s")), "chain")
+    rows = merges.where(F.col(retired).isNotNull() & F.col(survivor).isNotNull()).groupBy(F.col(retired).alias("r")).agg(F.min(survivor).alias("s"))
+    now = space.save(rows.where("r <> s"), "chain")
+    reach, ids = 1, now.count()  # a pointer reaches so many steps; a chain has fewer steps than there are ids
     while True:
         step = now.join(now.select(F.col("r").alias("s"), F.col("s").alias("t")), "s", "left").select("r", F.coalesce("t", "s").alias("s"), F.col("t").isNotNull().alias("moved"))
         step = space.save(step, "chain")
         space.drop(now)
-        now = step
-        if step.where("moved").isEmpty():
-            return now.select(F.col("r").alias(retired), F.col("s").alias(survivor))
+        now, reach = step, 2 * reach
+        if step.where("moved").isEmpty() or reach > 2 * ids:  # what still moves then goes round
+            return now.where("not moved").select(F.col("r").alias(retired), F.col("s").alias(survivor))
 
 
 def best_member(pairs: DataFrame, xref: DataFrame) -> DataFrame:
@@ -114,41 +119,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return label.select(F.col("x").alias("node"), F.col("l").alias("component"))
 
 
-def constrained_clusters(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """node and cluster: strongest edges first, refusing a union that would put different valid identifiers together.
-
-    ``edges`` has a, b, score; ``ids`` has node and ident. The greedy order matters
-    only inside a connected component, so each component is one task's work; it is
-    as large as a chain of links, which the veto exists to cut.
-    """
-    named = components(edges)
-    inside = edges.join(named.select(F.col("node").alias("a"), "component"), "a")
-    idents = ids.where("ident is not null").groupBy("node").agg(F.min("ident").alias("ident"))
-    inside = inside.join(idents.select(F.col("node").alias("a"), F.col("ident").alias("ia")), "a", "left").join(idents.select(F.col("node").alias("b"), F.col("ident").alias("ib")), "b", "left")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[str, str] = {}
-        held: dict[str, set] = {}
-        for n, i in [*zip(pdf.a, pdf.ia), *zip(pdf.b, pdf.ib)]:
-            parent[n] = n
-            held.setdefault(n, set()).update([i] if isinstance(i, str) else [])
-
-        def find(x: str) -> str:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for _, x, y in sorted(zip(-pdf.score, pdf.a, pdf.b)):
-            p, q = sorted((find(x), find(y)))
-            if p != q and not (held[p] and held[q] and not held[p] & held[q]):
-                parent[q] = p
-                held[p] |= held[q]
-        return pd.DataFrame({"node": list(parent), "cluster": [find(n) for n in parent]})
-
-    return inside.groupBy("component").applyInPandas(greedy, "node string, cluster string")
-
-
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes of components that hold a seed: the fixpoint of waiting for whoever waits."""
     named = components(edges)

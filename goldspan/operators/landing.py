@@ -55,11 +55,30 @@ def split_gaps(open_gaps: DataFrame, arrived: DataFrame, seq: str) -> DataFrame:
     return cut.select((F.col("x") + 1).alias("lo"), (F.col("next") - 1).alias("hi"))
 
 
-def range_probe(rows: DataFrame, ranges: DataFrame, seq: str, width: int = 1024) -> DataFrame:
-    """Rows whose number lies in a range (lo, hi), by an equi-join on stretches of ``width`` numbers."""
-    cut = ranges.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    placed = rows.withColumn("stretch", F.floor(F.col(seq) / width))
-    return placed.join(cut, "stretch").where(F.col(seq).between(F.col("lo"), F.col("hi"))).drop("stretch")
+def carried(rows: DataFrame, at: str, ties: list[str], value: str, bucket: int = 1_000_000) -> DataFrame:
+    """rows with ``value`` where it is null taken from the last row before, in the order of the number ``at`` and ``ties``, that has one.
+
+    The order is cut into buckets of numbers; one row for each bucket carries the value on from bucket to bucket.
+    """
+    cut = rows.withColumn("_b", F.floor(F.col(at) / bucket))
+    own = F.last(value, ignorenulls=True).over(Window.partitionBy("_b").orderBy(at, *ties).rowsBetween(Window.unboundedPreceding, 0))
+    ends = cut.groupBy("_b").agg(F.max(F.when(F.col(value).isNotNull(), F.struct(at, *ties, F.col(value).alias("_v")))).alias("m")).select("_b", F.col("m._v").alias("_v"))
+    before = ends.select("_b", F.last("_v", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_v"))
+    return cut.withColumn(value, own).join(before, "_b").withColumn(value, F.coalesce(value, "_v")).drop("_b", "_v")
+
+
+def range_probe(rows: DataFrame, ranges: DataFrame, seq: str) -> DataFrame:
+    """Rows whose number lies in one of the ranges (lo, hi), which don't overlap, with that range.
+
+    A number belongs to the last range that begins at or before it, if that
+    reaches so far: numbers and ranges are put in one order, no range is unrolled.
+    """
+    begun = ranges.select(F.col("lo").alias("_at"), F.lit(0).alias("_row"), F.struct("lo", "hi").alias("_range")).where("_at is not null").dropDuplicates(["_at"])
+    asked = rows.select(F.col(seq).cast("bigint").alias("_at")).where("_at is not null").distinct().select("_at", F.lit(1).alias("_row"), F.lit(None).cast("struct<lo:bigint,hi:bigint>").alias("_range"))
+    begun = begun.withColumn("_range", F.col("_range").cast("struct<lo:bigint,hi:bigint>"))
+    met = carried(begun.unionAll(asked), "_at", ["_row"], "_range").where("_row = 1 and _at <= _range.hi")
+    met = met.select(F.col("_at"), F.col("_range.lo").alias("lo"), F.col("_range.hi").alias("hi"))
+    return rows.join(met, F.col(seq) == F.col("_at")).drop("_at")
 
 
 def hourly_counts(events: DataFrame, ts: str, by: str) -> DataFrame:
@@ -78,6 +97,72 @@ def spikes(counts: DataFrame, by: str, factor: float = 5.0, least: int = 1_000,
     return out.withColumn("spike", (F.col("n") >= least) & (F.col("n") >= factor * F.col("usual")))
 
 
+#: The JSON kinds that a value of each type can't have.
+NEVER = {
+    "text": ("OBJECT", "ARRAY"), "date": ("OBJECT", "ARRAY"), "timestamp": ("OBJECT", "ARRAY"), "boolean": ("OBJECT", "ARRAY"),
+    "integer": ("OBJECT", "ARRAY", "BOOLEAN"), "number": ("OBJECT", "ARRAY", "BOOLEAN"), "reference": ("OBJECT", "ARRAY", "BOOLEAN"),
+}
+MOST_ENTRIES = 100
+
+
+def _json_kind(payload: Column, name: str) -> Column:
+    """STRING, BOOLEAN, BIGINT and so on, OBJECT, ARRAY, or null for what isn't there or is null."""
+    kind = F.regexp_extract(F.schema_of_variant(F.try_variant_get(payload, f"$.{name}", "variant")), r"^[A-Z]+", 0)
+    return F.when((kind != "VOID") & (kind != ""), kind)
+
+
+def type_problems(payload: Column, attributes: dict[str, str]) -> Column:
+    """Names of attributes whose JSON kind their type (text, date, timestamp, boolean, integer, number, reference, group) can never hold."""
+    found = []
+    for name, kind in attributes.items():
+        has = _json_kind(payload, name)
+        if kind == "group":
+            entries = F.try_variant_get(payload, f"$.{name}", "array<variant>")
+            bad = (has != "ARRAY") | F.exists(entries, lambda e: ~F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False)))
+        else:
+            bad = has.isin(*NEVER[kind])
+        found.append(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)))
+    return F.array_compact(F.array(*found))
+
+
+def size_problems(payload: Column, attributes: dict[str, str], fields: tuple[str, ...] = ()) -> Column:
+    """Names of attributes with a text over LONGEST_TEXT characters anywhere inside, or a group over MOST_ENTRIES."""
+    found = []
+    for name, kind in attributes.items():
+        if kind == "group":
+            entries = F.try_variant_get(payload, f"$.{name}", "array<variant>")
+            longest = lambda e: F.greatest(F.lit(0), *(F.length(F.try_variant_get(e, f"$.{f}", "string")) for f in fields))
+            bad = (F.size(entries) > MOST_ENTRIES) | F.exists(entries, lambda e: longest(e) > LONGEST_TEXT)
+        else:
+            bad = F.length(F.try_variant_get(payload, f"$.{name}", "string")) > LONGEST_TEXT
+        found.append(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)))
+    return F.array_compact(F.array(*found))
+
+
+def contract(rows: DataFrame, attributes: dict[str, dict[str, str]], sources: dict[str, tuple[str, ...]], versioned: tuple[str, ...], fields: tuple[str, ...] = ()) -> DataFrame:
+    """rows with reason, the first breach of the landing contract or null, and the names of the attributes at fault.
+
+    Beyond ``reject_reason``: too_large names attributes over the size limits,
+    bad_payload those that the entity's model doesn't have, bad_type those of an
+    impossible type; the names are sorted. ``attributes`` has each entity's types.
+    """
+    rows = rows.withColumn("_p", F.try_parse_json("payload"))
+    none = F.array().cast("array<string>")
+    per = lambda of: F.coalesce(*(F.when(F.col("entity") == e, of(a)) for e, a in attributes.items()), none)
+    first = reject_reason(sources, versioned)
+    large = per(lambda a: size_problems(F.col("_p"), a, fields))
+    unknown = per(lambda a: F.array_except(F.json_object_keys("payload"), F.array(*map(F.lit, (*a, "master_id")))))
+    hint = F.coalesce(_json_kind(F.col("_p"), "master_id") != "STRING", F.lit(False))
+    wrong = F.when(F.col("op") == "upsert", per(lambda a: type_problems(F.col("_p"), a))).otherwise(none)
+    reason = (
+        F.when(first.isNotNull(), first).when(F.size(large) > 0, "too_large").when(F.size(unknown) > 0, "bad_payload").when(hint, "bad_type").when(F.size(wrong) > 0, "bad_type")
+    )
+    names = (
+        F.when(first.isNotNull(), none).when(F.size(large) > 0, large).when(F.size(unknown) > 0, unknown).when(hint, F.array(F.lit("master_id"))).when(F.size(wrong) > 0, wrong).otherwise(none)
+    )
+    return rows.withColumns({"reason": reason, "attributes": F.array_sort(names)}).drop("_p")
+
+
 def reject_reason(sources: dict[str, tuple[str, ...]], versioned: tuple[str, ...]) -> Column:
     """The first breach of the landing contract, or null: entity, source, key, operation, version, payload, size.
 

@@ -44,6 +44,12 @@ def candidate_pairs(keys: DataFrame, rec: str, limit: int = STOP_KEY) -> DataFra
     return a.join(b, ["pass", "key"]).where("left_rec < right_rec").groupBy("left_rec", "right_rec").agg(F.count_distinct("pass").alias("passes"))
 
 
+def dropped_candidates(pairs: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """rec and how many of its candidates lie beyond its first k."""
+    both = pairs.select(F.col("left_rec").alias("rec")).unionAll(pairs.select(F.col("right_rec").alias("rec")))
+    return both.groupBy("rec").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k).select("rec", (F.col("n") - k).alias("dropped"))
+
+
 def top_candidates(pairs: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """Pairs that either end keeps among its k with the most shared passes, then the smaller other record."""
     both = pairs.select(F.col("left_rec").alias("me"), F.col("right_rec").alias("other"), "passes").unionAll(
@@ -114,23 +120,58 @@ def signature(rules: Rules) -> Column:
     return F.concat_ws(" · ", *parts)
 
 
-def counterfactuals(rules: Rules, up: bool) -> Column:
+def band_under(rule: Column, band: Column) -> Column:
+    """The band as a hard rule has it: cannot_link gives none, must_link auto."""
+    return F.when(rule.startswith("cannot_link"), "none").when(rule.startswith("must_link"), "auto").otherwise(band)
+
+
+def counterfactuals(rules: Rules, up: bool, hard: dict[str, tuple[str, ...]] | None = None, rule: Column | None = None) -> Column:
     """The change of one comparison's level that moves the band up or down with the least change of weight: struct of comparison and level, or null.
 
-    Ties go to the earlier comparison, then the earlier level.
+    ``hard`` names the hard rules of comparisons on identifiers: moved to its last
+    level a comparison with cannot_link gives the band none, moved to level 0 one
+    with must_link gives auto. A pair that a hard rule decides has none. Ties go
+    to the earlier comparison, then the earlier level.
     """
     weight = rules.weight()
     rank = lambda w: F.when(w >= rules.edge(rules.auto), 2).when(w >= rules.edge(rules.review), 1).otherwise(0)
     options = []
     for i, (c, weights) in enumerate(rules.weights.items()):
         own = rules.part(c, F.col(c))
+        kinds = (hard or {}).get(c, ())
         for level, w in enumerate(weights):
-            moved = weight - own + F.lit(w)
-            better = rank(moved) > rank(weight) if up else rank(moved) < rank(weight)
+            moved = rank(weight - own + F.lit(w))
+            if "cannot_link" in kinds and level == len(weights) - 1:
+                moved = F.lit(0)
+            elif "must_link" in kinds and level == 0:
+                moved = F.lit(2)
+            better = moved > rank(weight) if up else moved < rank(weight)
             far = F.abs(F.lit(w) - own)
             options.append(F.when((F.col(c) != level) & better, F.struct(F.round(far, 9).alias("far"), F.lit(i).alias("i"), F.lit(level).alias("level"), F.lit(c).alias("comparison"))))
     best = F.array_min(F.array_compact(F.array(*options)))
-    return F.when(best.isNotNull(), F.concat_ws(":", best["comparison"], best["level"].cast("string")))
+    free = F.lit(True) if rule is None else rule.isNull()
+    return F.when(best.isNotNull() & free, F.concat_ws(":", best["comparison"], best["level"].cast("string")))
+
+
+def explain(pairs: DataFrame, rules: Rules, hard: dict[str, tuple[str, ...]] | None = None, rule: str | None = None) -> DataFrame:
+    """pairs with prior, contributions (comparison, level, weight), weight, score, band, signature, raise_by and lower_by.
+
+    prior and contributions add up to weight. ``rule`` names the column of the hard rule that decides a pair, if any.
+    """
+    weight = rules.weight()
+    decided = F.col(rule) if rule else F.lit(None).cast("string")
+    parts = F.array(*(F.struct(F.lit(c).alias("comparison"), F.col(c).cast("int").alias("level"), rules.part(c, F.col(c)).alias("weight")) for c in rules.weights))
+    return pairs.select(
+        "*", F.lit(rules.prior).alias("prior"), parts.alias("contributions"), weight.alias("weight"), probability(weight).alias("score"), band_under(decided, rules.band(weight)).alias("band"),
+        signature(rules).alias("signature"), counterfactuals(rules, True, hard, decided).alias("raise_by"), counterfactuals(rules, False, hard, decided).alias("lower_by"),
+    )
+
+
+def probe_candidates(probe: DataFrame, records: DataFrame, rec: str, most: int = 100) -> DataFrame:
+    """rec of the stored records that share a pass and key with the probe (pass, key), with how many passes, the ``most`` with the most first: read only, the keys drive the scan."""
+    keys = probe.select("pass", "key").where("key is not null").distinct()
+    met = records.join(F.broadcast(keys), ["pass", "key"])  # a payload has one key for each pass
+    return met.groupBy(rec).agg(F.count_distinct("pass").alias("passes")).orderBy(F.desc("passes"), rec).limit(most)
 
 
 # --- estimates ------------------------------------------------------------------------

@@ -50,24 +50,25 @@ def landing_gaps(spark, d):
     return landing.gaps(table(spark, d, "landing_rows"), "landing_seq")
 
 
-_OPEN = "SELECT p + 1 AS lo, s - 1 AS hi FROM (SELECT event_id AS s, lag(event_id) OVER (ORDER BY event_id) AS p FROM events WHERE event_id % 7 < 3) WHERE s - p > 1"
+_OPEN = "SELECT p + 1 AS lo, s - 1 AS hi FROM (SELECT landing_seq AS s, lag(landing_seq) OVER (ORDER BY landing_seq) AS p FROM (SELECT DISTINCT landing_seq FROM landing_reject)) WHERE s - p > 1"
 
 
 def _open_gaps(spark, d):
-    return landing.gaps(table(spark, d, "events").where("event_id % 7 < 3"), "event_id")
+    """What the refused rows leave open: long, adjacent and uneven ranges."""
+    return landing.gaps(table(spark, d, "landing_reject"), "landing_seq")
 
 
-@query(f"""WITH g AS ({_OPEN}), a AS (SELECT event_id AS s FROM events WHERE event_id % 7 = 4),
+@query(f"""WITH g AS ({_OPEN}), a AS (SELECT DISTINCT landing_seq AS s FROM arrival_queue),
 marks AS (SELECT lo, hi, s AS x FROM g JOIN a ON s BETWEEN lo AND hi UNION SELECT lo, hi, lo - 1 FROM g UNION SELECT lo, hi, hi + 1 FROM g),
 cut AS (SELECT x, lead(x) OVER (PARTITION BY lo, hi ORDER BY x) AS nx FROM marks)
 SELECT x + 1 AS lo, nx - 1 AS hi FROM cut WHERE nx - x > 1""")
 def landing_gap_split(spark, d):
-    return landing.split_gaps(_open_gaps(spark, d), table(spark, d, "events").where("event_id % 7 = 4"), "event_id")
+    return landing.split_gaps(_open_gaps(spark, d), table(spark, d, "arrival_queue"), "landing_seq")
 
 
-@query(f"WITH g AS ({_OPEN}) SELECT event_id, lo, hi FROM events JOIN g ON event_id BETWEEN lo AND hi")
+@query(f"WITH g AS ({_OPEN}) SELECT landing_seq, event_id, lo, hi FROM landing_rows JOIN g ON landing_seq BETWEEN lo AND hi")
 def landing_range_probe(spark, d):
-    return landing.range_probe(table(spark, d, "events").select("event_id"), _open_gaps(spark, d), "event_id")
+    return landing.range_probe(table(spark, d, "landing_rows").select("landing_seq", "event_id"), _open_gaps(spark, d), "landing_seq")
 
 
 @query("SELECT source_system, epoch_us(landed_at) // 3600000000 AS hour, count(*) AS n FROM landing_rows GROUP BY ALL")
@@ -656,14 +657,6 @@ def reachability_fixpoint(spark, d):
     return golden.reachable(e, nodes.where("node like 'finance:%'"))
 
 
-@query()
-def constrained_clusters(spark, d):
-    e = _edges(spark, d).groupBy("a", "b").agg(F.max("score").alias("score")).where("a <> b")
-    nodes = e.select(F.col("a").alias("node")).unionAll(e.select(F.col("b").alias("node"))).distinct()
-    ids = nodes.withColumn("ident", F.when(F.col("node").startswith("hr:"), F.right("node", F.lit(1))))
-    return golden.constrained_clusters(e, ids)
-
-
 _TRUTH = "SELECT source_system || ':' || source_key AS rec, postcode AS cluster, city AS truth FROM person_records WHERE postcode IS NOT NULL AND city IS NOT NULL"
 
 
