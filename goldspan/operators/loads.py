@@ -5,8 +5,9 @@ Values of each load shrink to distinct values with counts, and those to shapes
 For each column of a source, regular expressions are induced from the shapes of
 all its distinct values by minimum description length: of several degrees of
 generality, the one that describes expressions and values in the fewest bits.
-How far each load's rows spread over expressions, values, ranges and positions
-is compared with the source's other loads.
+How far each load's rows spread over expressions, values, ranges, first and last
+characters is compared with the source's other loads, by medians over arrays of
+one entry for each load; no column of a source ever meets in one task.
 """
 
 from __future__ import annotations
@@ -17,10 +18,8 @@ from collections import defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldspan.runtime import Workspace
@@ -38,8 +37,8 @@ def columns_of(loads: DataFrame) -> tuple[str, ...]:
 def values_of(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
     """load_no, source_system, attr_name, value (text, null kept) and bucket of every cell.
 
-    A moment counts as the days before its load, a date by its decade, a number
-    as itself; other values have no bucket.
+    A moment counts as the days before its load, a date by its decade, a whole
+    number by sign, number of digits and first digit; other values have no bucket.
     """
     kinds = dict(loads.dtypes)
     cells = []
@@ -52,6 +51,9 @@ def values_of(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> Dat
         elif kinds[a] == "date" or a.endswith("_date"):
             value = c.cast("string")
             bucket = F.when(value.rlike(r"\d{4}"), F.substring(F.regexp_extract(value, r"(\d{4})", 1), 1, 3))
+        elif kinds[a] in ("bigint", "int", "smallint", "tinyint"):
+            value = c.cast("string")
+            bucket = F.concat(F.when(c < 0, "-").otherwise("+"), F.length(F.abs(c).cast("string")).cast("string"), F.lit("."), F.substring(F.abs(c).cast("string"), 1, 1))
         else:
             value = c.cast("string")
         cells.append(F.struct(F.lit(a).alias("attr_name"), value.alias("value"), bucket.alias("bucket")))
@@ -210,11 +212,8 @@ def induced(shapes: DataFrame, space: Workspace) -> DataFrame:
 
 # --- comparison of loads ------------------------------------------------------------
 
-STATS = "load_no int, source_system string, attr_name string, feature string, item string, n bigint"
-
-
 def statistics(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES, shapeless: tuple[str, ...] = ("occurred_at",)) -> DataFrame:
-    """Counts by load and column of what is compared: rows, empty cells, distincts, expressions, values, buckets and characters by position.
+    """Counts by load and column of what is compared: rows, empty cells, distincts, expressions, values, buckets, first and last characters.
 
     Values are told apart where at least a hundredth of a load's rows carry
     them; the rest of the load counts together.
@@ -239,102 +238,96 @@ def statistics(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES, shape
     common = filled.join(size, at).where("n * 100 >= all")
     values = part(common, "value", F.col("value"), F.sum("n"))
     buckets = part(filled.where("bucket is not null"), "bucket", F.col("bucket"), F.sum("n"))
-    fixed = filled.where(F.col("value").rlike(r"^[A-Z0-9 ./:()+-]{1,16}$") & ~F.col("attr_name").isin("occurred_at", "source_version"))
-    chars = fixed.select(*at, "n", F.posexplode(F.split("value", "")).alias("pos", "ch")).where("ch <> ''")
-    places = part(chars, "place", F.concat(F.lpad(F.col("pos").cast("string"), 2, "0"), F.col("ch")), F.sum("n"))
+    text = filled.where(~F.col("attr_name").isin(*shapeless))
+    begins = part(text, "begin", F.upper(F.substring("value", 1, 1)), F.sum("n"))
+    ends = part(text, "end", F.upper(F.substring("value", -1, 1)), F.sum("n"))
     out = rows
-    for more in (empty, distinct, shapes, values, buckets, places):
+    for more in (empty, distinct, shapes, values, buckets, begins, ends):
         out = out.unionAll(more)
     return out
 
 
-def _spread(table: pd.DataFrame, size: pd.Series) -> pd.Series:
-    """For each load, how far its shares of items are from the usual shares of the other loads, net of chance.
+def _rest(entries: Column, zeros: Column, own: Column, at: Column) -> Column:
+    """The ``at``-th smallest of all loads' numbers but the one at place ``own``: as many zeros as loads without an entry come first, then the sorted entries."""
+    place = at + (at >= own).cast("int")
+    return F.when(place < zeros, F.lit(0.0)).otherwise(F.get(entries, (place - zeros).cast("int"))["x"])
 
-    The usual share of an item is the median over the other loads.
-    """
-    shares = table.div(size, axis=0).fillna(0.0)
-    got = shares.to_numpy()
-    rest = 1 - got.sum(axis=1, keepdims=True)
-    got = np.hstack([got, np.clip(rest, 0, 1)])
-    out = []
-    for k in range(len(got)):
-        others = np.delete(got, k, axis=0)
-        usual = np.median(others, axis=0) if len(others) else got[k]
-        n = max(float(size.iloc[k]), 1.0)
-        chance = 0.5 * np.sqrt(2 * usual * (1 - usual) / (math.pi * n)).sum()
-        out.append(max(0.0, 0.5 * np.abs(got[k] - usual).sum() - chance))
-    return pd.Series(out, index=shares.index)
-
-
-def _departures(pdf: pd.DataFrame) -> pd.DataFrame:
-    """load_no, feature and departure of one column of one source."""
-    of = {f: d for f, d in pdf.groupby("feature")}
-    size = of["rows"].groupby("load_no")["n"].sum().astype(float)
-    index = size.index
-
-    def series(feature: str) -> pd.Series:
-        if feature not in of:
-            return pd.Series(0.0, index=index)
-        return of[feature].groupby("load_no")["n"].sum().reindex(index).fillna(0.0).astype(float)
-
-    def table(feature: str) -> pd.DataFrame:
-        d = of.get(feature)
-        if d is None or not len(d):
-            return pd.DataFrame(index=index)
-        return d.pivot_table(index="load_no", columns="item", values="n", aggfunc="sum", fill_value=0).reindex(index).fillna(0.0)
-
-    out = {}
-    empty = series("empty")
-    filled = size - empty
-    share = empty / size
-    out["empty"] = pd.Series([abs(share.iloc[k] - share.drop(share.index[k]).median()) if len(share) > 1 else 0.0 for k in range(len(share))], index=index)
-    ratio = (series("distinct") / filled.where(filled > 0)).astype(float)
-    out["distinct"] = pd.Series([abs(ratio.iloc[k] - ratio.drop(ratio.index[k]).median()) if len(ratio) > 1 else 0.0 for k in range(len(ratio))], index=index).fillna(0.0)
-    weight = filled / size  # a change in few filled cells is no change of a large share of the column
-
-    if "shape" in of:
-        out["shape"] = _spread(table("shape"), filled.clip(lower=1)) * weight
-    for feature in ("value", "bucket"):
-        t = table(feature)
-        if len(t.columns):
-            out[feature] = _spread(t, filled.clip(lower=1)) * weight
-    if "place" in of:
-        d = of["place"]
-        worst = pd.Series(0.0, index=index)
-        for _, one in d.groupby(d["item"].str[:2]):
-            t = one.pivot_table(index="load_no", columns="item", values="n", aggfunc="sum", fill_value=0).reindex(index).fillna(0.0)
-            worst = np.maximum(worst, _spread(t, filled.clip(lower=1)) * weight)
-        out["place"] = worst
-    rows = []
-    for feature, departure in out.items():
-        for k, load in enumerate(index):
-            others = departure.drop(load)
-            usual = float(np.quantile(others, 0.75)) if len(others) else 0.0
-            rows.append((int(load), feature, float(departure.iloc[k]), usual))
-    res = pd.DataFrame(rows, columns=["load_no", "feature", "departure", "usual"])
-    res["source_system"], res["attr_name"] = pdf["source_system"].iloc[0], pdf["attr_name"].iloc[0]
-    return res[["load_no", "source_system", "attr_name", "feature", "departure", "usual"]]
+
+def _quantile(entries: Column, zeros: Column, own: Column, loads_: Column, q: float) -> Column:
+    """The q-quantile of all loads but one, between the two nearest; null where there is no other load."""
+    last = (loads_ - 2).cast("double")
+    low = F.floor(last * q).cast("int")
+    share = last * q - low
+    high = F.least(low + 1, (loads_ - 2).cast("int"))
+    return F.when(loads_ > 1, _rest(entries, zeros, own, low) * (1 - share) + _rest(entries, zeros, own, high) * share)
+
+
+COLUMN = ["source_system", "attr_name"]
 
 
 def departures(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
     """load_no, source_system, attr_name, feature, departure and usual.
 
     ``departure`` is the share of a load's rows by which the feature differs from
-    the source's other loads, ``usual`` the third quartile of their departures.
-    Statistics of one column of one source meet in one task: they grow with the
-    number of loads, not of rows. A source with a single load departs from nothing.
+    the source's other loads, net of chance: half the sum, over all items, of how
+    far the load's share of the item is from the median of the others. ``usual`` is
+    the third quartile of the other loads' departures. An item's numbers form an
+    array with one entry for each load that shows it, and sums over items are
+    aggregates. A source with a single load departs from nothing.
     """
-    stats = statistics(loads, attributes).where("load_no is not null and source_system is not null")
-    return stats.groupBy("source_system", "attr_name").applyInPandas(
-        _departures, "load_no int, source_system string, attr_name string, feature string, departure double, usual double"
-    )
+    space = Workspace(loads.sparkSession, "departures")
+    stats = space.save(statistics(loads, attributes).where("load_no is not null and source_system is not null"), "statistics")
+    one = lambda f: stats.where(F.col("feature") == f).groupBy(*COLUMN, "load_no").agg(F.sum("n").alias(f))
+    sizes = one("rows").join(one("empty"), [*COLUMN, "load_no"], "left").withColumn("filled", F.col("rows") - F.coalesce("empty", F.lit(0)))
+    sizes = space.save(sizes, "sizes")  # a row for each load and column
+    number = sizes.groupBy(*COLUMN).agg(F.count(F.lit(1)).cast("int").alias("loads"))
+
+    def against(items: DataFrame, keys: list[str]) -> DataFrame:
+        """Each entry x of a load beside the median of the other loads' (u), and what a load without an entry would have (u0)."""
+        per = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "load_no"))).alias("s")).join(F.broadcast(number), COLUMN)  # a row for each column
+        zeros = F.col("loads") - F.size("s")
+        absent = F.when(zeros > 0, _quantile(F.col("s"), zeros, F.lit(0), F.col("loads"), 0.5)).otherwise(F.lit(0.0))
+        mine = F.transform("s", lambda e, i: F.struct(e["load_no"].alias("load_no"), e["x"].alias("x"), F.coalesce(_quantile(F.col("s"), zeros, zeros + i, F.col("loads"), 0.5), e["x"]).alias("u")))
+        return per.select(*keys, F.coalesce(absent, F.lit(0.0)).alias("u0"), F.explode(mine).alias("e")).select(*keys, "u0", "e.*")
+
+    # Shares of items, and of what no item tells.
+    spread = stats.where(F.col("feature").isin("shape", "value", "bucket", "begin", "end")).groupBy(*COLUMN, "feature", "item", "load_no").agg(F.sum("n").alias("n"))
+    shares = spread.join(sizes.select(*COLUMN, "load_no", "filled"), [*COLUMN, "load_no"]).withColumn("x", F.col("n") / F.greatest("filled", F.lit(1)))
+    shares = space.save(shares.select(*COLUMN, "feature", "item", "load_no", "x"), "shares")
+    told = shares.groupBy(*COLUMN, "feature", "load_no").agg(F.sum("x").alias("told"))
+    every = sizes.select(*COLUMN, "load_no").join(shares.select(*COLUMN, "feature").distinct(), COLUMN)
+    rest = every.join(told, [*COLUMN, "feature", "load_no"], "left").withColumn("x", F.greatest(F.lit(0.0), 1 - F.coalesce("told", F.lit(0.0)))).drop("told")
+    beside = against(shares.unionByName(rest.withColumn("item", F.lit(None).cast("string"))), [*COLUMN, "feature", "item"])
+    wave = lambda u: F.sqrt(F.greatest(F.lit(0.0), u * (1 - u)))
+    beside = space.save(beside.select("*", F.abs(F.col("x") - F.col("u")).alias("off"), wave(F.col("u")).alias("w"), wave(F.col("u0")).alias("w0")), "beside")
+    base = beside.groupBy(*COLUMN, "feature", "item").agg(F.max("u0").alias("u0"), F.max("w0").alias("w0")).groupBy(*COLUMN, "feature").agg(F.sum("u0").alias("u0"), F.sum("w0").alias("w0"))
+    own = beside.groupBy(*COLUMN, "feature", "load_no").agg(F.sum(F.col("off") - F.col("u0")).alias("off"), F.sum(F.col("w") - F.col("w0")).alias("w"))
+    whole = own.join(base, [*COLUMN, "feature"]).join(sizes, [*COLUMN, "load_no"])
+    chance = 0.5 * F.sqrt(2 / (math.pi * F.greatest("filled", F.lit(1)))) * (F.col("w") + F.col("w0"))
+    weight = F.col("filled") / F.col("rows")  # a change in few filled cells is no change of a large share of the column
+    by_items = whole.select(*COLUMN, "feature", "load_no", (F.greatest(F.lit(0.0), 0.5 * (F.col("off") + F.col("u0")) - chance) * weight).alias("departure"))
+
+    # Shares of empty cells, and distinct values to filled cells.
+    distinct = sizes.join(one("distinct"), [*COLUMN, "load_no"], "left").where("filled > 0").select(*COLUMN, F.lit("distinct").alias("feature"), "load_no", (F.coalesce("distinct", F.lit(0)) / F.col("filled")).alias("x"))
+    empty = sizes.select(*COLUMN, F.lit("empty").alias("feature"), "load_no", (F.coalesce("empty", F.lit(0)) / F.col("rows")).alias("x"))
+    plain = empty.unionAll(distinct).groupBy(*COLUMN, "feature").agg(F.array_sort(F.collect_list(F.struct("x", "load_no"))).alias("s"))
+    alone = F.transform("s", lambda e, i: F.struct(e["load_no"].alias("load_no"), F.abs(e["x"] - F.coalesce(_quantile(F.col("s"), F.lit(0), i, F.size("s"), 0.5), e["x"])).alias("departure")))
+    by_share = plain.select(*COLUMN, "feature", F.explode(alone).alias("e")).select(*COLUMN, "feature", "e.*")
+
+    all_ = by_items.unionByName(by_share).groupBy(*COLUMN, "feature").agg(F.array_sort(F.collect_list(F.struct(F.col("departure").alias("x"), "load_no"))).alias("s"))
+    usual = F.transform("s", lambda e, i: F.struct(e["load_no"].cast("int").alias("load_no"), e["x"].alias("departure"), F.coalesce(_quantile(F.col("s"), F.lit(0), i, F.size("s"), 0.75), F.lit(0.0)).alias("usual")))
+    return all_.select(*COLUMN, "feature", F.explode(usual).alias("e")).select("e.load_no", *COLUMN, "feature", "e.departure", "e.usual")
 
 
 def changed(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES, departure: float = DEPARTURE, beyond: float = BEYOND) -> DataFrame:
     """load_no and attr_name where a large share of the values departs from the source's other loads; empty for no loads."""
+    return explained(loads, attributes, departure, beyond).select("load_no", "attr_name").distinct()
+
+
+def explained(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES, departure: float = DEPARTURE, beyond: float = BEYOND) -> DataFrame:
+    """load_no, source_system, attr_name and the features, with their departures, that tell each change."""
     found = departures(loads, attributes).where((F.col("departure") > departure) & (F.col("departure") > beyond * F.col("usual")))
-    return found.select("load_no", "attr_name").distinct()
+    return found.groupBy("load_no", *COLUMN).agg(F.array_sort(F.collect_list(F.struct("feature", F.round("departure", 6).alias("departure")))).alias("features"))
 
 
 def expressions(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
@@ -345,13 +338,10 @@ def expressions(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> D
     """
     stats = statistics(loads, attributes, ()).where("feature = 'shape' and load_no is not null and source_system is not null")
 
-    def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.rename(columns={"item": "expression"})
-        by = d.groupby("expression")["n"].sum().sort_index().sort_values(ascending=False, kind="stable")
-        main = set(by.index[: int((by.cumsum() < 0.9 * by.sum()).sum()) + 1])
-        d = d.groupby(["load_no", "expression"], as_index=False)["n"].sum().rename(columns={"n": "n_rows"})
-        d["nonconforming"] = np.where(d["expression"].isin(main), 0, d["n_rows"])
-        d["source_system"], d["attr_name"] = pdf["source_system"].iloc[0], pdf["attr_name"].iloc[0]
-        return d[["load_no", "source_system", "attr_name", "expression", "n_rows", "nonconforming"]]
-
-    return stats.groupBy("source_system", "attr_name").applyInPandas(cover, "load_no int, source_system string, attr_name string, expression string, n_rows bigint, nonconforming bigint")
+    per = stats.groupBy("load_no", *COLUMN, F.col("item").alias("expression")).agg(F.sum("n").alias("n_rows"))
+    sums = per.groupBy(*COLUMN, "expression").agg(F.sum("n_rows").alias("n"))
+    order = Window.partitionBy(*COLUMN).orderBy(F.desc("n"), "expression")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    main = sums.select(*COLUMN, "expression", (before < 0.9 * F.sum("n").over(Window.partitionBy(*COLUMN))).alias("main"))
+    out = per.join(main, [*COLUMN, "expression"])
+    return out.select("load_no", *COLUMN, "expression", "n_rows", F.when(F.col("main"), F.lit(0)).otherwise(F.col("n_rows")).cast("bigint").alias("nonconforming"))

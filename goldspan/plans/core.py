@@ -42,6 +42,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loads.changed(table(spark, sf_dir, "load_extract"))
 
 
+def p3_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases of p3_found with the features that tell them."""
+    return loads.explained(table(spark, sf_dir, "load_extract"))
+
+
 def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loads.profile(table(spark, sf_dir, "load_extract"))
 
@@ -104,5 +109,5 @@ ranked AS (
 SELECT entity, source_system, source_key, event_id FROM ranked WHERE rn = 1 AND op IS DISTINCT FROM 'delete'
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_exactly_once, p3_found, p3_profile, p3_profile_whole, p3_expressions, p6_found, p6_runs)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_exactly_once, p3_found, p3_explained, p3_profile, p3_profile_whole, p3_expressions, p6_found, p6_runs)}
 SQL = {"p2_found": P2_FOUND, "p2_exactly_once": P2_EXACTLY_ONCE, "p3_profile": P3_PROFILE, "p3_profile_whole": P3_PROFILE_WHOLE, "p6_found": P6_FOUND, "p6_runs": P6_FOUND}
