@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from goldspan.functions import keys as K
 from goldspan.functions import likeness as L
 from goldspan.functions import standard as S
-from goldspan.operators import changelog, deliveries, golden, landing, loads, pairs, sampling
+from goldspan.operators import changelog, codelists, deliveries, estimate, gaps, golden, landing, loads, pairs, publish, resolve, sampling, standardise, survive
 from goldspan.runtime import Manifest, Workspace
 
 
@@ -293,3 +293,258 @@ def test_wilson_and_allocation(spark):
     assert [r.t for r in df.collect()] == [True, False, True, False, True, False]
     got = {r.stratum: r.take for r in sampling.allocation(spark.createDataFrame([("a", 97), ("b", 2), ("c", 1)], "stratum string, n long"), 10).collect()}
     assert got == {"a": 10, "b": 1, "c": 1}
+
+
+# --- loads against brute force
+
+
+def test_departures_equal_a_plain_computation(spark):
+    rng = random.Random(31)
+    rows = []
+    for k in (1, 2, 3, 5, 8):
+        for i in range(60):
+            rows.append({"load_no": k, "loaded_at": at(0), "source_system": "crm", "country": rng.choice(["QM", "QN", "QO", None, " "]) if k != 5 else rng.choice(["QM", None, None])})
+    df = spark.createDataFrame([tuple(r.get(c) for c in ("load_no", "loaded_at", "source_system", "country")) for r in rows], "load_no int, loaded_at timestamp, source_system string, country string")
+    got = {(r.load_no, r.feature): (r.departure, r.usual) for r in loads.departures(df, ("country",)).collect()}
+    cells = {k: [r["country"] for r in rows if r["load_no"] == k] for k in (1, 2, 3, 5, 8)}
+    full = {k: [v for v in vs if v and v.strip()] for k, vs in cells.items()}
+    names = sorted(cells)
+    items = sorted({v for vs in full.values() for v in vs})
+    share = np.array([[full[k].count(v) / len(full[k]) if full[k].count(v) * 100 >= len(cells[k]) else 0.0 for v in items] for k in names])
+    share = np.hstack([share, np.clip(1 - share.sum(axis=1, keepdims=True), 0, 1)])
+    empty = np.array([1 - len(full[k]) / len(cells[k]) for k in names])
+    value, gone = [], []
+    for k in range(len(names)):
+        usual = np.median(np.delete(share, k, axis=0), axis=0)
+        chance = 0.5 * np.sqrt(2 * usual * (1 - usual) / (np.pi * len(full[names[k]]))).sum()
+        value.append(max(0.0, 0.5 * np.abs(share[k] - usual).sum() - chance) * (1 - empty[k]))
+        gone.append(abs(empty[k] - np.median(np.delete(empty, k))))
+    for k, name in enumerate(names):
+        for feature, want in (("value", value), ("empty", gone)):
+            assert got[name, feature] == pytest.approx((want[k], np.quantile(np.delete(want, k), 0.75)), abs=1e-9)
+
+
+def test_a_whole_number_counts_by_its_magnitude(spark):
+    rows = [tuple(r[c.split()[0]] for c in LOADS.split(", ")) for r in _load_rows(lambda r, i: r.update(source_version=r["source_version"] + 10 * (i + 1)))]
+    df = spark.createDataFrame(rows, LOADS)
+    assert ("bucket" in {f.feature for r in loads.explained(df, ("source_version",)).collect() for f in r.features})
+
+
+# --- resolution
+
+
+PAIR = "a string, b string, score double, band string"
+
+
+def test_clusters_keep_all_schemes_apart_and_tell_what_they_refused(spark):
+    pair_rows = [("a", "b", 99.0, "auto"), ("b", "c", 95.0, "auto"), ("c", "d", 97.0, "auto"), ("d", "a", 91.0, "auto"), ("x", "y", 92.0, "auto"), ("y", "z", 93.0, "auto"), ("z", "a", 70.0, "review"), ("p", "p", 99.0, "auto")]
+    df = spark.createDataFrame(pair_rows, PAIR)
+    recs = spark.createDataFrame([(r,) for r in "abcdxyzq"] + [(None,)], "rec string")
+    ids = spark.createDataFrame([("a", "S", "1"), ("a", "S", "2"), ("d", "S", "3"), ("b", "T", "9"), ("x", "S", "5"), ("z", "T", "6")], "rec string, scheme string, value string")
+    clusters, refused = resolve.cluster(recs, df, ids)
+    got = {r.rec: (r.cluster, r.weakest) for r in clusters.collect()}
+    assert got == {"a": ("a", 99.0), "b": ("a", 99.0), "c": ("c", 97.0), "d": ("c", 97.0), "x": ("x", 92.0), "y": ("x", 92.0), "z": ("x", 92.0), "q": ("q", None)}
+    assert {tuple(r) for r in refused.collect()} == {("b", "c", 95.0), ("a", "d", 91.0)}
+    reviews = {tuple(r) for r in resolve.cluster_reviews(clusters, df, refused).collect()}
+    assert reviews == {("a", "c", "b", "c", 95.0, "cannot_link_conflict"), ("a", "x", "a", "z", 70.0, "possible_duplicate")}
+
+
+def test_a_second_value_of_a_scheme_lets_records_join(spark):
+    df = spark.createDataFrame([("a", "b", 99.0, "auto"), ("b", "c", 98.0, "auto")], PAIR)
+    recs = spark.createDataFrame([("a",), ("b",), ("c",)], "rec string")
+    ids = spark.createDataFrame([("a", "S", "1"), ("b", "S", "1"), ("b", "S", "2"), ("c", "S", "2")], "rec string, scheme string, value string")
+    clusters, refused = resolve.cluster(recs, df, ids)
+    assert {r.cluster for r in clusters.collect()} == {"a"} and refused.count() == 0
+
+
+def test_weakest_union_equals_a_spanning_tree(spark):
+    rng = random.Random(32)
+    edges = {}
+    for _ in range(120):
+        a, b = sorted(rng.sample(range(40), 2))
+        edges[f"n{a:02d}", f"n{b:02d}"] = round(rng.uniform(90, 100), 3)
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    least = {}
+    for (a, b), s in sorted(edges.items(), key=lambda e: (-e[1], e[0])):
+        p, q = sorted((find(a), find(b)))
+        if p != q:
+            parent[q] = p
+            least[p] = min(least.get(p, s), least.pop(q, s), s)
+    df = spark.createDataFrame([(a, b, s, "auto") for (a, b), s in edges.items()], PAIR)
+    recs = spark.createDataFrame([(n,) for n in sorted(parent)], "rec string")
+    none = spark.createDataFrame([], "rec string, scheme string, value string")
+    got = {r.rec: (r.cluster, r.weakest) for r in resolve.cluster(recs, df, none)[0].collect()}
+    assert got == {n: (find(n), least[find(n)]) for n in parent}
+
+
+def test_a_batch_is_resolved_in_order(spark):
+    candidates = spark.createDataFrame([("a", "M1", 95.0, "auto", None), ("b", "M1", 95.0, "auto", None), ("b", "M2", 92.0, "auto", None), ("c", "M3", 96.0, "auto", "cannot_link:S"), ("c", "M4", 70.0, "review", None)], "rec string, master_id string, score double, band string, blocked string")
+    outside = spark.createDataFrame([("d", "old", 80.0, "review")], "rec string, other string, score double, band string")
+    among = spark.createDataFrame([("a", "e", 70.0, "review"), ("e", "f", 95.0, "auto"), ("g", "h", 95.0, "auto"), ("h", "i", 65.0, "review")], PAIR)
+    recs = spark.createDataFrame([(r,) for r in "abcdefghi"], "rec string")
+    none = spark.createDataFrame([], "rec string, scheme string, value string")
+    got, reviews = resolve.batch_resolution(recs, candidates, outside, among, none)
+    by = {r.rec: (r.kind, r.reason, r.master_ids, r.review_with, r.cluster) for r in got.collect()}
+    assert by == {
+        "a": ("link", "auto_band", ["M1"], [], None), "b": ("ambiguous", "ambiguous_auto", ["M1", "M2"], [], None), "c": ("review", "cannot_link_conflict", ["M3", "M4"], [], None), "d": ("review", "unlinked_candidate", [], ["old"], None),
+        "e": ("review", "batch_candidate", [], ["f", "a"], None), "f": ("review", "batch_candidate", [], ["e"], None), "g": ("new_cluster", "new_cluster", [], [], "new:g"), "h": ("new_cluster", "new_cluster", [], [], "new:g"), "i": ("new_cluster", "new_cluster", [], [], "new:i"),
+    }
+    assert [tuple(r) for r in reviews.collect()] == [("g", "i", "h", "i", 65.0, "possible_duplicate")]
+    demoted = {r.rec: (r.kind, r.reason) for r in resolve.batch_resolution(recs, candidates, outside, among, none, True)[0].collect()}
+    assert demoted["a"] == ("review", "breaker_demoted") and demoted["g"] == demoted["h"] == ("review", "breaker_demoted") and demoted["i"] == ("review", "batch_candidate")
+
+
+def test_joiners_are_checked_against_those_before_them(spark):
+    rows = [("m", "a", 1, [("S", "1")]), ("m", "b", 2, [("S", "2")]), ("m", "c", 3, [("T", "7")]), ("m", "d", 4, [("T", "8"), ("S", "1")]), ("n", "e", 1, [("S", "9")]), ("n", "f", 2, None), (None, "g", 1, [("S", "1")])]
+    joins = spark.createDataFrame(rows, "target string, rec string, place int, ids array<struct<scheme:string,value:string>>")
+    held = spark.createDataFrame([("n", "S", "8")], "target string, scheme string, value string")
+    assert {tuple(r) for r in resolve.joiners_blocked(joins, held).collect()} == {("b", "m", "S"), ("d", "m", "T"), ("e", "n", "S")}
+
+
+def test_merges_in_a_circle_end(spark):
+    got = {tuple(r) for r in golden.collapse_chains(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", "e"), ("e", "f"), ("d", "z"), (None, "x")], "retired string, survivor string")).collect()}
+    assert got == {("d", "f"), ("e", "f")}
+
+
+def test_merge_and_unmerge_give_back_what_was(spark):
+    gold = spark.createDataFrame([(m, "active", None, 1) for m in "ABCD"] + [("E", "retired", None, 1)], "master_id string, status string, survivor_id string, row_version int")
+    xref = spark.createDataFrame([("r1", "A"), ("r2", "B"), ("r3", "C")], "rec string, master_id string")
+    none = spark.createDataFrame([], "retired_id string, merged_into string, survivor_id string, active boolean")
+    want = spark.createDataFrame([("A", "B"), ("B", "C"), ("D", "D"), ("E", "A")], "retired_id string, survivor_id string")
+    out = publish.merge(gold, xref, none, want)
+    assert {tuple(r) for r in out["xref"].collect()} == {("r1", "C"), ("r2", "C"), ("r3", "C")}
+    assert {(r.retired_id, r.merged_into, r.survivor_id) for r in out["retired"].collect()} == {("A", "B", "C"), ("B", "C", "C")}
+    assert {(r.retired_id, r.reason) for r in out["refused"].collect()} == {("D", "merge_into_itself"), ("E", "not_active")}
+    undone = spark.createDataFrame([("B",), ("D",)], "retired_id string")
+    back = publish.unmerge(out["golden"], out["xref"], out["retired"], undone, spark.createDataFrame([("B", "r1"), ("B", "r2")], "retired_id string, rec string"))
+    assert {tuple(r) for r in back["xref"].collect()} == {("r1", "B"), ("r2", "B"), ("r3", "C")}
+    assert {(r.retired_id, r.survivor_id, r.active) for r in back["retired"].collect()} == {("A", "B", True), ("B", "C", False)}
+    assert {(r.master_id, r.status, r.survivor_id) for r in back["golden"].collect()} == {("A", "merged", "B"), ("B", "active", None), ("C", "active", None), ("D", "active", None), ("E", "retired", None)}
+    marks = publish.change_rows(back["marks"].withColumn("entity", F.lit("p")), 7).orderBy("change_seq").collect()
+    assert [(r.master_id, r.change_kind, r.parts, r.change_seq) for r in marks] == [("A", "remapped", ["survivor"], 1), ("B", "unmerged", ["values", "xref", "status", "survivor"], 2), ("C", "updated", ["xref"], 3)]
+    assert publish.conflicts(gold, spark.createDataFrame([("A", 1), ("B", 2), ("E", 1), ("X", 1)], "master_id string, row_version int")).orderBy("master_id").collect() == [("B", "stale"), ("E", "not_active"), ("X", "unknown")]
+
+
+def test_units_hold_together_what_shares_anchors(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x"), (3, "y"), (4, None), (5, "z"), (6, "z"), (None, "z")], "item long, anchor string")
+    assert {tuple(r) for r in publish.commit_units(df).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5)}
+    assert publish.entity_order({"person": ("organisation",), "organisation": ("organisation",), "site": ("person", "organisation")}) == ["organisation", "person", "site"]
+    assert publish.entity_order({"a": ("b",), "b": ("a",)}) == ["a", "b"]
+
+
+# --- reading without loss
+
+
+def test_gap_reader_loses_nothing_and_repeats_nothing(spark):
+    hour = lambda n: at(3600 * n)
+    feed = lambda *seqs: spark.createDataFrame([(s, f"p{s}") for s in seqs] + [(None, "none")], "seq long, p string")
+    reader = gaps.GapReader(spark, "seq", timeout=2 * 3600, retention_days=1)
+    take = lambda rows: sorted(r.seq for r in rows.collect())
+    assert take(reader.next_batch(feed(1, 2, 5, 9), "one", hour(0))) == [1, 2, 5, 9]
+    assert {(r.lo, r.hi) for r in reader.ranges().collect()} == {(3, 4), (6, 8)} and reader.marks() == (9, 2)
+    again = gaps.GapReader(spark, "seq", reader.space.root, timeout=2 * 3600, retention_days=1)  # after a crash
+    assert take(again.next_batch(feed(1, 2, 5, 9, 7), "one", hour(1))) == [1, 2, 5, 9]
+    assert take(again.next_batch(feed(1, 2, 5, 9, 7, 12), "two", hour(1))) == [7, 12]
+    assert {(r.lo, r.hi, r.state) for r in again.ranges().collect()} == {(3, 4, "open"), (6, 6, "open"), (8, 8, "open"), (10, 11, "open")}
+    assert take(again.next_batch(feed(1, 2, 5, 9, 7, 12), "three", hour(3))) == []
+    assert {r.lo: r.state for r in again.ranges().collect()} == {3: "lost", 6: "lost", 8: "lost", 10: "lost"}
+    assert take(again.reconcile(feed(1, 2, 4, 5, 9, 7, 12), "four", hour(4))) == [4]
+    assert {r.lo for r in again.ranges().where("state = 'lost'").collect()} >= {3, 6, 8}
+    assert take(again.reconcile(feed(1, 2, 4, 5, 9, 7, 12), "five", hour(40))) == [] and again.ranges().where("state = 'lost'").count() == 0
+    again.release("one")
+    empty = gaps.GapReader(spark, "seq")
+    assert take(empty.next_batch(feed(), "x", hour(0))) == [] and empty.marks() == (0, 0)
+
+
+# --- standardising and rules
+
+
+def test_key_grammar():
+    assert standardise.parse_key("first(name,4)") == standardise.Key("first", "name", 4) and standardise.parse_key(" a.b ") == standardise.Key(None, "a.b")
+    for bad in ("first(name)", "id(x,2)", "nope(x)", "first(x,0)", "A", "a|b", ""):
+        with pytest.raises(ValueError):
+            standardise.parse_key(bad)
+
+
+def test_records_are_standardised_by_a_model(spark):
+    A = standardise.Attribute
+    model = standardise.Model(
+        "p", (A("name", standardise="person_name"), A("born", "date", "date", placeholders=(("1900-01-01", ()), ("*-01-01", ("sr",)))), A("ref", standardise="registered_id", scheme="R", checksum="luhn"), A("firm", standardise="org_name"), A("n", "integer"), A("flag", "boolean"), A("boss", "reference"), A("homes", "group", fields=("kind", "line")), A("absent")),
+        day_first=("sr",), passes={"k": ["sorted_tokens(name,2)", "born.year"], "i": ["id(ref)"], "s": ["soundex(name)"], "l": ["last(name,3)"]},
+    )
+    rows = [("sr", "1", "Ｍaria  LÓPEZ", "03/02/1980", "79927398713", "The Børn & Co. Ltd.", "5.0", "Yes", " f1 ", [(None, " "), ("home", "1 x")]), ("hr", "2", "  ", "1900-01-01", "12", "", "x", "maybe", "", None), ("sr", "3", "!!", "1/1/1990", None, None, "7", "0", None, [])]
+    got = {r.source_key: r for r in standardise.standardise(spark.createDataFrame(rows, "source_system string, source_key string, name string, born string, ref string, firm string, n string, flag string, boss string, homes array<struct<kind:string,line:string>>"), model).collect()}
+    one, two, three = got["1"], got["2"], got["3"]
+    assert (one.name, one.m_name, one.born, one.m_born__year, one.n, one.flag, one.references) == ("Maria LÓPEZ", "maria lopez", "1980-02-03", "1980", "5", "true", {"boss": "f1"})
+    assert one["keys"] == {"k": "lopez maria|1980", "i": "r:79927398713", "s": "m641", "l": "pez"} and one.ids[0].valid and one.invalid == [] and [tuple(h) for h in one.homes] == [("home", "1 x")]
+    assert one.m_firm == "born" and one.m_firm__legal == "ltd"
+    assert two.name is None and two.placeholders == ["born"] and two.born is None and two.ids[0].valid is False and set(two.invalid) == {"n", "flag"} and two["keys"] == {}
+    assert three.invalid == ["name"] and three.placeholders == ["born"] and three.homes is None and three.absent is None
+
+
+def test_soundex_is_american(spark):
+    words = {"Robert": "R163", "Rupert": "R163", "Ashcraft": "A261", "Tymczak": "T522", "Pfister": "P236", "Honeyman": "H555", "Lee": "L000"}
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.soundex("w").alias("s"))
+    assert {r.w: r.s for r in df.collect()} == words
+
+
+def test_contract_names_the_attributes_at_fault(spark):
+    attrs = {"p": {"name": "text", "n": "integer", "homes": "group", "boss": "reference"}}
+    cases = {
+        '{"name":"x","n":1}': (None, []), '{"name":{"a":1}}': ("bad_type", ["name"]), '{"n":true,"boss":[1]}': ("bad_type", ["boss", "n"]), '{"homes":[1]}': ("bad_type", ["homes"]), '{"homes":{"a":1}}': ("bad_type", ["homes"]), '{"fax":1,"abc":2}': ("bad_payload", ["abc", "fax"]),
+        '{"name":"' + "x" * 4001 + '"}': ("too_large", ["name"]), '{"homes":[' + ",".join(['{"kind":"k"}'] * 101) + "]}": ("too_large", ["homes"]), '{"homes":[{"kind":"' + "y" * 4001 + '"}]}': ("too_large", ["homes"]), '{"master_id":5}': ("bad_type", ["master_id"]), "[]": ("bad_payload", []), '{"homes":null,"n":null}': (None, []), "not json": ("bad_payload", []),
+    }
+    rows = [("p", "hr", "k", "upsert", None, p) for p in cases] + [(None, "hr", "k", "upsert", None, "{}"), ("p", None, "k", "upsert", None, "{}"), ("p", "hr", " ", "upsert", None, "{}")]
+    df = spark.createDataFrame(rows, "entity string, source_system string, source_key string, op string, source_version long, payload string")
+    got = landing.contract(df, attrs, {"p": ("hr",)}, (), ("kind",)).collect()
+    assert {r.payload: (r.reason, r.attributes) for r in got if r.entity and r.source_system and r.source_key.strip()} == cases
+    assert sorted(r.reason for r in got[len(cases):]) == ["missing_key", "unknown_entity", "unknown_source"]
+
+
+def test_pins_and_repeating_groups(spark):
+    offers = spark.createDataFrame([("m", "city", "hr", "1", "Rome", 1, at(1), 1), ("m", "city", "crm", "2", "Oslo", None, at(9), 2), ("m", "city", "crm", "3", " ", 1, at(9), 2), ("m", "mail", "crm", "2", "x", 2, None, None)], "master_id string, attr_name string, source_system string, source_key string, value string, trust int, occurred_at timestamp, landing_seq long")
+    stewards = spark.createDataFrame([("m", "city", "Bonn", at(5), at(100)), ("m", "mail", "old", at(5), at(10)), ("n", "city", "Kiel", at(5), None)], "master_id string, attr_name string, value string, set_at timestamp, pinned_until timestamp")
+    got = {(r.master_id, r.attr_name): (r.value, r.source, r.decided_by, len(r.runners_up), r.pinned) for r in survive.survive(offers, {}, ["source_trust", "recency"], stewards, 0, at(50)).collect()}
+    assert got == {("m", "city"): ("Bonn", "steward:city", "pin", 2, True), ("m", "mail"): ("x", "crm:2", "only", 0, False), ("n", "city"): ("Kiel", "steward:city", "only", 0, False)}
+    assert survive.survive(offers, {}, ["recency"], style="registry").count() == 0
+    members = spark.createDataFrame([("m", "a", {"v": "now"}, {"v": "old"}), ("m", "b", {"v": "now"}, None)], "master_id string, rec string, current_values map<string,string>, approved_values map<string,string>")
+    assert {r.rec: r["values"] for r in survive.approved(members, spark.createDataFrame([("a",)], "rec string")).collect()} == {"a": {"v": "now"}, "b": None}
+
+
+def test_canonical_maps_and_the_vault(spark):
+    df = spark.createDataFrame([({"b": 'x"]', "a": None},), ({"a": None, "b": 'x"]'},), (None,)], "m map<string,string>")
+    assert [r[0] for r in df.select(standardise.canonical_map(F.col("m"))).collect()] == ['{"a":null,"b":"x\\"]"}'] * 2 + [None]
+
+
+def test_estimates_recover_a_planted_world(spark):
+    rng = np.random.default_rng(5)
+    m, u = {"x": [0.9, 0.06, 0.04], "y": [0.8, 0.2], "id": [0.95, 0.05]}, {"x": [0.05, 0.15, 0.8], "y": [0.1, 0.9], "id": [0.001, 0.999]}
+    draw = lambda same, n: [tuple(int(rng.choice(len(p[c]), p=p[c])) for c in ("x", "y", "id")) for p in [m if same else u] for _ in range(n)]
+    rows = [(f"l{k}", f"r{k}", 1.0, bool(y and lv[2] == 0), *lv) for k, (y, lv) in enumerate([(1, v) for v in draw(True, 1500)] + [(0, v) for v in draw(False, 4500)])]
+    df = spark.createDataFrame(rows, "left_rec string, right_rec string, weight double, strong_equal boolean, x int, y int, id int")
+    random_ = spark.createDataFrame([(*lv,) for lv in draw(False, 4000)], "x int, y int, id int")
+    got = estimate.estimate({"p": df}, random_, {"x": 3, "y": 2, "id": 2}, {}, {"p": set()}, 20_000, strong="id")
+    assert np.allclose(got["m"]["x"], m["x"], atol=0.04) and np.allclose(got["m"]["y"], m["y"], atol=0.04) and np.allclose(got["u"]["x"], u["x"], atol=0.03)
+    assert abs(got["expected"] - 1500) < 150 and 0 < got["prior"] < 1e-3
+
+
+def test_combined_passes_and_priors():
+    got = estimate.combine_passes({"p": ({"x": (0.9, 0.1), "y": (0.5, 0.5)}, {"x": 30.0, "y": 1.0}), "q": ({"x": (0.6, 0.4)}, {"x": 10.0})}, {"p": {"y"}})
+    assert got == {"x": pytest.approx((0.825, 0.175))}
+    assert estimate.scale_to_population(10, 50, 100) == pytest.approx(10 / 0.75) and estimate.global_prior(5, 0) == 1e-9
+
+
+def test_hard_rules_decide_counterfactuals(spark):
+    rules = pairs.Rules.defaults({"a": 4, "id": 3}, 0.01)
+    df = spark.createDataFrame([(0, 0, None), (3, 1, None), (0, 0, "must_link")], "a int, id int, rule string")
+    got = [(r.lower_by, r.raise_by) for r in pairs.explain(df, rules, {"id": ("cannot_link", "must_link")}, "rule").collect()]
+    assert got[0][0].startswith(("id:2", "a:")) and got[1][1] is not None and got[2] == (None, None)
+
+
+def test_code_lists_keep_their_versions(spark):
+    lists = codelists.CodeLists(spark)
+    lists.load(spark.createDataFrame([("c", "A", "x"), ("c", "A", "w"), ("d", "B", None), (None, "Z", "z")], "list_name string, code string, label string"), 1)
+    lists.load(spark.createDataFrame([("c", "C", "y")], "list_name string, code string, label string"), 2)
+    assert {tuple(r) for r in lists.snapshot().collect()} == {("c", 2, "C", "y"), ("d", 1, "B", None)}
+    assert {tuple(r) for r in lists.snapshot(["c"], 1).collect()} == {("c", 1, "A", "w")} and codelists.CodeLists(spark).snapshot().count() == 0
