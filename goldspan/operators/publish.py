@@ -11,25 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldspan.operators.golden import collapse_chains, components
-from goldspan.runtime import Workspace
+from goldspan.runtime import Workspace, numbered
 
 #: Kinds of change, the one that tells most first, and parts of a record in their order.
 KINDS = ("merged", "unmerged", "retired", "reinstated", "created", "remapped", "updated")
 PARTS = ("values", "xref", "relationship", "status", "survivor")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "n") -> DataFrame:
-    """rows with their place, from 1, in the order of columns that tell them apart: ranges are sorted apart and counted up, one row for each range."""
-    space = Workspace(rows.sparkSession, "numbered")
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    placed = space.save(placed, "placed")
-    sizes, before = {}, 0
-    for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():  # a row for each range
-        sizes[r["_part"]], before = before, before + r.n
-    at = rows.sparkSession.createDataFrame(sorted(sizes.items()), "_part int, _first bigint")
-    return placed.join(F.broadcast(at), "_part").withColumn(name, F.col("_first") + F.col("_pos") + 1).drop("_part", "_pos", "_first")
-
-
 def new_ids(items: DataFrame, code: str, order: list[str], last: int = 0) -> DataFrame:
     """items with master_id ``CODE-000001`` and so on in their order, behind the last number given before."""
     return numbered(items, order).withColumn("master_id", F.concat(F.lit(code + "-"), F.lpad((F.col("n") + last).cast("string"), 6, "0"))).drop("n")

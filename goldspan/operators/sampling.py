@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from goldspan.runtime import numbered
+
 
 def wilson_upper(agreed: Column, n: Column, z: float = 1.645) -> Column:
     """Upper bound of a share by Wilson's score."""
@@ -40,16 +42,30 @@ def allocation(strata: DataFrame, total: int) -> DataFrame:
 
 
 def draw(items: DataFrame, taken: DataFrame, order: list[Column]) -> DataFrame:
-    """The first ``take`` items of each stratum by their draw numbers."""
-    ranked = items.withColumn("rn", F.row_number().over(Window.partitionBy("stratum").orderBy(*order)))
-    return ranked.join(F.broadcast(taken.select("stratum", "take")), "stratum").where("rn <= take").drop("rn", "take")
+    """The first ``take`` items of each stratum by their draw numbers; a task keeps no more than the largest take of each before they meet."""
+    most = taken.agg(F.max("take")).first()[0] or 0
+    first = items.withColumn("rn", F.row_number().over(Window.partitionBy("stratum").orderBy(*order))).where(F.col("rn") <= most)
+    return first.join(F.broadcast(taken.select("stratum", "take")), "stratum").where("rn <= take").drop("rn", "take")  # a row for each stratum
+
 
+def review_draw(items: DataFrame, by: list[str], order: list[str], share: float) -> DataFrame:
+    """The first share of each group, rounded up and one at least, by draw numbers ``order``, which tell items apart.
 
-def review_draw(items: DataFrame, by: list[str], order: list[Column], share: float) -> DataFrame:
-    """The first share of each group, rounded up and one at least, by draw numbers."""
-    w = Window.partitionBy(*by)
-    out = items.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("rn", F.row_number().over(w.orderBy(*order)))
-    return out.where(F.col("rn") <= F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * F.lit(share), 9)))).drop("n", "rn")
+    Items are put in one order of group and draw number, in ranges: a group of any size spreads over many tasks.
+    """
+    placed = numbered(items, [*by, *order], "_n")
+    groups = placed.groupBy(*by).agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    same = [F.col(f"i.{c}").eqNullSafe(F.col(f"g.{c}")) for c in by]
+    joined = placed.alias("i").join(F.broadcast(groups.alias("g")), same)  # a row for each group of reviews
+    kept = joined.where(F.col("_n") - F.col("_first") < F.greatest(F.lit(1), F.ceil(F.round(F.col("_size") * F.lit(share), 9))))
+    return kept.select(*(F.col(f"i.{c}") for c in items.columns))
+
+
+def capped_sample(drawn: DataFrame, by: list[str], order: list[str], open_now: DataFrame, cap: int) -> DataFrame:
+    """Of newly drawn samples those for which there is room: ``cap`` less what is open (by columns and n), in landing order."""
+    room = open_now.select(*by, (F.lit(cap) - F.col("n")).alias("_room"))
+    first = drawn.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rn") <= cap)
+    return first.join(F.broadcast(room), by, "left").where(F.col("_rn") <= F.coalesce("_room", F.lit(cap))).drop("_rn", "_room")  # a row for each group
 
 
 def pack(items: DataFrame, by: str, order: str, target: str, rows: int, targets: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from goldspan.functions import keys as K
 from goldspan.functions import likeness as L
 from goldspan.functions import standard as S
-from goldspan.operators import golden, landing, loads, pairs, sampling
+from goldspan.operators import golden, landing, pairs, profile, sampling
 from goldspan.runtime import Workspace, table
 from goldspan.streaming import streams
 
@@ -709,7 +709,7 @@ def stratified_draw(spark, d):
 
 @query("SELECT o_orderkey, o_orderstatus FROM (SELECT *, count(*) OVER (PARTITION BY o_orderstatus) AS n, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS rn FROM orders) WHERE rn <= greatest(1, ceil(round(n * 0.02, 9)))")
 def review_draw(spark, d):
-    return sampling.review_draw(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), ["o_orderstatus"], [F.col("o_totalprice"), F.col("o_orderkey")], 0.02).select("o_orderkey", "o_orderstatus")
+    return sampling.review_draw(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), ["o_orderstatus"], ["o_totalprice", "o_orderkey"], 0.02).select("o_orderkey", "o_orderstatus")
 
 
 @query(f"SELECT signature, count(*) AS n FROM (SELECT {_signature_sql()} AS signature FROM ({_SCORED}) ORDER BY left_rec, right_rec LIMIT 500) GROUP BY 1")
@@ -727,72 +727,81 @@ def batch_pack(spark, d):
 
 # --- profiles ------------------------------------------------------------------------------------------------
 
-_PCOLS = ("p_name", "p_brand", "p_type")
-_PCELLS = " UNION ALL ".join(f"SELECT '{c}' AS attr, {c} AS v FROM part" for c in _PCOLS)
+_PCOLS = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+_PCELLS = " UNION ALL ".join(f"SELECT '{c}' AS attr, CAST({c} AS VARCHAR) AS v FROM part" for c in _PCOLS)
 
 
-def _part_cells(spark, d):
-    cells = F.array(*(F.struct(F.lit(c).alias("attr"), F.col(c).cast("string").alias("v")) for c in _PCOLS))
-    return table(spark, d, "part").select(F.explode(cells).alias("x")).select("x.*").groupBy("attr", "v").agg(F.count(F.lit(1)).alias("n"))
+def _profiled(spark, d):
+    rows = table(spark, d, "part")
+    return profile.cells(rows, rows.columns)
 
 
-@query(f"SELECT attr, CAST(count(v) AS BIGINT) AS filled, CAST(count(*) - count(v) AS BIGINT) AS empty, count(DISTINCT v) AS distincts, min(length(v)) AS shortest, max(length(v)) AS longest FROM ({_PCELLS}) GROUP BY attr")
+@query(f"SELECT attr, CAST(count(v) FILTER (WHERE trim(v) <> '') AS BIGINT) AS filled, CAST(count(*) - count(v) FILTER (WHERE trim(v) <> '') AS BIGINT) AS empty, count(DISTINCT v) FILTER (WHERE trim(v) <> '') AS distincts, min(length(v)) FILTER (WHERE trim(v) <> '') AS shortest, max(length(v)) FILTER (WHERE trim(v) <> '') AS longest FROM ({_PCELLS}) GROUP BY attr")
 def profile_attributes(spark, d):
-    c = _part_cells(spark, d)
-    return c.groupBy("attr").agg(
-        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("filled"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("empty"),
-        F.count("v").alias("distincts"), F.min(F.length("v")).alias("shortest"), F.max(F.length("v")).alias("longest"),
-    )
-
-
-def _top(counts: DataFrame, by: str, value: str) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(F.desc("n"), value)
-    return counts.withColumn("rn", F.row_number().over(w)).where("rn <= 10").drop("rn")
+    return profile.attributes(_profiled(spark, d))
 
 
-@query(f"SELECT attr, v, n FROM (SELECT *, row_number() OVER (PARTITION BY attr ORDER BY n DESC, v) AS rn FROM (SELECT attr, v, count(*) AS n FROM ({_PCELLS}) WHERE v IS NOT NULL GROUP BY ALL)) WHERE rn <= 10")
+@query(f"SELECT attr, v, n FROM (SELECT *, row_number() OVER (PARTITION BY attr ORDER BY n DESC, v) AS rn FROM (SELECT attr, v, count(*) AS n FROM ({_PCELLS}) WHERE trim(v) <> '' GROUP BY ALL)) WHERE rn <= 10")
 def profile_top_values(spark, d):
-    return _top(_part_cells(spark, d).where("v is not null"), "attr", "v")
+    return profile.top_values(_profiled(spark, d))
 
 
 _PATTERN = "regexp_replace(regexp_replace(regexp_replace(v, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g')"
 
 
-@query(f"SELECT attr, pattern, n FROM (SELECT *, row_number() OVER (PARTITION BY attr ORDER BY n DESC, pattern) AS rn FROM (SELECT attr, {_PATTERN} AS pattern, count(*) AS n FROM ({_PCELLS}) WHERE v IS NOT NULL GROUP BY ALL)) WHERE rn <= 10")
+@query(f"SELECT attr, pattern, n FROM (SELECT *, row_number() OVER (PARTITION BY attr ORDER BY n DESC, pattern) AS rn FROM (SELECT attr, CASE WHEN length(p) > 40 THEN substr(p, 1, 40) || '…' ELSE p END AS pattern, count(*) AS n FROM (SELECT attr, {_PATTERN} AS p FROM ({_PCELLS}) WHERE trim(v) <> '') GROUP BY ALL)) WHERE rn <= 10")
 def profile_patterns(spark, d):
-    c = _part_cells(spark, d).where("v is not null").groupBy("attr", K.pattern_of("v").alias("pattern")).agg(F.sum("n").alias("n"))
-    return _top(c, "attr", "pattern")
+    return profile.top_patterns(_profiled(spark, d))
 
 
 # --- streams ---------------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
-def stream_hourly_counts(spark, d):
-    space, done = Workspace(spark, "stream"), []
-    source = streams.stream_of(spark, f"{d}/events.parquet")
-    if dict(source.dtypes)["ts"] == "timestamp_ntz":
-        source = source.withColumn("ts", F.col("ts").cast("timestamp"))
+_EVENTS = ("event_id", "user_id", "ts", "event_type", "value")
 
-    def sink(batch, epoch):
-        done.append(space.write(batch, space.path(f"hours-{epoch}")))
 
-    streams.run_to_end(streams.hourly_counts(source, "ts", "event_type"), sink, space, "update")
-    parts = [spark.read.parquet(p).withColumn("epoch", F.lit(k)) for k, p in enumerate(done)]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return landing.latest_by(whole, ["event_type", "hour"], ["epoch", "n"]).select("event_type", "hour", "n")
+def _event_files(spark, d, space, late: int) -> str:
+    """events in six files as they might land: by number, but every seventh row up to ``late`` files later."""
+    rows = table(spark, d, "events").select(*_EVENTS)
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = rows.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+    width = ((ends.hi or 0) - (ends.lo or 0)) // 6 + 1
+    file = F.least(F.lit(5), F.expr(f"int((event_id - {ends.lo or 0}) div {width})") + F.when(F.col("event_id") % 7 == 0, late).otherwise(0))
+    return streams.as_files(rows, file, 6, space)
 
 
-@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
-def stream_latest_state(spark, d):
-    space, done = Workspace(spark, "stream"), []
-    schema = "user_id long, event_id long, value double"
-    source = streams.stream_of(spark, f"{d}/events.parquet").select("user_id", "event_id", "value")
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
+def stream_hourly_counts(spark, d):
+    """Six micro-batches, rows coming up to two files late; the watermark leaves their hours open."""
+    space = Workspace(spark, "stream")
+    source = streams.stream_of(spark, _event_files(spark, d, space, 2))
+    out = streams.Upserts(space, ["event_type", "hour"])
+    streams.run_to_end(streams.hourly_counts(source, "ts", "event_type", "400 days"), out.sink, space, "update")
+    return out.read(spark).select("event_type", "hour", "n")
 
-    def sink(batch, epoch):
-        done.append(space.write(batch, space.path(f"state-{epoch}")))
 
-    streams.run_to_end(streams.latest_state(source, "user_id", schema, ["event_id"]), sink, space)
-    return landing.latest_by(spark.read.parquet(*done), ["user_id"], ["event_id"])
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
+def stream_latest_state(spark, d):
+    space = Workspace(spark, "stream")
+    source = streams.stream_of(spark, _event_files(spark, d, space, 3)).select("user_id", "event_id", "value")
+    out = streams.Upserts(space, ["user_id"])
+    streams.run_to_end(streams.latest_state(source, ["user_id"], ["event_id"]), out.sink, space, "update")
+    return out.read(spark).select("user_id", "event_id", "value")
+
+
+@query("SELECT event_id, min(landing_seq) AS landing_seq FROM arrival_queue WHERE event_id IS NOT NULL GROUP BY 1")
+def stream_exactly_once(spark, d):
+    """The queue in four files, each delivered twice, the sink restarted between: every event is stored once."""
+    space = Workspace(spark, "stream")
+    rows = table(spark, d, "arrival_queue").select(F.lit("queue").alias("scope"), "event_id", "landing_seq")
+    ends = rows.agg(F.min("landing_seq").alias("lo"), F.max("landing_seq").alias("hi")).first()
+    width = ((ends.hi or 0) - (ends.lo or 0)) // 4 + 1
+    folder = streams.as_files(rows, F.coalesce(F.expr(f"int((landing_seq - {ends.lo or 0}) div {width})"), F.lit(0)), 4, space)
+    schema = rows.schema
+    for n in range(4):
+        once = streams.ExactlyOnce(spark, f"{space.root}/once")  # a sink that has just been restarted
+        part = spark.read.schema(schema).parquet(f"{folder}/file-{n:03d}")
+        once.sink(part, 2 * n)
+        once.sink(part, 2 * n)  # replayed after a crash
+        once.sink(part, 2 * n + 1)  # delivered once more
+    return once.read().select("event_id", "landing_seq")
