@@ -227,8 +227,17 @@ def statistics(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES, shape
     def part(df: DataFrame, feature: str, item: Column, n: Column) -> DataFrame:
         return df.groupBy(*at, item.alias("item")).agg(n.alias("n")).select(*at, F.lit(feature).alias("feature"), "item", "n")
 
-    rows = part(counted, "rows", F.lit(""), F.sum("n"))
-    empty = part(counted, "empty", F.lit(""), F.sum(F.when(full, 0).otherwise(F.col("n"))))
+    # All that needs no other table is counted by one pass over the distinct values.
+    told = F.lit(True) if not shapeless else ~F.col("attr_name").isin(*shapeless)
+    each = lambda feature, item, n: F.struct(F.lit(feature).alias("feature"), item.alias("item"), n.alias("n"))
+    edge = lambda feature, at_: F.when(full & told, each(feature, F.upper(F.substring("value", at_, 1)), F.col("n")))
+    features = F.array_compact(F.array(
+        each("rows", F.lit(""), F.col("n")), each("empty", F.lit(""), F.when(full, F.lit(0).cast("bigint")).otherwise(F.col("n"))),
+        F.when(full & F.col("bucket").isNotNull(), each("bucket", F.col("bucket"), F.col("n"))), edge("begin", 1), edge("end", -1),
+    ))
+    simple = counted.select(*at, F.explode(features).alias("f")).groupBy(*at, "f.feature", "f.item").agg(F.sum("f.n").alias("n"))
+    simple = space.save(simple.select(*at, "feature", "item", "n"), "simple")
+    rows = simple.where("feature = 'rows'")
     distinct = part(filled, "distinct", F.lit(""), F.count_distinct("value"))
     shaped = filled.where(~F.col("attr_name").isin(*shapeless) & F.col("load_no").isNotNull() & F.col("source_system").isNotNull()).withColumn("shape", shape_of(F.col("value")))
     shaped = space.save(shaped.groupBy(*at, "shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values")), "shapes")
@@ -237,14 +246,7 @@ def statistics(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES, shape
     size = rows.select(*at, F.col("n").alias("all"))
     common = filled.join(size, at).where("n * 100 >= all")
     values = part(common, "value", F.col("value"), F.sum("n"))
-    buckets = part(filled.where("bucket is not null"), "bucket", F.col("bucket"), F.sum("n"))
-    text = filled.where(~F.col("attr_name").isin(*shapeless))
-    begins = part(text, "begin", F.upper(F.substring("value", 1, 1)), F.sum("n"))
-    ends = part(text, "end", F.upper(F.substring("value", -1, 1)), F.sum("n"))
-    out = rows
-    for more in (empty, distinct, shapes, values, buckets, begins, ends):
-        out = out.unionAll(more)
-    return out
+    return simple.unionAll(distinct).unionAll(shapes).unionAll(values)
 
 
 def _rest(entries: Column, zeros: Column, own: Column, at: Column) -> Column:
