@@ -29,6 +29,8 @@ from goldspan.runtime import Workspace, spread
 WINDOW = 10
 #: Links of at least this confidence are kept.
 LINK = 0.5
+#: Pairs whose weight before any evidence is less, and whose identifiers label nothing, aren't carried on; once the weights are fitted it is proved that none of them could have become a link.
+HOPELESS = -9.0
 
 
 def _person_keys(t: dict) -> list[str]:
@@ -152,12 +154,15 @@ def _read(records: DataFrame, kind: Kind) -> DataFrame:
     return told.groupBy("rec").agg(F.min(F.struct("system", *NAMES, "keys")).alias("r")).select("rec", "r.*")
 
 
-def neighbours(keyed: DataFrame, space: Workspace, window: int = WINDOW, compare: Callable[[levels.Records, np.ndarray, np.ndarray], list[np.ndarray]] | None = None) -> DataFrame:
+def neighbours(
+    keyed: DataFrame, space: Workspace, window: int = WINDOW, compare: Callable[[levels.Records, np.ndarray, np.ndarray], list[np.ndarray]] | None = None,
+    keep: Callable[[list[np.ndarray]], np.ndarray] | None = None,
+) -> DataFrame:
     """a, b of all rows of ``keyed`` (id, pass, key) less than ``window`` apart in the order of a pass.
 
     With ``compare``, keyed has the traits as well, and every pair its levels:
     pairs are compared where the window meets them, so traits travel once for
-    each key and not once for each pair.
+    each key and not once for each pair. ``keep`` may leave out pairs by their levels.
 
     The order is cut into ranges that are windowed apart from each other; pairs
     that reach over a cut come from the ends of the ranges, by their place in the
@@ -199,8 +204,11 @@ def neighbours(keyed: DataFrame, space: Workspace, window: int = WINDOW, compare
             x, y = first[fits], (first + far)[fits]
             if len(x):
                 i, j = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
-                level = levels.packed(compare(levels.Records(held), i, j)) if compare else np.zeros(len(i), np.int32)
-                yield rows(0, ids[i], ids[j], level)
+                level = compare(levels.Records(held), i, j) if compare else [np.zeros(len(i), np.int32)]
+                if keep:
+                    kept = np.flatnonzero(keep(level))
+                    i, j, level = i[kept], j[kept], [x[kept] for x in level]
+                yield rows(0, ids[i], ids[j], levels.packed(level))
             n += new.num_rows
             held = held.slice(max(held.num_rows - window + 1, 0))
         if n:
@@ -243,18 +251,55 @@ def neighbours(keyed: DataFrame, space: Workspace, window: int = WINDOW, compare
     return inside.select("a", "b", "levels").unionAll(joined.mapInArrow(finish, "a bigint, b bigint, levels int")).distinct()
 
 
+def _crosses(kind: Kind) -> tuple[tuple[str, str], ...]:
+    """Fields whose levels mean more together; ``name`` is whether given and family name are both alike."""
+    if kind.entity == "person":
+        return ("given", "born"), ("born", "place"), ("email", "phone"), ("name", "place")
+    return ("family", "place"), ("family", "email"), ("email", "phone")
+
+
 def _terms(kind: Kind, level: tuple[int, ...]) -> list[str]:
     """The terms of a pair in the model: each field's level, and levels that mean more together."""
     at = dict(zip(traits.PERSON_FIELDS, level))
-    out = [f"{f}={at[f]}" for f in kind.weights]
-    if kind is PERSON or kind.entity == "person":
-        out += [f"given={at['given']}&born={at['born']}", f"born={at['born']}&place={at['place']}", f"email={at['email']}&phone={at['phone']}"]
-        out.append(f"name={int(at['given'] in (1, 2, 3) and at['family'] in (1, 2, 3))}&place={at['place']}")
-    else:
-        out += [f"family={at['family']}&place={at['place']}", f"family={at['family']}&email={at['email']}", f"email={at['email']}&phone={at['phone']}"]
+    at["name"] = int(at["given"] in (1, 2, 3) and at["family"] in (1, 2, 3))
+    return [f"{f}={at[f]}" for f in kind.weights] + [f"{f}={at[f]}&{g}={at[g]}" for f, g in _crosses(kind)]
+
+
+def _before_evidence(kind: Kind, level: list[np.ndarray]) -> np.ndarray:
+    """The weight of pairs, by the weights that hold before any evidence."""
+    out = np.full(len(level[0]), kind.bias)
+    for f, by in (*kind.weights.items(), ("ident", IDENT)):
+        out += np.array([by.get(k, 0.0) for k in range(8)])[level[traits.PERSON_FIELDS.index(f)]]
     return out
 
 
+def carried_on(kind: Kind) -> Callable[[list[np.ndarray]], np.ndarray]:
+    """Whether pairs of such levels may become links, or have identifiers that label them."""
+    at = traits.PERSON_FIELDS.index("ident")
+
+    def keep(level: list[np.ndarray]) -> np.ndarray:
+        return (_before_evidence(kind, level) >= HOPELESS) | (level[at] == 1) | (level[at] == 4)
+
+    return keep
+
+
+def none_was_missed(kind: Kind, weights: dict[str, float]) -> bool:
+    """Whether, by the fitted weights, no combination of levels that isn't carried on reaches LINK: all of them are tried."""
+    own = {**kind.weights, "ident": IDENT}
+    grid = np.meshgrid(*(np.arange(max(own[f]) + 1) if f in own else np.zeros(1, int) for f in traits.PERSON_FIELDS), indexing="ij")
+    level = [g.ravel() for g in grid]
+    dropped = ~carried_on(kind)(level)
+    level = [x[dropped] for x in level]
+    at = dict(zip(traits.PERSON_FIELDS, level))
+    at["name"] = (np.isin(at["given"], (1, 2, 3)) & np.isin(at["family"], (1, 2, 3))).astype(int)
+    z = np.full(len(level[0]), weights["bias"]) + np.array([IDENT[k] for k in range(5)])[at["ident"]]
+    for f in kind.weights:
+        z += np.array([weights.get(f"{f}={k}", 0.0) for k in range(8)])[at[f]]
+    for f, g in _crosses(kind):
+        z += np.array([[weights.get(f"{f}={j}&{g}={k}", 0.0) for k in range(8)] for j in range(8)])[at[f], at[g]]
+    return not len(z) or 1 / (1 + np.exp(-z.max())) < LINK
+
+
 def fit(kind: Kind, patterns: list[tuple[tuple[int, ...], int, int]], strength: float = 2.0, rounds: int = 25) -> dict[str, float]:
     """Weights of terms by penalised logistic regression on labelled patterns (levels, negatives, positives).
 
@@ -292,8 +337,11 @@ def confidence(kind: Kind, weights: dict[str, float], level: tuple[int, ...]) ->
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def scored(read: DataFrame, pairs: DataFrame, kind: Kind, space: Workspace) -> DataFrame:
-    """a, b, confidence, sa and sb (the sources) of every pair (a, b, levels) of at least LINK; the weights are fitted on all labelled pairs."""
+def scored(read: DataFrame, pairs: DataFrame, kind: Kind, space: Workspace, whole: bool = True) -> DataFrame | None:
+    """a, b, confidence, sa and sb (the sources) of every pair (a, b, levels) of at least LINK; the weights are fitted on all labelled pairs.
+
+    Nothing, unless ``whole``, where pairs that weren't carried on could have been links.
+    """
     spark = read.sparkSession
     compared = space.save(pairs, "compared")
     # Distinct combinations of levels: 6 * 6 * 7 * 5 * 4 * 5 * 5 * 3 at most.
@@ -305,6 +353,8 @@ def scored(read: DataFrame, pairs: DataFrame, kind: Kind, space: Workspace) -> D
         if level[at] in (1, 4):
             labelled.setdefault(level[:at] + (0,) + level[at + 1 :], [0, 0])[int(level[at] == 1)] += n
     weights = fit(kind, [(lv, *n) for lv, n in sorted(labelled.items())])
+    if not whole and not none_was_missed(kind, weights):
+        return None
     sure = [(code, c) for code in patterns if (c := confidence(kind, weights, levels.unpacked(code))) >= LINK]
     links = compared.join(F.broadcast(spark.createDataFrame(sure, "levels int, confidence double")), "levels")
     of = lambda end: read.select(F.col("id").alias(end), F.col("system").alias(f"s{end}"))
@@ -412,8 +462,11 @@ def same_entities(records: DataFrame, kind: Kind, window: int = WINDOW) -> DataF
     read = space.save(_read(records, kind).withColumn("id", F.monotonically_increasing_id()), "traits")
     keyed = read.select("id", *NAMES, F.explode(F.array_distinct("keys")).alias("k"))
     keyed = keyed.select("id", F.substring("k", 1, 1).alias("pass"), F.expr("substring(k, 3)").alias("key"), *NAMES)
-    pairs = neighbours(keyed, space, window, kind.compare)
-    links = space.save(scored(read, pairs, kind, space), "links")
+    found = scored(read, neighbours(keyed, space, window, kind.compare, carried_on(kind)), kind, space, whole=False)
+    if found is None:  # the evidence moved the weights so far that every pair must be weighed
+        space.clear("windows", "compared")
+        found = scored(read, neighbours(keyed, space, window, kind.compare), kind, space)
+    links = space.save(found, "links")
     space.clear("windows", "compared")
 
     # Copies within a source become one class, named by its representative.

@@ -502,6 +502,27 @@ def test_fitted_weights_hold_on_held_out_pairs():
     assert sum((matching.confidence(matching.PERSON, w, lv) >= 0.5) == y for y, lv in held) >= 0.97 * len(held)
 
 
+def test_what_is_left_out_is_proved_to_be_no_link(spark, monkeypatch):
+    import numpy as np
+
+    weights = matching.fit(matching.PERSON, [])
+    assert matching.none_was_missed(matching.PERSON, weights) and matching.none_was_missed(matching.FIRM, matching.fit(matching.FIRM, []))
+    rng = random.Random(23)
+    for kind, k in ((matching.PERSON, (6, 6, 7, 5, 4, 5, 5, 3)), (matching.FIRM, (1, 6, 1, 5, 4, 5, 5, 1))):
+        own = {t: w + rng.uniform(-2, 2) for t, w in matching.fit(kind, []).items()} | {"given=5&born=1": 9.0, "family=5&place=1": 12.0}
+        level = [np.array(x) for x in zip(*(tuple(rng.randrange(n) for n in k) for _ in range(3000)))]
+        dropped = ~matching.carried_on(kind)(level)
+        worst = max((matching.confidence(kind, own, tuple(int(x[i]) for x in level)) for i in np.flatnonzero(dropped)), default=0)
+        assert worst < matching.LINK or not matching.none_was_missed(kind, own)
+    # Where the proof fails, every pair is weighed, with the same result as where it holds.
+    house = [(None, "12 Granary Lane", "Norwickmoor", "AA1 1BC", "QM")]
+    rows = [(s, str(k), f"Bremd{k // 2}exaro", None, None, None, None, "AA1 1BC", "Norwickmoor", house, None) for k in range(12) for s in ("crm", "finance")]
+    df = spark.createDataFrame(rows, FIRMS)
+    first = {tuple(r) for r in matching.same_entities(df, matching.FIRM).collect()}
+    monkeypatch.setattr(matching, "none_was_missed", lambda kind, weights: False)
+    assert {tuple(r) for r in matching.same_entities(df, matching.FIRM).collect()} == first
+
+
 def test_traits():
     assert traits.phone_of("+999 (0)448-153712") == traits.phone_of("0448153712") == traits.phone_of("00999448153712") == "448153712"
     assert traits.date_of("10-05-1985", "student_records") == traits.date_of("1985-05-10", "hr") == "19850510"
