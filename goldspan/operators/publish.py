@@ -7,7 +7,10 @@ merged_into (the direct edge), survivor_id (the end of the chain) and active.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldspan.operators.golden import collapse_chains, components
@@ -142,6 +145,34 @@ def unmerge(golden: DataFrame, xref: DataFrame, retired: DataFrame, undone: Data
     return {"golden": rows, "xref": links, "retired": after, "marks": marks.unionAll(remapped)}
 
 
+def link(xref: DataFrame, links: DataFrame, golden: DataFrame, retired: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cross-references after links (rec, master_id), the marks of masters that gain or lose a member, and refused links with their reason.
+
+    A link to a merged master goes to its survivor; one to an unknown or retired
+    master, or a second one of the same record, is refused.
+    """
+    end = retired.where("active").select(F.col("retired_id").alias("master_id"), F.col("survivor_id").alias("_to"))
+    asked = links.join(end, "master_id", "left").select("rec", F.coalesce("_to", "master_id").alias("master_id")).distinct()
+    many = asked.groupBy("rec").agg(F.count(F.lit(1)).alias("_n"))
+    judged = asked.join(golden.select("master_id", "status"), "master_id", "left").join(many, "rec")
+    judged = judged.withColumn("reason", F.when(F.col("status").isNull(), "unknown").when(F.col("status") != "active", "not_active").when(F.col("_n") > 1, "ambiguous"))
+    good = judged.where("reason is null").select("rec", F.col("master_id").alias("_new"))
+    both = xref.join(good, "rec", "full")
+    after = both.select("rec", F.coalesce("_new", "master_id").alias("master_id"))
+    moved = both.where(F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("master_id")))
+    touched = moved.select(F.explode(F.array_compact(F.array("master_id", "_new"))).alias("master_id")).distinct()
+    return after, touched.select("master_id", F.lit("updated").alias("kind"), F.lit("xref").alias("part"), F.lit(None).cast("string").alias("survivor_id")), judged.where("reason is not null").select("rec", "master_id", "reason")
+
+
+def set_status(golden: DataFrame, masters: DataFrame, retire: bool) -> tuple[DataFrame, DataFrame]:
+    """golden with masters (master_id) retired, or reinstated, and their marks; only active records retire and only retired ones come back."""
+    start, end, kind = ("active", "retired", "retired") if retire else ("retired", "active", "reinstated")
+    hit = golden.where(F.col("status") == start).join(masters.select("master_id").distinct(), "master_id", "left_semi").select("master_id", F.lit(True).alias("_hit"))
+    rest = [c for c in golden.columns if c not in ("master_id", "status")]
+    after = golden.join(hit, "master_id", "left").select("master_id", F.when(F.col("_hit"), end).otherwise(F.col("status")).alias("status"), *rest)
+    return after, hit.select("master_id", F.lit(kind).alias("kind"), F.lit("status").alias("part"), F.lit(None).cast("string").alias("survivor_id"))
+
+
 def detach(xref: DataFrame, recs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cross-references without those of recs (rec, master_id) that still hold, and the marks of the masters that lose a member."""
     keys = ["rec", "master_id"]
@@ -176,6 +207,25 @@ def commit_units(anchors: DataFrame) -> DataFrame:
     return rows.select("item").distinct().join(named, "item", "left").select("item", F.coalesce("unit", "item").alias("unit"))
 
 
+def pack_units(units: DataFrame, limit: int) -> DataFrame:
+    """unit and chunk of units (unit, items) in their order: a chunk holds ``limit`` items at most, and a unit is never split; one larger than that is a chunk of its own.
+
+    The order decides, so units pass one task, which keeps a running number only.
+    """
+    def fold(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, held = 0, 0
+        for pdf in pdfs:
+            out = []
+            for n in pdf["items"]:
+                if held and held + n > limit:
+                    chunk, held = chunk + 1, 0
+                held += n
+                out.append(chunk)
+            yield pd.DataFrame({"unit": pdf["unit"], "chunk": out})
+
+    return units.select("unit", "items").coalesce(1).sortWithinPartitions("unit").mapInPandas(fold, f"unit {dict(units.dtypes)['unit']}, chunk int")
+
+
 # --- views --------------------------------------------------------------------------------
 
 
@@ -197,8 +247,6 @@ def timeline(changes: DataFrame, commits: DataFrame, decisions: DataFrame) -> Da
     """master_id, at, what and who of every change (with its commit's moment and actor) and every decision about a record; ``place`` counts from the newest."""
     made = changes.join(commits.select("commit_version", F.col("committed_at").alias("at"), F.col("actor").alias("who")), "commit_version").select("master_id", "at", F.col("change_kind").alias("what"), "who", F.col("commit_version").alias("_v"))
     said = decisions.select("master_id", F.col("decided_at").alias("at"), F.col("decision").alias("what"), F.col("decided_by").alias("who"), F.lit(None).cast("bigint").alias("_v"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("master_id").orderBy(F.desc_nulls_last("at"), F.desc_nulls_last("_v"), "what", "who")
     return made.unionByName(said).withColumn("place", F.row_number().over(w)).drop("_v")
 

@@ -729,6 +729,15 @@ def queue_order(spark, d):
     return publish.numbered(rows, ["landing_seq", "source_system", "source_key", "event_id"], "place").select("place", "landing_seq", "event_id")
 
 
+_REVIEWS = f"SELECT *, CASE WHEN agreed THEN 'automated' ELSE 'steward' END AS origin, band || CASE WHEN agreed THEN '=' ELSE '≠' END AS signature FROM ({cat._REVIEW})"
+
+
+@query(f"SELECT entity, origin, band, signature, count(*) AS n, CAST(sum(agreed::INT) AS BIGINT) AS agreed FROM ({_REVIEWS}) GROUP BY ALL")
+def agreement_counts(spark, d):
+    rows = cat._reviews(spark, d).select("*", F.when(F.col("agreed"), "automated").otherwise("steward").alias("origin"), F.concat("band", F.when(F.col("agreed"), "=").otherwise("≠")).alias("signature"))
+    return sampling.agreement(rows, ["entity", "origin", "band", "signature"], "agreed").drop("upper")
+
+
 @query(f"SELECT entity, band, CASE WHEN entity = 'person' THEN upper < 0.98 ELSE upper < 0.9 END AS tripped, CASE WHEN entity = 'person' THEN CASE WHEN upper >= 0.98 THEN 'restore' END ELSE CASE WHEN upper < 0.9 THEN 'trip' END END AS move FROM ({cat.SQL['agreement_wilson']})")
 def breaker_moves(spark, d):
     windows = sampling.agreement(cat._reviews(spark, d), ["entity", "band"], "agreed").select("entity", "band", "n", "upper")
