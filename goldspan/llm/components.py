@@ -26,7 +26,7 @@ FEW = 20_000
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """v and rep of the vertices of all edges of the task, at most FEW."""
+    """v and rep of the vertices of all edges of the task, which are few."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -42,12 +42,13 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([find(v) for v in parent], pa.int64())], ["v", "rep"])
 
 
-def contract(edges: DataFrame, space: Workspace) -> DataFrame:
-    """``v, rep`` (bigint) of every vertex of ``edges`` (u, v bigint): rep is equal within a component and only there."""
+def contract(edges: DataFrame, space: Workspace, few: int | None = None) -> DataFrame:
+    """``v, rep`` (bigint) of every vertex of ``edges`` (u, v bigint): rep is equal within a component and only there. ``few`` stands for FEW."""
+    few = FEW if few is None else few
     edges = space.save(edges.where("u <> v").select("u", "v").distinct(), "edges")
     mappings: list[DataFrame] = []
     while (left := edges.count()) > 0:
-        if left <= FEW:
+        if left <= few:
             mappings.append(space.save(edges.coalesce(1).mapInArrow(_finish, "v bigint, rep bigint"), "hooks"))
             break
         salt = len(mappings) + 1

@@ -30,7 +30,9 @@ WINDOW = 10
 #: Links of at least this confidence are kept.
 LINK = 0.5
 #: Pairs whose weight before any evidence is less, and whose identifiers label nothing, aren't carried on; once the weights are fitted it is proved that none of them could have become a link.
-HOPELESS = -9.0
+HOPELESS = -14.0
+#: Edges of a graph of links that one task may hold, when the rest of a contraction is finished in it.
+FEW = 200_000
 
 
 def _person_keys(t: dict) -> list[str]:
@@ -286,18 +288,24 @@ def carried_on(kind: Kind) -> Callable[[list[np.ndarray]], np.ndarray]:
 def none_was_missed(kind: Kind, weights: dict[str, float]) -> bool:
     """Whether, by the fitted weights, no combination of levels that isn't carried on reaches LINK: all of them are tried."""
     own = {**kind.weights, "ident": IDENT}
-    grid = np.meshgrid(*(np.arange(max(own[f]) + 1) if f in own else np.zeros(1, int) for f in traits.PERSON_FIELDS), indexing="ij")
-    level = [g.ravel() for g in grid]
-    dropped = ~carried_on(kind)(level)
-    level = [x[dropped] for x in level]
-    at = dict(zip(traits.PERSON_FIELDS, level))
-    at["name"] = (np.isin(at["given"], (1, 2, 3)) & np.isin(at["family"], (1, 2, 3))).astype(int)
-    z = np.full(len(level[0]), weights["bias"]) + np.array([IDENT[k] for k in range(5)])[at["ident"]]
-    for f in kind.weights:
-        z += np.array([weights.get(f"{f}={k}", 0.0) for k in range(8)])[at[f]]
-    for f, g in _crosses(kind):
-        z += np.array([[weights.get(f"{f}={j}&{g}={k}", 0.0) for k in range(8)] for j in range(8)])[at[f], at[g]]
-    return not len(z) or 1 / (1 + np.exp(-z.max())) < LINK
+    sizes = [max(own[f]) + 1 if f in own else 1 for f in traits.PERSON_FIELDS]
+    keep, best = carried_on(kind), -np.inf
+    rest = [np.asarray(x, np.int8).ravel() for x in np.meshgrid(*(np.arange(n, dtype=np.int8) for n in sizes[2:]), indexing="ij")]
+    for given in range(sizes[0]):
+        for family in range(sizes[1]):  # one slice of the combinations at a time: the driver holds few of them at once
+            level = [np.full(len(rest[0]), given, np.int8), np.full(len(rest[0]), family, np.int8), *rest]
+            dropped = np.flatnonzero(~keep(level))
+            if not len(dropped):
+                continue
+            at = {f: x[dropped] for f, x in zip(traits.PERSON_FIELDS, level)}
+            at["name"] = np.full(len(dropped), int(given in (1, 2, 3) and family in (1, 2, 3)), np.int8)
+            z = np.full(len(dropped), weights["bias"]) + np.array([IDENT[k] for k in range(5)])[at["ident"]]
+            for f in kind.weights:
+                z += np.array([weights.get(f"{f}={k}", 0.0) for k in range(8)])[at[f]]
+            for f, g in _crosses(kind):
+                z += np.array([[weights.get(f"{f}={j}&{g}={k}", 0.0) for k in range(8)] for j in range(8)])[at[f], at[g]]
+            best = max(best, float(z.max()))
+    return best == -np.inf or 1 / (1 + np.exp(-np.clip(best, -30, 30))) < LINK
 
 
 def fit(kind: Kind, patterns: list[tuple[tuple[int, ...], int, int]], strength: float = 2.0, rounds: int = 25) -> dict[str, float]:
@@ -437,7 +445,7 @@ def one_to_one(edges: DataFrame, space: Workspace) -> DataFrame:
     lu = numbered.where("side = 0").select("p", F.col("x").alias("u"), F.col("n").alias("nu"))
     lv = numbered.where("side = 1").select("p", F.col("x").alias("v"), F.col("n").alias("nv"))
     known = space.save(rest.join(lu, ["p", "u"]).join(lv, ["p", "v"]), "contested")
-    sets = contract(known.select(F.col("nu").alias("u"), F.col("nv").alias("v")), space)
+    sets = contract(known.select(F.col("nu").alias("u"), F.col("nv").alias("v")), space, FEW)
     known = known.join(sets.select(F.col("v").alias("nu"), F.col("rep").alias("set")), "nu")
     known = space.save(known, "sets")
 
@@ -471,7 +479,7 @@ def same_entities(records: DataFrame, kind: Kind, window: int = WINDOW) -> DataF
 
     # Copies within a source become one class, named by its representative.
     inner = links.where("sa = sb")
-    reps = contract(inner.select(F.col("a").alias("u"), F.col("b").alias("v")), space).select(F.col("v").alias("id"), "rep")
+    reps = contract(inner.select(F.col("a").alias("u"), F.col("b").alias("v")), space, FEW).select(F.col("v").alias("id"), "rep")
     classes = space.save(read.select("id", "rec", "system").join(reps, "id", "left").withColumn("class", F.coalesce("rep", "id")).drop("rep"), "classes")
     of = classes.select("id", "class")
     cross = links.where("sa <> sb").join(of.select(F.col("id").alias("a"), F.col("class").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("class").alias("cb")), "b")
@@ -483,7 +491,7 @@ def same_entities(records: DataFrame, kind: Kind, window: int = WINDOW) -> DataF
     chosen = space.save(one_to_one(edges, space), "chosen")
     space.clear("marked", "ends", "contested", "sets")
 
-    groups = contract(chosen.select("u", "v"), space).select(F.col("v").alias("class"), "rep")
+    groups = contract(chosen.select("u", "v"), space, FEW).select(F.col("v").alias("class"), "rep")
     grouped = space.save(classes.join(groups, "class", "left").withColumn("group", F.coalesce("rep", "class")).drop("rep"), "grouped")
     clash = grouped.select("group", "system", "class").distinct().groupBy("group", "system").count().where("count > 1").select("group").distinct()
     clean = grouped.join(clash, "group", "left_anti")
