@@ -37,8 +37,9 @@ def offered(members: DataFrame) -> DataFrame:
 
 
 def _rules(trust: DataFrame) -> DataFrame:
+    """The strategies of each attribute in order, and the ranks of its sources."""
     return trust.groupBy("entity", "attr_name").agg(
-        F.min("strategies").alias("strategies"),
+        F.split(F.regexp_replace(F.min("strategies"), r"\s", ""), ",").alias("order"),
         F.map_from_entries(F.collect_list(F.struct("source_system", "trust"))).alias("ranks"),
     )
 
@@ -53,7 +54,7 @@ def _keys() -> Column:
         first = F.when(name == "source_trust", trusted).when(name == "recency", F.coalesce(-F.unix_micros("occurred_at"), last)).when(name == "completeness", bare_year)
         return F.struct(first.otherwise(none).alias("first"), F.when(name == "recency", F.coalesce(-F.col("landing_seq"), last)).otherwise(none).alias("then"))
 
-    return F.transform(F.split(F.regexp_replace("strategies", r"\s", ""), ","), key)
+    return F.transform("order", key)
 
 
 def survivors(members: DataFrame, trust: DataFrame) -> DataFrame:
