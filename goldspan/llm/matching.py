@@ -345,8 +345,27 @@ def confidence(kind: Kind, weights: dict[str, float], level: tuple[int, ...]) ->
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def scored(read: DataFrame, pairs: DataFrame, kind: Kind, space: Workspace, whole: bool = True) -> DataFrame | None:
-    """a, b, confidence, sa and sb (the sources) of every pair (a, b, levels) of at least LINK; the weights are fitted on all labelled pairs.
+def rated(pairs: DataFrame, read: DataFrame, kind: Kind, weights: dict[str, float]) -> DataFrame:
+    """pairs (ix, iy) with the confidence that the model gives them."""
+    side = lambda end, name: read.select(F.col("id").alias(end), F.struct(*NAMES).alias(name))
+    met = pairs.select("ix", "iy").join(side("ix", "l"), "ix").join(side("iy", "r"), "iy").select("ix", "iy", "l", "r")
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, float] = {}
+        for batch in batches:
+            k = batch.num_rows
+            sides = [pa.table({n: batch.column(at).field(m) for m, n in enumerate(NAMES)}) for at in (2, 3)]
+            both = levels.Records(pa.concat_tables(sides).combine_chunks())
+            codes = levels.packed(kind.compare(both, np.arange(k), np.arange(k, 2 * k))).tolist() if k else []
+            for code in set(codes) - set(known):
+                known[code] = confidence(kind, weights, levels.unpacked(code))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([known[c] for c in codes], pa.float64())], ["ix", "iy", "rated"])
+
+    return met.mapInArrow(rate, "ix bigint, iy bigint, rated double")
+
+
+def scored(read: DataFrame, pairs: DataFrame, kind: Kind, space: Workspace, whole: bool = True) -> tuple[DataFrame, dict[str, float]] | None:
+    """a, b, confidence, sa and sb (the sources) of every pair (a, b, levels) of at least LINK, and the weights, fitted on all labelled pairs.
 
     Nothing, unless ``whole``, where pairs that weren't carried on could have been links.
     """
@@ -366,7 +385,7 @@ def scored(read: DataFrame, pairs: DataFrame, kind: Kind, space: Workspace, whol
     sure = [(code, c) for code in patterns if (c := confidence(kind, weights, levels.unpacked(code))) >= LINK]
     links = compared.join(F.broadcast(spark.createDataFrame(sure, "levels int, confidence double")), "levels")
     of = lambda end: read.select(F.col("id").alias(end), F.col("system").alias(f"s{end}"))
-    return links.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "confidence")
+    return links.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "confidence"), weights
 
 
 def assign(edges: list[tuple[int, int, float]]) -> set[tuple[int, int]]:
@@ -460,8 +479,8 @@ def same_entities(records: DataFrame, kind: Kind, window: int = WINDOW) -> DataF
     """left_rec, right_rec (left_rec smaller) and confidence of every pair of records that describe one entity.
 
     Pairs within a source and across sources. A pair that only the group tells,
-    both being linked to a third record, has the least confidence of the group's
-    links. A record with a null part in its key matches nothing; one that tells
+    both being linked to a third record, has the confidence that the model gives
+    it by itself, which may be less than LINK. A record with a null part in its key matches nothing; one that tells
     nothing neither; repeated rows count once. Where the links of a group would
     join two records of one source that weren't found to be copies, only pairs
     linked themselves are given.
@@ -474,6 +493,7 @@ def same_entities(records: DataFrame, kind: Kind, window: int = WINDOW) -> DataF
     if found is None:  # the evidence moved the weights so far that every pair must be weighed
         space.clear("windows", "compared")
         found = scored(read, neighbours(keyed, space, window, kind.compare), kind, space)
+    found, weights = found
     links = space.save(found, "links")
     space.clear("windows", "compared")
 
@@ -495,14 +515,13 @@ def same_entities(records: DataFrame, kind: Kind, window: int = WINDOW) -> DataF
     grouped = space.save(classes.join(groups, "class", "left").withColumn("group", F.coalesce("rep", "class")).drop("rep"), "grouped")
     clash = grouped.select("group", "system", "class").distinct().groupBy("group", "system").count().where("count > 1").select("group").distinct()
     clean = grouped.join(clash, "group", "left_anti")
-    least = chosen.join(of.select(F.col("id").alias("u")), "u").select("u", "w").unionAll(inner.select(F.col("a").alias("u"), F.col("confidence").alias("w")))
-    least = least.join(grouped.select(F.col("id").alias("u"), "group"), "u").groupBy("group").agg(F.min("w").alias("least"))
     members = clean.select(F.col("group").alias("form"), F.struct("id", "rec").alias("address_id"))
     several = clean.groupBy("group").count().where("count > 1").select(F.col("group").alias("fa"), F.col("group").alias("fb"))
     whole = expand(members, several).select("fa", F.col("a.id").alias("ix"), F.col("b.id").alias("iy"), F.col("a.rec").alias("x"), F.col("b.rec").alias("y"))
-    whole = whole.join(least.withColumnRenamed("group", "fa"), "fa", "left")
     direct = links.select(F.col("a").alias("ix"), F.col("b").alias("iy"), "confidence")
-    whole = whole.join(direct, ["ix", "iy"], "left").select("x", "y", F.coalesce("confidence", "least").alias("confidence"))
+    whole = space.save(whole.join(direct, ["ix", "iy"], "left").select("ix", "iy", "x", "y", "confidence"), "whole")
+    told = rated(whole.where("confidence is null"), read, kind, weights)
+    whole = whole.join(told, ["ix", "iy"], "left").select("x", "y", F.coalesce("confidence", "rated").alias("confidence"))
 
     torn = grouped.join(clash, "group", "left_semi").select("id", "rec", "class")
     kept = chosen.select(F.least("u", "v").alias("c1"), F.greatest("u", "v").alias("c2")).distinct()

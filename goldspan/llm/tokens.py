@@ -9,12 +9,14 @@ the paths above them, so a piece of n bytes takes O(n log n) however long it is.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldspan.runtime import spread
@@ -25,14 +27,18 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Pieces a worker remembers; longer pieces than KEPT_BYTES aren't remembered, so memory is bounded.
 KEPT_PIECES, KEPT_BYTES = 200_000, 64
 NO_RANK = 1 << 40
+#: Bytes of a vocabulary's file at most.
+LARGEST = 64 << 20
 
 
 class Encoder:
     """Encodes texts by one vocabulary of lines ``base64-token rank``."""
 
-    def __init__(self, path: str = VOCABULARY):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    def __init__(self, path: str = VOCABULARY, raw: bytes | None = None):
+        if raw is None:
+            with open(path, "rb") as file:
+                raw = file.read()
+        self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
         self.split = regex.compile(PATTERN).findall
         self.kept: dict[str, list[int]] = {}
 
@@ -111,11 +117,21 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str = VOCABULARY) -> Encoder:
-    """The process's encoder of a vocabulary, read once."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def shipped(spark: SparkSession, path: str) -> tuple[str, Broadcast]:
+    """The vocabulary's file, read where the driver runs and sent to every executor; vocabularies are a few MB, larger files are refused."""
+    with open(path, "rb") as file:
+        raw = file.read(LARGEST + 1)
+    if len(raw) > LARGEST:
+        raise ValueError(f"{path} is no vocabulary: over {LARGEST} bytes")
+    return hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw)
+
+
+def encoder(vocabulary: tuple[str, Broadcast]) -> Encoder:
+    """The process's encoder of a shipped vocabulary, made once."""
+    name, raw = vocabulary
+    if name not in _encoders:
+        _encoders[name] = Encoder(raw=raw.value)
+    return _encoders[name]
 
 
 def token_ids(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -127,9 +143,10 @@ def token_ids(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     null; further columns are ignored; an empty table gives an empty table.
     """
     rows = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    sent = shipped(documents.sparkSession, vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = encoder(sent)
         for batch in batches:
             ids = pa.array([own.encode(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
@@ -143,8 +160,10 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, keep: tuple
     kept = [f for f in rows.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_tokens bigint"
 
+    sent = shipped(documents.sparkSession, vocabulary)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = encoder(sent)
         for batch in batches:
             n = pa.array([len(own.encode(t)) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], [*batch.schema.names[:-1], "n_tokens"])
