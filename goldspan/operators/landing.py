@@ -105,36 +105,45 @@ NEVER = {
 MOST_ENTRIES = 100
 
 
-def _json_kind(payload: Column, name: str) -> Column:
-    """STRING, BOOLEAN, BIGINT and so on, OBJECT, ARRAY, or null for what isn't there or is null."""
-    kind = F.regexp_extract(F.schema_of_variant(F.try_variant_get(payload, f"$.{name}", "variant")), r"^[A-Z]+", 0)
-    return F.when((kind != "VOID") & (kind != ""), kind)
+def _parsed(rows: DataFrame) -> DataFrame:
+    """rows with the payload's members (_m), their JSON kinds by the first three letters (_k, null for null) and the lengths of their texts (_n), each worked out once."""
+    whole = F.try_variant_get(F.try_parse_json("payload"), "$", "map<string,variant>")
+    rows = rows.withColumn("_m", whole)
+    kind = F.transform_values("_m", lambda _, v: F.nullif(F.substring(F.schema_of_variant(v), 1, 3), F.lit("VOI")))
+    return rows.withColumns({"_k": kind, "_n": F.transform_values("_m", lambda _, v: F.length(F.try_variant_get(v, "$", "string")))})
 
 
-def type_problems(payload: Column, attributes: dict[str, str]) -> Column:
-    """Names of attributes whose JSON kind their type (text, date, timestamp, boolean, integer, number, reference, group) can never hold."""
+def _entries(name: str) -> Column:
+    return F.try_variant_get(F.col("_m")[name], "$", "array<variant>")
+
+
+def type_problems(attributes: dict[str, str]) -> Column:
+    """Names of attributes whose JSON kind their type (text, date, timestamp, boolean, integer, number, reference, group) can never hold, over ``_parsed`` rows."""
     found = []
     for name, kind in attributes.items():
-        has = _json_kind(payload, name)
+        has = F.col("_k")[name]
         if kind == "group":
-            entries = F.try_variant_get(payload, f"$.{name}", "array<variant>")
-            bad = (has != "ARRAY") | F.exists(entries, lambda e: ~F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False)))
+            odd = F.exists(_entries(name), lambda e: ~F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False)))
+            bad = (has != "ARR") | F.when(has == "ARR", odd)
         else:
-            bad = has.isin(*NEVER[kind])
+            bad = has.isin(*(k[:3] for k in NEVER[kind]))
         found.append(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)))
     return F.array_compact(F.array(*found))
 
 
-def size_problems(payload: Column, attributes: dict[str, str], fields: tuple[str, ...] = ()) -> Column:
-    """Names of attributes with a text over LONGEST_TEXT characters anywhere inside, or a group over MOST_ENTRIES."""
+def size_problems(attributes: dict[str, str], fields: tuple[str, ...] = ()) -> Column:
+    """Names of attributes with a text over LONGEST_TEXT characters anywhere inside, or a group over MOST_ENTRIES, over ``_parsed`` rows.
+
+    A payload that is no longer than LONGEST_TEXT itself isn't searched.
+    """
     found = []
     for name, kind in attributes.items():
         if kind == "group":
-            entries = F.try_variant_get(payload, f"$.{name}", "array<variant>")
             longest = lambda e: F.greatest(F.lit(0), *(F.length(F.try_variant_get(e, f"$.{f}", "string")) for f in fields))
-            bad = (F.size(entries) > MOST_ENTRIES) | F.exists(entries, lambda e: longest(e) > LONGEST_TEXT)
+            has = F.col("_k")[name] == "ARR"
+            bad = F.when(has, (F.size(_entries(name)) > MOST_ENTRIES) | F.when(F.length("payload") > LONGEST_TEXT, F.exists(_entries(name), lambda e: longest(e) > LONGEST_TEXT)))
         else:
-            bad = F.length(F.try_variant_get(payload, f"$.{name}", "string")) > LONGEST_TEXT
+            bad = F.col("_n")[name] > LONGEST_TEXT
         found.append(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)))
     return F.array_compact(F.array(*found))
 
@@ -146,21 +155,18 @@ def contract(rows: DataFrame, attributes: dict[str, dict[str, str]], sources: di
     bad_payload those that the entity's model doesn't have, bad_type those of an
     impossible type; the names are sorted. ``attributes`` has each entity's types.
     """
-    rows = rows.withColumn("_p", F.try_parse_json("payload"))
+    columns = rows.columns
+    rows = _parsed(rows)
     none = F.array().cast("array<string>")
     per = lambda of: F.coalesce(*(F.when(F.col("entity") == e, of(a)) for e, a in attributes.items()), none)
-    first = reject_reason(sources, versioned)
-    large = per(lambda a: size_problems(F.col("_p"), a, fields))
-    unknown = per(lambda a: F.array_except(F.json_object_keys("payload"), F.array(*map(F.lit, (*a, "master_id")))))
-    hint = F.coalesce(_json_kind(F.col("_p"), "master_id") != "STRING", F.lit(False))
-    wrong = F.when(F.col("op") == "upsert", per(lambda a: type_problems(F.col("_p"), a))).otherwise(none)
-    reason = (
-        F.when(first.isNotNull(), first).when(F.size(large) > 0, "too_large").when(F.size(unknown) > 0, "bad_payload").when(hint, "bad_type").when(F.size(wrong) > 0, "bad_type")
-    )
-    names = (
-        F.when(first.isNotNull(), none).when(F.size(large) > 0, large).when(F.size(unknown) > 0, unknown).when(hint, F.array(F.lit("master_id"))).when(F.size(wrong) > 0, wrong).otherwise(none)
-    )
-    return rows.withColumns({"reason": reason, "attributes": F.array_sort(names)}).drop("_p")
+    rows = rows.withColumns({
+        "_first": reject_reason(sources, versioned), "_large": per(lambda a: size_problems(a, fields)), "_unknown": per(lambda a: F.array_except(F.map_keys("_k"), F.array(*map(F.lit, (*a, "master_id"))))),
+        "_wrong": F.when(F.col("op") == "upsert", per(type_problems)).otherwise(none), "_hint": F.coalesce(F.col("_k")["master_id"] != "STR", F.lit(False)),
+    })
+    has = lambda c: F.size(F.coalesce(F.col(c), none)) > 0
+    reason = F.when(F.col("_first").isNotNull(), F.col("_first")).when(has("_large"), "too_large").when(has("_unknown"), "bad_payload").when(F.col("_hint") | has("_wrong"), "bad_type")
+    names = F.when(F.col("_first").isNotNull(), none).when(has("_large"), F.col("_large")).when(has("_unknown"), F.col("_unknown")).when(F.col("_hint"), F.array(F.lit("master_id"))).when(has("_wrong"), F.col("_wrong")).otherwise(none)
+    return rows.select(*columns, reason.alias("reason"), F.array_sort(names).alias("attributes"))
 
 
 def reject_reason(sources: dict[str, tuple[str, ...]], versioned: tuple[str, ...]) -> Column:

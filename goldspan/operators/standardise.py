@@ -238,6 +238,15 @@ def pass_keys(passes: dict[str, list[str]], columns: list[str]) -> Column:
     return F.map_from_entries(F.filter(F.array(*made), lambda e: e["value"].isNotNull()))
 
 
+def key_rows(standardised: DataFrame) -> DataFrame:
+    """source_system, source_key, pass and key of every key.
+
+    An outer explode: a plain one would have the planner put the whole making of
+    the keys into a filter below it as well.
+    """
+    return standardised.select("source_system", "source_key", F.explode_outer("keys").alias("pass", "key")).where("key is not null")
+
+
 def display_name(template: str, masked: tuple[str, ...] = (), fallback: str = "source_key") -> Column:
     """A template like ``{given_name} {family_name}`` filled from columns; masked ones show their first letter only. Empty gives the fallback column."""
     parts = []

@@ -228,7 +228,7 @@ def std_record(spark, d):
     UNION ALL SELECT source_system, source_key, 'tail', right(phone, 4) || '|' || nullif(country, '') FROM ({_STD})
     UNION ALL SELECT source_system, source_key, 'ref', CASE WHEN regexp_matches(ref, '^\\d+$') AND {_LUHN.format(c='ref')} THEN 'PERSON_REF:' || ref END FROM ({_STD})) WHERE key IS NOT NULL""")
 def record_keys(spark, d):
-    return _std(spark, d).select("source_system", "source_key", F.explode("keys").alias("pass", "key")).where(F.col("pass").isin("email", "area", "tail", "ref"))
+    return standardise.key_rows(_std(spark, d)).where(F.col("pass").isin("email", "area", "tail", "ref"))
 
 
 @query()
