@@ -57,7 +57,7 @@ def values_of(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> Dat
         else:
             value = c.cast("string")
         cells.append(F.struct(F.lit(a).alias("attr_name"), value.alias("value"), bucket.alias("bucket")))
-    return loads.select("load_no", "source_system", F.explode(F.array(*cells)).alias("c")).select("load_no", "source_system", "c.*")
+    return loads.select("load_no", "source_system", F.explode_outer(F.array(*cells)).alias("c")).select("load_no", "source_system", "c.*")
 
 
 def is_blank(c: Column) -> Column:
@@ -235,7 +235,7 @@ def statistics(loads: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES, shape
         each("rows", F.lit(""), F.col("n")), each("empty", F.lit(""), F.when(full, F.lit(0).cast("bigint")).otherwise(F.col("n"))),
         F.when(full & F.col("bucket").isNotNull(), each("bucket", F.col("bucket"), F.col("n"))), edge("begin", 1), edge("end", -1),
     ))
-    simple = counted.select(*at, F.explode(features).alias("f")).groupBy(*at, "f.feature", "f.item").agg(F.sum("f.n").alias("n"))
+    simple = counted.select(*at, F.explode_outer(features).alias("f")).groupBy(*at, "f.feature", "f.item").agg(F.sum("f.n").alias("n"))
     simple = space.save(simple.select(*at, "feature", "item", "n"), "simple")
     rows = simple.where("feature = 'rows'")
     distinct = part(filled, "distinct", F.lit(""), F.count_distinct("value"))
