@@ -95,6 +95,11 @@ def derived_id(prefix: str, *parts: Column | str) -> Column:
     return F.concat(F.lit(prefix + "-"), F.substring(F.sha2(F.concat_ws("|", *(_col(p).cast("string") for p in parts)), 256), 1, 16))
 
 
+def group_key(*parts: Column | str) -> Column:
+    """32 hexadecimal digits that stand for a group of equal parts."""
+    return F.substring(F.sha2(F.concat_ws("|", *(_col(p).cast("string") for p in parts)), 256), 1, 32)
+
+
 def safe_token(c: Column | str) -> Column:
     """A short plain token as it is, anything else as a hash."""
     c = _col(c)

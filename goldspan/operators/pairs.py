@@ -111,6 +111,16 @@ def hard_rule(left: Column, right: Column) -> Column:
     return F.when(told & ~F.arrays_overlap(left, right), "cannot_link").when(told, "must_link")
 
 
+def hard_rules(sides: dict[str, tuple[Column, Column]], must: tuple[str, ...], cannot: tuple[str, ...]) -> Column:
+    """cannot_link:scheme of the first scheme with valid identifiers on both sides and none in common, else must_link:scheme of the first with one in common, else null."""
+    out = F.lit(None).cast("string")
+    fired = {s: hard_rule(*pair) for s, pair in sides.items()}
+    for kind, schemes in (("must_link", must), ("cannot_link", cannot)):  # what is tried last stands first
+        for s in reversed(schemes):
+            out = F.when(fired[s] == kind, F.lit(f"{kind}:{s}")).otherwise(out)
+    return out
+
+
 def signature(rules: Rules) -> Column:
     """name= for equality, name≈ for likeness, name≠ for difference, name∅ for a missing side, in rule order."""
     parts = []

@@ -538,15 +538,20 @@ def golden_best_member(spark, d):
     return golden.best_member(p, xref)
 
 
-_CONFLICT = f"""SELECT left_rec AS record, 'M' || r_ident AS master_id FROM ({_SCORED}) WHERE l_ident IS NOT NULL AND r_ident IS NOT NULL AND l_ident <> r_ident"""
+_VALID_ORG = f"SELECT rec, ident, 'M' || city AS master_id FROM ({_ORG}) WHERE ident IS NOT NULL AND city IS NOT NULL AND {_VALID.format(c='ident')}"
 
 
-@query(f"SELECT DISTINCT record, master_id, 'ORG_REG' AS scheme FROM ({_CONFLICT})")
+@query(f"""WITH o AS ({_VALID_ORG}), m AS (SELECT master_id, list(DISTINCT ident) AS ids FROM o GROUP BY 1), p AS (SELECT DISTINCT s.left_rec AS record, r.master_id FROM ({_SCORED}) s JOIN ({_ORG}) x ON x.rec = s.right_rec JOIN m r ON r.master_id = 'M' || x.city)
+SELECT p.record, p.master_id, 'ORG_REG' AS scheme FROM p JOIN o ON o.rec = p.record JOIN m ON m.master_id = p.master_id WHERE NOT list_contains(m.ids, o.ident)""")
 def blocked_by_cannot_link(spark, d):
-    s = _scored(spark, d).where("l_ident is not null and r_ident is not null").select(F.col("left_rec").alias("record"), "l_ident", "r_ident", F.concat(F.lit("M"), "r_ident").alias("master_id"))
-    records = s.groupBy("record").agg(F.collect_set("l_ident").alias("ids")).withColumn("scheme", F.lit("ORG_REG"))
-    masters = s.groupBy("master_id").agg(F.collect_set("r_ident").alias("master_ids")).withColumn("scheme", F.lit("ORG_REG"))
-    return golden.conflicting(s.select("record", "master_id").distinct(), records, masters)
+    """Candidates of a town's firms, taken as one master each with all their valid ids: blocked where the record's valid id is none of them."""
+    orgs = _orgs(spark, d).select("rec", "ident", F.concat(F.lit("M"), "city").alias("master_id")).where("ident is not null and master_id is not null")
+    valid = orgs.where(F.coalesce(K.mod97_valid("ident"), F.lit(False)))
+    records = valid.groupBy(F.col("rec").alias("record")).agg(F.collect_set("ident").alias("ids")).withColumn("scheme", F.lit("ORG_REG"))
+    masters = valid.groupBy("master_id").agg(F.collect_set("ident").alias("master_ids")).withColumn("scheme", F.lit("ORG_REG"))
+    towns = _orgs(spark, d).select(F.col("rec").alias("right_rec"), F.concat(F.lit("M"), "city").alias("master_id"))
+    met = _candidates(spark, d).join(towns, "right_rec").select(F.col("left_rec").alias("record"), "master_id").distinct()
+    return golden.conflicting(met, records, masters)
 
 
 _MEMBER = """SELECT master_id, entity, source_system, source_key, occurred_at, landing_seq, e.key AS attr_name, e.value AS value

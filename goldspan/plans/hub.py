@@ -290,6 +290,31 @@ def masked_types(spark, d):
     return rows.select("source_system", "source_key", *(K.masked(F.col(c), rows.schema[c].dataType).alias(c) for c in ("given_name", "birth_date", "n_addresses")), "country")
 
 
+@query("SELECT 'xref' AS view, rec AS id, master_id AS value FROM (SELECT source_system || ':' || source_key AS rec, master_id FROM group_members WHERE master_id IS NOT NULL) UNION ALL SELECT 'relationship', source_system || ':' || source_key, employer FROM person_records WHERE employer IS NOT NULL")
+def passthrough_views(spark, d):
+    """Views that show their tables as they are: cross-references and relationships carry no personal values."""
+    rec = F.concat_ws(":", "source_system", "source_key")
+    xref = table(spark, d, "group_members").where("master_id is not null").select(F.lit("xref").alias("view"), rec.alias("id"), F.col("master_id").alias("value"))
+    return xref.unionAll(table(spark, d, "person_records").where("employer is not null").select(F.lit("relationship"), rec, "employer"))
+
+
+@query("""SELECT source_key, CASE WHEN len(addresses) > 0 THEN array_to_string(list_transform(addresses, lambda a: a.kind || ': ' || array_to_string(list_filter([a.line1, a.city, a.postcode, a.country], lambda x: x IS NOT NULL AND x <> ''), ', ')), '; ') END AS shown FROM person_records
+    WHERE len(list_filter(addresses, lambda a: a IS NULL OR a.kind IS NULL OR a.kind = '' OR coalesce(nullif(a.line1, ''), nullif(a.city, ''), nullif(a.postcode, ''), nullif(a.country, '')) IS NULL)) = 0""")
+def group_texts(spark, d):
+    """Repeating groups as they are shown."""
+    rows = table(spark, d, "person_records")
+    whole = ~F.exists("addresses", lambda a: a.isNull() | F.coalesce(a["kind"] == "", F.lit(True)) | F.coalesce(*(F.nullif(a[f], F.lit("")) for f in ("line1", "city", "postcode", "country"))).isNull())
+    return rows.where(whole).select("source_key", standardise.entries_text(F.col("addresses"), ("kind", "line1", "city", "postcode", "country")).alias("shown"))
+
+
+@query("""SELECT left_key, 'TASK-' || substr(sha256('review|' || entity || '|' || left_system || ':' || left_key), 1, 16) AS task, 'SMP-' || substr(sha256(entity || '|' || left_system || ':' || left_key || '|' || coalesce(band, 'unset')), 1, 16) AS sample, substr(sha256(coalesce(band, 'unset') || '|' || entity), 1, 32) AS signature_key
+    FROM (SELECT DISTINCT entity, left_system, left_key, band FROM pair_scores WHERE left_key IS NOT NULL AND left_system IS NOT NULL)""")
+def derived_keys(spark, d):
+    rows = table(spark, d, "pair_scores").where("left_key is not null and left_system is not null").select("entity", "left_system", "left_key", "band").distinct()
+    rec, band = F.concat_ws(":", "left_system", "left_key"), F.coalesce("band", F.lit("unset"))
+    return rows.select("left_key", K.derived_id("TASK", F.lit("review"), "entity", rec).alias("task"), K.derived_id("SMP", "entity", rec, band).alias("sample"), K.group_key(band, "entity").alias("signature_key"))
+
+
 # --- contract and rules -------------------------------------------------------------------------
 
 _ATTRS = {
@@ -408,12 +433,21 @@ def worth_explaining(spark, d):
     return quality.worth_explaining(_ruled(spark, d).withColumn("weight", cat.RULES.weight()), cat.RULES.edge(60.0)).select("left_rec", "right_rec", "rule")
 
 
-@query(f"WITH k AS ({cat._KEYS}), one AS (SELECT pass, key FROM k WHERE rec = (SELECT min(rec) FROM k)) SELECT rec, count(DISTINCT pass) AS passes FROM k JOIN one USING (pass, key) GROUP BY rec ORDER BY passes DESC, rec LIMIT 100")
+_PROBE = f"WITH k AS ({cat._KEYS}), f AS (SELECT min(rec) AS rec FROM k), one AS (SELECT pass, key FROM k WHERE rec = (SELECT rec FROM f)), c AS (SELECT rec, count(DISTINCT pass) AS passes FROM k JOIN one USING (pass, key) GROUP BY rec ORDER BY passes DESC, rec LIMIT 200)"
+_TESTED = f"SELECT c.rec, c.passes, {', '.join(f'l.{x} AS l_{x}, r.{x} AS r_{x}' for x in cat._COMPARED)} FROM c JOIN ({cat._ORG}) r ON r.rec = c.rec JOIN ({cat._ORG}) l ON l.rec = (SELECT rec FROM f)"
+
+
+@query(f"{_PROBE}, t AS ({_TESTED}), v AS (SELECT rec, passes, {', '.join(f'{cat.LEVELS_SQL[c]} AS {c}' for c in cat.RULES.weights)} FROM t), w AS (SELECT *, {cat._weight_sql()} AS w FROM v) SELECT rec, passes, round(w, 6) AS weight, {cat._BAND} AS band, {cat._signature_sql()} AS signature FROM w ORDER BY w DESC, rec LIMIT 100")
 def match_test(spark, d):
-    """The stored records that share a key with one payload, here the keys of the first record."""
-    keys = cat._keys(spark, d)
+    """One payload, here the first record's, against what is stored: candidates by its keys, scored and explained, the best hundred."""
+    keys, orgs = cat._keys(spark, d), cat._orgs(spark, d)
     first = keys.agg(F.min("rec").alias("rec"))
-    return pairs.probe_candidates(keys.join(F.broadcast(first), "rec", "left_semi"), keys, "rec")
+    found = pairs.probe_candidates(keys.join(F.broadcast(first), "rec", "left_semi"), keys, "rec", 200)
+    probe = orgs.join(F.broadcast(first), "rec", "left_semi").select(*(F.col(c).alias(f"l_{c}") for c in cat._COMPARED))
+    sides = found.join(orgs.select("rec", *(F.col(c).alias(f"r_{c}") for c in cat._COMPARED)), "rec").join(F.broadcast(probe))  # a single row
+    told = pairs.explain(sides.select("rec", "passes", *(cat._level(c).alias(c) for c in cat.RULES.weights)), cat.RULES)
+    best = told.orderBy(F.desc("weight"), "rec").limit(100)
+    return best.select("rec", "passes", F.round("weight", 6).alias("weight"), "band", "signature")
 
 
 @query(f"WITH b AS (SELECT left_rec AS rec FROM ({cat._PAIRS}) UNION ALL SELECT right_rec FROM ({cat._PAIRS})) SELECT rec, count(*) - 2 AS dropped FROM b GROUP BY rec HAVING count(*) > 2")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from goldspan.functions import likeness as L
-from goldspan.operators import deliveries, profile, publish, resolve, sampling
+from goldspan.operators import deliveries, pairs, profile, publish, resolve, sampling
 from goldspan.plans import catalogue, hub
 from goldspan.runtime import Manifest, Workspace, join_one, numbered, shared_dir
 from goldspan.sources import files
@@ -252,6 +252,13 @@ def test_estimated_weights_are_chances(spark):
     assert all(0 <= r.m <= 1 for r in em)
 
 
+def test_hard_rules_of_several_schemes(spark):
+    df = spark.createDataFrame([(["1"], ["1"], ["a"], ["b"]), (["1"], ["1", "2"], [], ["b"]), ([], ["1"], None, ["b"]), (["1"], ["2"], ["a"], ["a"])], "l array<string>, r array<string>, m array<string>, s array<string>")
+    sides = {"X": (F.col("l"), F.col("r")), "Y": (F.col("m"), F.col("s"))}
+    got = [r[0] for r in df.select(pairs.hard_rules(sides, ("X", "Y"), ("X", "Y"))).collect()]
+    assert got == ["cannot_link:Y", "must_link:X", None, "cannot_link:X"]
+
+
 def test_declined_labels_hold_for_survivors(spark):
     candidates = spark.createDataFrame([("r", "A", 1.0), ("r", "C", 1.0), ("s", "C", 1.0)], "rec string, master_id string, score double")
     labels = spark.createDataFrame([("r", "A")], "rec string, master_id string")
