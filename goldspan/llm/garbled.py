@@ -34,6 +34,7 @@ LOST = "�"
 #: A word with a character beyond ASCII, or with a character reference.
 WORD = re.compile(r"[^ \t\r\n\f\v]*(?:[^\x00-\x7f]|&#?\w{1,31};)[^ \t\r\n\f\v]*")
 ENTITY = re.compile(r"&#?\w{1,31};")
+BLANKS = re.compile(r"[ \t\r\n\f\v]+")
 C1 = re.compile("[\x80-\x84\x86-\x9f]")
 #: Characters beyond this code share one class per script, so the model has fewer than 1,500 squared pairs whatever the corpus.
 NAMED = 0x530
@@ -43,6 +44,11 @@ WINDOW = 120
 CERTAIN, ALONE = 3.0, 12.0
 
 
+def suspicious(text: str) -> list[str]:
+    """What WORD finds in a text, by splitting it first, which is faster than searching."""
+    return [w for w in BLANKS.split(text) if not w.isascii() or ("&" in w and ENTITY.search(w))]
+
+
 def _class(ch: str) -> str:
     if ord(ch) < NAMED or ch == LOST or 0x2000 <= ord(ch) < 0x2600:
         return ch
@@ -94,7 +100,7 @@ def pair_counts(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text and not text.isascii():
-                    words.update(WORD.findall(text))
+                    words.update(suspicious(text))
             if len(words) > 100_000:
                 flush()
         flush()
@@ -297,7 +303,7 @@ class Restorer:
         wide: dict[str, set[str]] = defaultdict(set)
         strong = False
         found: dict[str, list[tuple[str, str, float]]] = {}
-        words = {part for w in set(WORD.findall(text)) for part in self.parts(w) if not part.isascii() or ENTITY.search(part)}
+        words = {part for w in set(suspicious(text)) for part in self.parts(w) if not part.isascii() or ENTITY.search(part)}
         for word in sorted(words):
             before, path = self.word(word)
             if not any(">" in name for name, _, _ in path):

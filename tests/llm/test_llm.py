@@ -214,6 +214,13 @@ def test_damage_is_found_and_undone(spark):
     assert garbled.judged(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_suspicious_words_are_what_the_pattern_finds():
+    rng = random.Random(24)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "é", " ", "\t", "\n", "\xa0", "\x85", "&amp;", "&", ";", "あ", "\u2028", "x1"]) for _ in range(40))
+        assert garbled.suspicious(text) == garbled.WORD.findall(text)
+
+
 def _restorer(texts):
     counts: Counter = Counter()
     for text in texts:
