@@ -29,8 +29,6 @@ from goldspan.runtime import Workspace, spread
 WINDOW = 10
 #: Links of at least this confidence are kept.
 LINK = 0.5
-#: Pairs whose weight before any evidence is less, and whose identifiers label nothing, aren't carried on; once the weights are fitted it is proved that none of them could have become a link.
-HOPELESS = -14.0
 #: Edges of a graph of links that one task may hold, when the rest of a contraction is finished in it.
 FEW = 200_000
 
@@ -95,6 +93,8 @@ class Kind:
     #: Weight of each level of each field before any evidence, in nats.
     weights: dict[str, dict[int, float]]
     bias: float
+    #: Pairs whose weight before any evidence is less, and whose identifiers label nothing, aren't carried on; once the weights are fitted it is proved that none of them could have become a link.
+    hopeless: float
 
 
 PERSON = Kind(
@@ -110,7 +110,7 @@ PERSON = Kind(
         "place": {0: 0, 1: 2, 2: 0.5, 3: 0, 4: -1},
         "work": {0: 0, 1: 1, 2: -0.3},
     },
-    -6.0,
+    -6.0, -14.0,
 )
 FIRM = Kind(
     "organisation",
@@ -122,7 +122,7 @@ FIRM = Kind(
         "phone": {0: 0, 1: 3, 2: 2, 3: -1.5},
         "place": {0: 0, 1: 3, 2: 0, 3: -0.5, 4: -2},
     },
-    -4.0,
+    -4.0, -7.0,
 )
 #: Weight of identifiers; their agreement labels the pairs that the other weights are fitted on, so it isn't fitted itself.
 IDENT = {0: 0.0, 1: 9.0, 2: 4.0, 3: -0.5, 4: -7.0}
@@ -280,7 +280,7 @@ def carried_on(kind: Kind) -> Callable[[list[np.ndarray]], np.ndarray]:
     at = traits.PERSON_FIELDS.index("ident")
 
     def keep(level: list[np.ndarray]) -> np.ndarray:
-        return (_before_evidence(kind, level) >= HOPELESS) | (level[at] == 1) | (level[at] == 4)
+        return (_before_evidence(kind, level) >= kind.hopeless) | (level[at] == 1) | (level[at] == 4)
 
     return keep
 

@@ -306,6 +306,7 @@ def compare_persons(a: dict, b: dict) -> tuple[int, ...]:
     return given, family, _born(a["born"], b["born"]), _email(a["email"], b["email"]), _phone(a["phone"], b["phone"]), _ident(a["ident"], b["ident"], luhn), _place(a, b), work
 
 
+@lru_cache(400_000)
 def _fits(w: str, v: str) -> int:
     """0 equal, 1 a shortened word, 2 a slip or two, 3 another word."""
     if w == v:
@@ -313,7 +314,15 @@ def _fits(w: str, v: str) -> int:
     if min(len(w), len(v)) >= 3 and (v.startswith(w) or w.startswith(v)):
         return 1
     most = 2 if min(len(w), len(v)) > 4 else 1
-    return 2 if word_slips(w, v, most) <= most else 3
+    return 2 if slips(w, v, most) <= most else 3
+
+
+@lru_cache(200_000)
+def _name_parts(name: str) -> tuple[tuple[str, ...], tuple[str, ...], str, frozenset[str]]:
+    """Words, sorted words, all letters together, and which letters there are."""
+    words = tuple(name.split())
+    joined = "".join(words)
+    return words, tuple(sorted(words)), joined, frozenset(joined)
 
 
 @lru_cache(200_000)
@@ -321,16 +330,15 @@ def _firm_name(a: str, b: str) -> int:
     """0 silent, 1 equal words in any order, 2 shortened words, 3 slips, 4 words in common and others not, 5 different."""
     if not a or not b:
         return 0
-    x, y = a.split(), b.split()
-    if sorted(x) == sorted(y):
+    (x, xs, xj, xl), (y, ys, yj, yl) = _name_parts(a), _name_parts(b)
+    if xs == ys:
         return 1
-    if slips("".join(x), "".join(y), 2) <= 2:
+    if abs(len(xj) - len(yj)) <= 2 and len(xl - yl) <= 2 and len(yl - xl) <= 2 and _slips(xj, yj, 2) <= 2:
         return 3
     short, long = (x, y) if len(x) <= len(y) else (y, x)
     left, worst, other = list(long), 0, 0
     for w in short:
-        k = min(range(len(left)), key=lambda k: _fits(w, left[k]))
-        fit = _fits(w, left[k])
+        fit, k = min((_fits(w, v), k) for k, v in enumerate(left))
         if fit == 3:
             other += 1
         else:
