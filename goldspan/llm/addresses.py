@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -58,6 +59,10 @@ RARITY = 0.15
 PLAIN = 100
 
 
+#: Words and towns come again and again.
+_fold = lru_cache(200_000)(fold_text)
+
+
 def _plain(text: str | None) -> str:
     """Folded text with the commas, brackets, full stops, # and hyphens that addresses are structured by."""
     if text is None:
@@ -69,7 +74,7 @@ def _plain(text: str | None) -> str:
         for w in part.split():
             stop = "." if w.endswith(".") else ""
             mark = "#" if w.startswith("#") else ""
-            words.append(mark + (fold_text(w) or "") + stop)
+            words.append(mark + (_fold(w) or "") + stop)
         parts.append(" ".join(x for x in words if x not in ("", ".", "#")))
     return ",".join(p for p in parts if p)
 
@@ -168,7 +173,7 @@ def read(line1: str | None, city: str | None, postcode: str | None) -> tuple[str
         if at + 1 < len(parts):
             place = re.sub(r"\.$", "", parts[at + 1])
     kind, name = _kind(street)
-    town = "" if filler(city) else (fold_text(city) or "")
+    town = "" if filler(city) else (_fold(city) or "")
     joined = "".join(name)
     return f"{number}{letter}/{unit}", kind, joined, (town or place).replace(" ", ""), code
 
