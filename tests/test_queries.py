@@ -56,6 +56,8 @@ def test_query_runs(spark, name):
 def test_core_imports_without_llm():
     code = "import sys; sys.modules['goldspan.llm'] = None\nimport goldspan.plans.core, goldspan.plans.catalogue, goldspan.streaming.streams, goldspan.operators.loads"
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True).returncode == 0
+    code = "import sys; sys.modules['goldspan.llm'] = None\nimport __spark_entry__ as e; assert 'p6_found' in e.queries() and not any(n.startswith(('p1_', 'p5_')) for n in (*e.queries(), *e.oracle_sql()))"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True).returncode == 0
     for folder, _, files in os.walk(os.path.join(ROOT, "goldspan")):
         if os.sep + "llm" not in folder:
             for f in files:
