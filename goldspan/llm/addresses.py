@@ -47,10 +47,10 @@ SMALL_WORDS = {"de", "des", "du", "la", "le", "les", "l", "d", "the"}
 UNIT = re.compile(r"\b(?:flat|apartment|apt|appartement|appt|app|unit|wohnung|whg|suite|fl)\b[.:]?\s*(?:no\b\.?|nr\b\.?|#)?\s*(\d+\s*[a-z]?|[a-z])\b")
 NUMBER = re.compile(r"(?:#|\bno\b\.?|\bnr\b\.?|n°)?\s*\b(\d{1,5})(?:\s*-?\s*([a-f])(?![a-z0-9]))?\b")
 POSTCODE = re.compile(r"\b([a-z]{2}\d{1,2})[\s-]?(\d[a-z]{2})\b|\b(\d{5})\b")
-#: What two addresses must reach in cosine similarity. Without the gram of house and area it can't be reached, with it the streets' own cosine must be 0.55.
-THRESHOLD = 0.775
+#: What two addresses must reach in cosine similarity. Without the gram of house and area it can't be reached, with it the streets' own cosine must be 0.6.
+THRESHOLD = 0.8
 #: What the names of two places must reach: towns share their endings.
-PLACES = 0.7
+PLACES = 0.75
 #: Weights of n-grams by length: a slip of the pen spares most single letters, but changes several longer grams.
 LENGTHS = {1: 1.2, 2: 1.0, 3: 0.7}
 #: Power of a gram's rarity in its weight: low, as slips make rare grams.

@@ -307,7 +307,7 @@ def test_same_locations_equal_brute_force(spark):
     own = addresses.Weights(counts, 2 * len(forms))
     want = set()
     for (i, x), (j, y) in combinations(sorted(told.items()), 2):
-        if x[:2] == y[:2] and own.cosine(x[2], y[2]) >= 0.55 and (x[4] == y[4] if x[4] and y[4] else own.cosine(x[3], y[3]) >= addresses.PLACES):
+        if x[:2] == y[:2] and own.cosine(x[2], y[2]) >= 2 * addresses.THRESHOLD - 1 and (x[4] == y[4] if x[4] and y[4] else own.cosine(x[3], y[3]) >= addresses.PLACES):
             want.add((i, j))
     assert got == want and len(want) > 150
     by_slips = {(i, j) for (i, x), (j, y) in combinations(sorted(told.items()), 2) if x[:2] == y[:2] and addresses.slips(x[2], y[2]) <= 2 and (x[4] == y[4] if x[4] and y[4] else x[3] == y[3])}
@@ -337,7 +337,7 @@ def test_the_prefix_is_short_and_loses_nothing():
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 9))) for _ in range(150)]
     words += [w[:2] + w[3] + w[2] + w[4:] for w in words if len(w) > 4]
     own = addresses.Weights(Counter(g for w in words for g in set(addresses.grams(w))), len(words))
-    for at in (0.55, addresses.PLACES):
+    for at in (0.6, addresses.PLACES):
         prefixes = {w: set(own.prefix(w, at)) for w in words}
         assert all(prefixes[a] & prefixes[b] for a, b in combinations(sorted(set(words)), 2) if own.cosine(a, b) >= at)
     # Of a whole address the gram of house and area is the prefix: without it, half of the mass can't reach the threshold.
