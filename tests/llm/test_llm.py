@@ -311,7 +311,8 @@ def test_same_locations_equal_brute_force(spark):
             want.add((i, j))
     assert got == want and len(want) > 150
     by_slips = {(i, j) for (i, x), (j, y) in combinations(sorted(told.items()), 2) if x[:2] == y[:2] and addresses.slips(x[2], y[2]) <= 2 and (x[4] == y[4] if x[4] and y[4] else x[3] == y[3])}
-    assert len(got & by_slips) >= 0.99 * len(by_slips)
+    # Another rule, in a world where a fifth of the rows has a slip: pairs with a slip on either side may fall under the likeness asked for.
+    assert len(got & by_slips) >= 0.98 * len(by_slips)
     assert addresses.same_location(df.limit(0)).count() == 0
 
 
