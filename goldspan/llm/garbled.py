@@ -330,7 +330,10 @@ class Restorer:
             for w in wide[best]:
                 steps = found.get(w, [])
                 if not steps or (not _vouched(steps[0][0]) and steps[0][0] != best):
-                    start, ((name, further, reached),) = follow(w, (best,), self.cost)
+                    alone = follow(w, (best,), self.cost)
+                    if alone is None:  # the word's own path comes to this change behind another one, without which it can't be done
+                        continue
+                    start, ((name, further, reached),) = alone
                     if not steps or sum(gain for _, _, gain in steps) < start - reached + ALONE:
                         found[w] = [(name, further, start - reached)]
         many = bool(best) and gains[best] >= ALONE and len(wide[best]) >= 2
