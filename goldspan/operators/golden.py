@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldspan.runtime import Workspace
+from goldspan.runtime import Workspace, join_one
 
 #: Trust of a source that no table names.
 UNTRUSTED = 1_000_000
@@ -98,25 +101,69 @@ def conflicting(pairs: DataFrame, records: DataFrame, masters: DataFrame) -> Dat
 # --- clusters ---------------------------------------------------------------------------
 
 
+#: Edges that one task may hold.
+FEW = 20_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """x and rep (the smallest node) of the nodes of all edges of the task, which are few."""
+    parent: dict = {}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            p, q = find(parent.setdefault(x, x)), find(parent.setdefault(y, y))
+            parent[max(p, q)] = min(p, q)
+    if kind is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(list(parent), kind), pa.array([find(x) for x in parent], kind)], ["x", "rep"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (its smallest node) of every node that an edge names.
 
-    Labels spread from neighbour to neighbour and are then doubled by following
-    each label's own label, until nothing changes.
+    In each round every node hooks to the one that comes first, among itself and
+    its neighbours, in an order of hashes drawn afresh, and edges are relabelled:
+    a fixed share of the nodes is left at most, whatever the graph's shape, so a
+    chain of any length ends in logarithmically many rounds. The last FEW edges
+    are joined in one task, and the rounds' mappings composed backwards.
     """
     space = Workspace(edges.sparkSession, "labels")
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionAll(edges.select(F.col(b).alias("x"), F.col(a).alias("y")))
-    both = space.save(both.where("x is not null and y is not null").distinct(), "edges")
-    label = space.save(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("l")), "labels")
-    while True:
-        seen = both.join(label.select(F.col("x").alias("y"), F.col("l").alias("ly")), "y").groupBy("x").agg(F.min("ly").alias("m"))
-        spread = label.join(seen, "x").select("x", F.least("l", "m").alias("l2"), "l")
-        jump = spread.join(label.select(F.col("x").alias("l2"), F.col("l").alias("l3")), "l2", "left")
-        step = space.save(jump.select("x", F.least("l2", F.coalesce("l3", "l2")).alias("l"), (F.least("l2", F.coalesce("l3", "l2")) < F.col("l")).alias("moved")), "labels")
-        space.drop(label)
-        label = step
-        if step.where("moved").isEmpty():
-            return label.select(F.col("x").alias("node"), F.col("l").alias("component"))
+    now = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
+    now = space.save(now.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while (left := now.count()) > 0:
+        if left <= FEW:
+            kind = now.schema["x"].dataType.simpleString()
+            rounds.append(space.save(now.coalesce(1).mapInArrow(_joined, f"x {kind}, rep {kind}"), "hooks"))
+            break
+        order = lambda c, salt=len(rounds) + 1: F.struct(F.xxhash64(F.lit(salt), c).alias("h"), F.col(c).alias("id"))
+        both = now.select("x", "y").unionAll(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        best = both.groupBy("x").agg(F.min(order("y")).alias("best"), F.count(F.lit(1)).alias("degree"))
+        hooks = space.save(best.select("x", F.least("best", order("x"))["id"].alias("rep"), "degree"), "hooks")
+        rounds.append(hooks)
+        at = lambda end, name, hooks=hooks: hooks.select(F.col("x").alias(end), F.col("rep").alias(name), "degree")
+        moved = join_one(join_one(now, at("x", "p"), ["x"], "degree"), at("y", "q"), ["y"], "degree").where("p <> q")
+        fewer = space.save(moved.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct(), "edges")
+        space.drop(now)
+        now = fewer
+    if not rounds:
+        return now.select(F.col("x").alias("node"), F.col("y").alias("component"))
+    whole = rounds[-1].select("x", "rep")
+    for earlier in reversed(rounds[:-1]):
+        further = earlier.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).join(whole.select(F.col("x").alias("rep"), F.col("rep").alias("further")), "rep", "left")
+        further = space.save(further.select("rep", F.coalesce("further", "rep").alias("further"), "n"), "further")
+        whole = space.save(join_one(earlier.select("x", "rep"), further, ["rep"], "n").select("x", F.col("further").alias("rep")), "whole")
+    if len(rounds) == 1 and left > 0:  # the task has named them by their smallest
+        return whole.select(F.col("x").alias("node"), F.col("rep").alias("component"))
+    names = space.save(whole.groupBy("rep").agg(F.min("x").alias("component"), F.count(F.lit(1)).alias("n")), "names")
+    return join_one(whole, names, ["rep"], "n").select(F.col("x").alias("node"), "component")
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:

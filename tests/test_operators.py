@@ -357,6 +357,19 @@ def test_a_second_value_of_a_scheme_lets_records_join(spark):
     assert {r.cluster for r in clusters.collect()} == {"a"} and refused.count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_components_end_in_few_rounds_on_a_long_chain(spark, monkeypatch, few):
+    monkeypatch.setattr(golden, "FEW", few)
+    saved, save = [], golden.Workspace.save
+    monkeypatch.setattr(golden.Workspace, "save", lambda self, df, name, *more: (saved.append(name), save(self, df, name, *more))[1])
+    names = [f"c{k:04d}" for k in range(1200)]
+    random.Random(34).shuffle(names)
+    rows = [*zip(names, names[1:]), *((f"s{k}", "hub") for k in range(300)), ("self", "self"), ("a", None), (None, "b")]
+    got = {r.node: r.component for r in golden.components(spark.createDataFrame(rows, "a string, b string")).collect()}
+    assert got == {n: "c0000" for n in names} | {f"s{k}": "hub" for k in range(300)} | {"hub": "hub", "self": "self"}
+    assert len(saved) < 60  # a round saves two tables
+
+
 def test_weakest_union_equals_a_spanning_tree(spark):
     rng = random.Random(32)
     edges = {}
