@@ -131,15 +131,77 @@ def waiting(records: DataFrame, pairs: DataFrame, resolved: DataFrame) -> DataFr
     return per.select("rec", F.lit("review").alias("kind"), F.lit("batch_candidate").alias("reason"), F.array().cast("array<string>").alias("master_ids"), (-F.element_at("t", 1)["s"]).alias("score"), F.array_distinct(F.transform("t", lambda x: x["other"])).alias("review_with"))
 
 
+#: Edges of a component, or of what is left of all components, that one task may hold where no union is refused.
+FEW = 20_000
+
+WALKED = "component string, x string, y string, score double, refused boolean"
+
+
+def _walk(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """WALKED: each node, its cluster and the cluster's weakest union, and each refused union.
+
+    Rows have component, a, b, score and the ends' ids ia and ib, a component's
+    together and the strongest first; one component is held at a time.
+    """
+    at = None
+    parent: dict[str, str] = {}
+    known: dict[str, dict[str, set[str]]] = {}
+    least: dict[str, float] = {}
+
+    def find(x: str) -> str:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def ended() -> list[tuple]:
+        return [(at, n, root, least.get(root), None) for n in parent for root in (find(n),)]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["component", "x", "y", "score", "refused"]).astype({"score": float})
+
+    for pdf in pdfs:
+        out = []
+        for component, a, b, score, ia, ib in zip(pdf.component, pdf.a, pdf.b, pdf.score, pdf.ia, pdf.ib):
+            if component != at:
+                out += ended()
+                at, parent, known, least = component, {}, {}, {}
+            for node, values in ((a, ia), (b, ib)):
+                if node not in parent:
+                    parent[node], known[node] = node, {}
+                    for text in values if values is not None else ():
+                        scheme, _, value = text.partition("\x1f")
+                        known[node].setdefault(scheme, set()).add(value)
+            p, q = sorted((find(a), find(b)))
+            if p == q:
+                continue
+            if any(s in known[q] and not known[q][s] & v for s, v in known[p].items()):
+                out.append((component, a, b, score, True))
+                continue
+            parent[q] = p
+            for s, v in known.pop(q).items():
+                known[p].setdefault(s, set()).update(v)
+            least[p] = min(least.pop(q, score), least.get(p, score), score)
+        yield frame(out)
+    yield frame(ended())
+
+
+def _walked(edges: DataFrame) -> DataFrame:
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = edges.select("component", "a", "b", "score", "ia", "ib").repartition(width, "component")
+    return rows.sortWithinPartitions("component", F.desc("score"), "a", "b").mapInPandas(_walk, WALKED)
+
+
 def cluster(records: DataFrame, pairs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Clusters of records (rec, cluster, weakest) and the refused unions (a, b, score).
 
     Auto pairs join, the strongest first; a union that would put together a
-    scheme with no value in common is refused. A connected component in which no
-    scheme has two values can't refuse anything and is a cluster at once, however
-    large; only components where values conflict are walked edge by edge, each in
-    one task, since there every step depends on the ones before. A conflicting
-    component is as large as a chain of auto pairs that holds two identities.
+    scheme with no value in common is refused. Components are walked edge by edge,
+    each in one task, which holds one component's nodes at a time. One in which no
+    scheme has two values can't refuse anything and is a cluster however large;
+    those of more than FEW edges don't meet in a task. A conflicting component is
+    as large as a chain of auto pairs that holds two identities, and is walked
+    whole, since there every step depends on the ones before.
     ids has rec, scheme and value. A cluster is named by its smallest record.
     """
     space = Workspace(records.sparkSession, "clusters")
@@ -149,70 +211,42 @@ def cluster(records: DataFrame, pairs: DataFrame, ids: DataFrame) -> tuple[DataF
     every = space.save(records.select("rec").where("rec is not null").distinct().join(named.select(F.col("node").alias("rec"), "component"), "rec", "left").withColumn("component", F.coalesce("component", "rec")), "every")
     several = held.join(every, "rec").groupBy("component", "scheme").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select("component").distinct()
     torn = space.save(several, "torn")
-    edges = links.join(named.select(F.col("node").alias("a"), "component"), "a")
-    weak = edges.join(torn, "component", "left_anti")
-    # The weakest union of a cluster is the weakest edge of its strongest spanning tree; without refusals, the largest score s at which edges of at least s join it all.
-    whole = every.join(torn, "component", "left_anti").join(_bottleneck(weak, space), "component", "left").select("rec", F.col("component").alias("cluster"), "weakest")
-    lists = held.groupBy("rec").agg(F.collect_list(F.concat_ws("\x1f", "scheme", "value")).alias("ids"))
+    edges = space.save(links.join(named.select(F.col("node").alias("a"), "component"), "a"), "edges")
+    many = edges.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW)
+    large = space.save(many.join(torn, "component", "left_anti").select("component"), "large")
+    lists = space.save(held.groupBy("rec").agg(F.collect_list(F.concat_ws("\x1f", "scheme", "value")).alias("ids")), "ids")
     side = lambda end, name: lists.select(F.col("rec").alias(end), F.col("ids").alias(name))
-    walked = edges.join(torn, "component", "left_semi").join(side("a", "ia"), "a", "left").join(side("b", "ib"), "b", "left")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[str, str] = {}
-        known: dict[str, dict[str, set[str]]] = {}
-        least: dict[str, float] = {}
-        for node, values in [*zip(pdf.a, pdf.ia), *zip(pdf.b, pdf.ib)]:
-            parent[node] = node
-            if node not in known:
-                known[node] = {}
-                for text in values if values is not None else ():
-                    scheme, _, value = text.partition("\x1f")
-                    known[node].setdefault(scheme, set()).add(value)
-
-        def find(x: str) -> str:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        refused = []
-        for negative, x, y in sorted(zip(-pdf.score, pdf.a, pdf.b)):
-            p, q = sorted((find(x), find(y)))
-            if p == q:
-                continue
-            if any(s in known[q] and not known[q][s] & v for s, v in known[p].items()):
-                refused.append((x, y, -negative))
-                continue
-            parent[q] = p
-            for s, v in known.pop(q).items():
-                known[p].setdefault(s, set()).update(v)
-            least[p] = min(least.pop(q, -negative), least.get(p, -negative), -negative)
-        rows = [(n, find(n), least.get(find(n)), None) for n in parent] + [(x, y, s, True) for x, y, s in refused]
-        return pd.DataFrame(rows, columns=["x", "y", "score", "refused"]).astype({"score": float})
-
-    out = space.save(walked.groupBy("component").applyInPandas(walk, "x string, y string, score double, refused boolean"), "walked")
-    clusters = whole.unionAll(out.where("refused is null").select(F.col("x").alias("rec"), F.col("y").alias("cluster"), F.nanvl("score", F.lit(None).cast("double")).alias("weakest")))
+    small = edges.join(large, "component", "left_anti").join(side("a", "ia"), "a", "left").join(side("b", "ib"), "b", "left")
+    out = space.save(_walked(small), "walked")
+    placed = out.where("refused is null").select("component", F.col("x").alias("rec"), F.col("y").alias("cluster"), F.nanvl("score", F.lit(None).cast("double")).alias("weakest"))
     # A torn component's members without any edge inside it don't exist: each has an edge.
+    whole = every.join(torn, "component", "left_anti").join(large, "component", "left_anti").join(placed.select("rec", "weakest"), "rec", "left").select("rec", F.col("component").alias("cluster"), "weakest")
+    clusters = whole.unionAll(placed.join(torn, "component", "left_semi").select("rec", "cluster", "weakest"))
+    if not large.isEmpty():
+        # The weakest union of a cluster is the weakest edge of its strongest spanning tree; without refusals, the largest score s at which edges of at least s join it all.
+        tree = space.save(_bottleneck(edges.join(large, "component", "left_semi"), space), "weakest")
+        clusters = clusters.unionAll(every.join(tree, "component").select("rec", F.col("component").alias("cluster"), "weakest"))
     return clusters, out.where("refused").select(F.col("x").alias("a"), F.col("y").alias("b"), "score")
 
 
 def _bottleneck(edges: DataFrame, space: Workspace) -> DataFrame:
-    """component and weakest: the smallest score of the strongest spanning tree of each component, by rounds of each cluster's strongest edge (Boruvka)."""
-    spark = edges.sparkSession
+    """component and weakest: the smallest score of the strongest spanning tree of each component, by rounds of each cluster's strongest edge (Boruvka) until FEW edges are left, which are walked."""
     e = space.save(edges.select("component", "score", "a", "b", F.col("a").alias("p"), F.col("b").alias("q")), "tree")
-    least = None
-    while not e.isEmpty():
+    lows = []
+    while e.count() > FEW:
         order = F.struct((-F.col("score")).alias("s"), "a", "b")
         ends = e.select("component", "p", "q", order.alias("o")).unionAll(e.select("component", F.col("q").alias("p"), F.col("p").alias("q"), order.alias("o")))
         best = space.save(ends.groupBy("component", "p").agg(F.min(F.struct("o", "q")).alias("m")).select("component", "p", "m.q", (-F.col("m.o.s")).alias("s")), "best")
-        low = best.groupBy("component").agg(F.min("s").alias("weakest"))
-        least = low if least is None else least.unionAll(low)
+        lows.append(best.groupBy("component").agg(F.min("s").alias("weakest")))
         label = space.save(components(best.select(F.col("p").alias("a"), F.col("q").alias("b"))), "label")
         at = lambda end, new: label.select(F.col("node").alias(end), F.col("component").alias(new))
         moved = e.join(at("p", "np"), "p").join(at("q", "nq"), "q").where("np <> nq")
         e = space.save(moved.select("component", "score", "a", "b", F.col("np").alias("p"), F.col("nq").alias("q")), "tree")
-    if least is None:
-        return spark.createDataFrame([], "component string, weakest double")
+    none = F.lit(None).cast("array<string>")
+    rest = _walked(e.select("component", F.col("p").alias("a"), F.col("q").alias("b"), "score", none.alias("ia"), none.alias("ib")))
+    least = rest.select("component", F.col("score").alias("weakest"))
+    for low in lows:
+        least = least.unionAll(low)
     return least.groupBy("component").agg(F.min("weakest").alias("weakest"))
 
 

@@ -391,6 +391,38 @@ def test_weakest_union_equals_a_spanning_tree(spark):
     assert got == {n: (find(n), least[find(n)]) for n in parent}
 
 
+@pytest.mark.parametrize("few", [7, 20_000])
+def test_large_clusters_equal_small_ones(spark, monkeypatch, few):
+    monkeypatch.setattr(golden, "FEW", few)
+    monkeypatch.setattr(resolve, "FEW", few)
+    rng = random.Random(33)
+    edges = {}
+    for k in range(8):
+        for _ in range(20):
+            a, b = sorted(rng.sample(range(12), 2))
+            edges[f"{k}n{a:02d}", f"{k}n{b:02d}"] = rng.choice([91.0, 92.0, 95.0, round(rng.uniform(90, 100), 3)])
+    held = {f"{k}n{a:02d}": str(a % 3) for k in range(3) for a in range(0, 12, 2)} | {"4n00": "1", "4n01": "1"}
+    parent, known, least, no = {}, {}, {}, set()
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for (a, b), s in sorted(edges.items(), key=lambda e: (-e[1], e[0])):
+        p, q = sorted((find(a), find(b)))
+        if p == q:
+            continue
+        mine, theirs = (known.get(n, {held[n]} if n in held else set()) for n in (p, q))
+        if mine and theirs and not mine & theirs:
+            no.add((a, b, s))
+            continue
+        parent[q], known[p] = p, mine | theirs
+        least[p] = min(least.get(p, s), least.pop(q, s), s)
+    df = spark.createDataFrame([(a, b, s, "auto") for (a, b), s in edges.items()], PAIR)
+    recs = spark.createDataFrame([(n,) for n in [*sorted(parent), "alone"]], "rec string")
+    ids = spark.createDataFrame([(r, "S", v) for r, v in held.items()], "rec string, scheme string, value string")
+    clusters, refused = resolve.cluster(recs, df, ids)
+    got = [tuple(r) for r in clusters.collect()]
+    assert sorted(got, key=str) == sorted([(n, find(n), least.get(find(n))) for n in parent] + [("alone", "alone", None)], key=str)
+    assert no and sorted(tuple(r) for r in refused.collect()) == sorted(no)
+
+
 def test_a_batch_is_resolved_in_order(spark):
     candidates = spark.createDataFrame([("a", "M1", 95.0, "auto", None), ("b", "M1", 95.0, "auto", None), ("b", "M2", 92.0, "auto", None), ("c", "M3", 96.0, "auto", "cannot_link:S"), ("c", "M4", 70.0, "review", None)], "rec string, master_id string, score double, band string, blocked string")
     outside = spark.createDataFrame([("d", "old", 80.0, "review")], "rec string, other string, score double, band string")
