@@ -264,3 +264,24 @@ def test_declined_labels_hold_for_survivors(spark):
     labels = spark.createDataFrame([("r", "A")], "rec string, master_id string")
     merged = spark.createDataFrame([("A", "B"), ("B", "C")], "retired string, survivor string")
     assert {(r.rec, r.master_id) for r in resolve.declined(candidates, labels, merged).collect()} == {("s", "C")}
+
+
+def _chain_of_pairs(spark, folder, monkeypatch, n=600):
+    """A table of one chain of auto pairs in shuffled names, two of hr in its middle, and the names of what is saved from now on."""
+    keys = [f"{k:04d}" for k in range(n)]
+    random.Random(35).shuffle(keys)
+    recs = [("hr" if k in (n // 2, n // 2 + 1) else "crm", key) for k, key in enumerate(keys)]
+    recs[n // 2], recs[n // 2 + 1] = ("hr", "x1"), ("hr", "x2")
+    rows = [(*a, *b, 95.0) for a, b in zip(recs, recs[1:])] + [(*recs[0], *recs[-1], 70.0)]
+    spark.createDataFrame(rows, "left_system string, left_key string, right_system string, right_key string, score double").write.parquet(f"{folder}/pair_scores.parquet")
+    saved, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df, name, *more: (saved.append(name), save(self, df, name, *more))[1])
+    return [":".join(r) for r in recs], saved
+
+
+def test_union_edges_of_a_long_chain_take_few_rounds(spark, tmp_path, monkeypatch):
+    recs, saved = _chain_of_pairs(spark, tmp_path, monkeypatch)
+    got = {r.rec: (r.partner, r.score) for r in hub.QUERIES["union_edges"](spark, str(tmp_path)).collect()}
+    near = {r: [recs[j] for j in (i - 1, i + 1) if 0 <= j < len(recs)] for i, r in enumerate(recs)}
+    assert got == {r: (min(near[r], key=lambda o: sorted((r, o))), 95.0) for r in recs}
+    assert len(saved) < 10
