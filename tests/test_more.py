@@ -285,3 +285,13 @@ def test_union_edges_of_a_long_chain_take_few_rounds(spark, tmp_path, monkeypatc
     near = {r: [recs[j] for j in (i - 1, i + 1) if 0 <= j < len(recs)] for i, r in enumerate(recs)}
     assert got == {r: (min(near[r], key=lambda o: sorted((r, o))), 95.0) for r in recs}
     assert len(saved) < 10
+
+
+def test_cluster_reviews_of_a_long_chain_take_few_rounds(spark, tmp_path, monkeypatch):
+    recs, saved = _chain_of_pairs(spark, tmp_path, monkeypatch)
+    got = hub.QUERIES["cluster_reviews"](spark, str(tmp_path)).collect()
+    # Its two values of one scheme part the chain at one refused union, which comes before the review pair of its ends.
+    assert len(got) == 1 and got[0].reason == "cannot_link_conflict" and got[0].score == 95.0
+    i, j = sorted(recs.index(x) for x in (got[0].a, got[0].b))
+    assert j == i + 1 and got[0].one == min(recs[: i + 1] if got[0].a in recs[: i + 1] else recs[j:])
+    assert len(saved) < 16
