@@ -230,11 +230,8 @@ def neighbours(
     ends = found.where("what = 1").join(F.broadcast(at), "part").select(F.col("a").alias("id"), "pass", "part", (F.col("first") + F.col("pos")).alias("place"))
     later = ends.select(F.col("id").alias("id2"), F.col("pass").alias("pass2"), F.col("part").alias("part2"), F.col("place").alias("place2"))
     reach = ends.withColumn("place2", F.explode(F.sequence(F.col("place") + 1, F.col("place") + window - 1)))
-    over = (
-        reach.join(later, "place2")
-        .where("part <> part2 and pass = pass2 and id <> id2")
-        .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-    )
+    over = reach.join(later, "place2").where("part <> part2 and pass = pass2 and id <> id2")
+    over = space.save(over.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "over")
     inside = found.where("what = 0")
     if compare is None:
         return inside.select("a", "b").unionAll(over).distinct()
@@ -248,8 +245,10 @@ def neighbours(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(level, pa.int32())], ["a", "b", "levels"])
 
     # Few: less than window * window for each cut. A record tells the same under all its keys.
-    of = lambda end, name: keyed.select(F.col("id").alias(end), F.struct(*NAMES).alias(name)).join(F.broadcast(over.select(end).distinct()), end, "left_semi").dropDuplicates([end])
-    joined = over.distinct().join(of("a", "l"), "a").join(of("b", "r"), "b").select("a", "b", "l", "r")
+    reached = over.select(F.col("a").alias("id")).unionAll(over.select(F.col("b").alias("id"))).distinct()
+    met = space.save(keyed.select("id", F.struct(*NAMES).alias("told")).join(F.broadcast(reached), "id", "left_semi").dropDuplicates(["id"]), "met")
+    of = lambda end, name: met.select(F.col("id").alias(end), F.col("told").alias(name))
+    joined = over.join(of("a", "l"), "a").join(of("b", "r"), "b").select("a", "b", "l", "r")
     return inside.select("a", "b", "levels").unionAll(joined.mapInArrow(finish, "a bigint, b bigint, levels int")).distinct()
 
 
@@ -450,10 +449,8 @@ def one_to_one(edges: DataFrame, space: Workspace) -> DataFrame:
     Edges without a rival are chosen at once. Contested edges fall into connected
     sets; each is assigned exactly, whatever its size, in one task that holds it.
     """
-    both = edges.select("p", F.col("u").alias("x"), F.lit(0).alias("side")).unionAll(edges.select("p", F.col("v").alias("x"), F.lit(1).alias("side")))
-    rivals = both.groupBy("p", "x", "side").count().where("count > 1")
-    has = lambda col, side: rivals.where(f"side = {side}").select("p", F.col("x").alias(col), F.lit(True).alias(f"r_{col}"))
-    marked = edges.join(has("u", 0), ["p", "u"], "left").join(has("v", 1), ["p", "v"], "left")
+    has = lambda col: edges.groupBy("p", col).count().where("count > 1").select("p", col, F.lit(True).alias(f"r_{col}"))
+    marked = edges.join(has("u"), ["p", "u"], "left").join(has("v"), ["p", "v"], "left")
     marked = space.save(marked.select("p", "u", "v", "w", (F.col("r_u").isNotNull() | F.col("r_v").isNotNull()).alias("contested")), "marked")
     free = marked.where("not contested").select("p", "u", "v", "w")
     rest = marked.where("contested").select("p", "u", "v", "w")
@@ -469,6 +466,7 @@ def one_to_one(edges: DataFrame, space: Workspace) -> DataFrame:
     known = space.save(known, "sets")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["p", "u", "v"])  # of equally good choices the same one, in whatever order the edges come
         chosen = assign(list(zip(pdf.u, pdf.v, pdf.w)))
         return pdf[[(a, b) in chosen for a, b in zip(pdf.u, pdf.v)]][["p", "u", "v", "w"]]
 
@@ -484,6 +482,9 @@ def same_entities(records: DataFrame, kind: Kind, window: int = WINDOW) -> DataF
     nothing neither; repeated rows count once. Where the links of a group would
     join two records of one source that weren't found to be copies, only pairs
     linked themselves are given.
+
+    Each step is written before the next one is planned: the driver holds a plan,
+    its stages' threads and their generated code for as much as one query spans.
     """
     space = Workspace(records.sparkSession, f"match-{kind.entity}")
     read = space.save(_read(records, kind).withColumn("id", F.monotonically_increasing_id()), "traits")
@@ -491,11 +492,11 @@ def same_entities(records: DataFrame, kind: Kind, window: int = WINDOW) -> DataF
     keyed = keyed.select("id", F.substring("k", 1, 1).alias("pass"), F.expr("substring(k, 3)").alias("key"), *NAMES)
     found = scored(read, neighbours(keyed, space, window, kind.compare, carried_on(kind)), kind, space, whole=False)
     if found is None:  # the evidence moved the weights so far that every pair must be weighed
-        space.clear("windows", "compared")
+        space.clear("windows", "over", "met", "compared")
         found = scored(read, neighbours(keyed, space, window, kind.compare), kind, space)
     found, weights = found
     links = space.save(found, "links")
-    space.clear("windows", "compared")
+    space.clear("windows", "over", "met", "compared")
 
     # Copies within a source become one class, named by its representative.
     inner = links.where("sa = sb")
@@ -508,26 +509,28 @@ def same_entities(records: DataFrame, kind: Kind, window: int = WINDOW) -> DataF
         F.concat_ws("|", F.least("sa", "sb"), F.greatest("sa", "sb")).alias("p"),
         F.when(flip, F.col("ca")).otherwise(F.col("cb")).alias("u"), F.when(flip, F.col("cb")).otherwise(F.col("ca")).alias("v"),
     ).agg(F.max("confidence").alias("w"))
-    chosen = space.save(one_to_one(edges, space), "chosen")
-    space.clear("marked", "ends", "contested", "sets")
+    chosen = space.save(one_to_one(space.save(edges, "cross"), space), "chosen")
+    space.clear("cross", "marked", "ends", "contested", "sets")
 
     groups = contract(chosen.select("u", "v"), space, FEW).select(F.col("v").alias("class"), "rep")
     grouped = space.save(classes.join(groups, "class", "left").withColumn("group", F.coalesce("rep", "class")).drop("rep"), "grouped")
     clash = grouped.select("group", "system", "class").distinct().groupBy("group", "system").count().where("count > 1").select("group").distinct()
-    clean = grouped.join(clash, "group", "left_anti")
+    clash = space.save(clash, "clash")
+    clean = space.save(grouped.join(clash, "group", "left_anti"), "clean")
     members = clean.select(F.col("group").alias("form"), F.struct("id", "rec").alias("address_id"))
     several = clean.groupBy("group").count().where("count > 1").select(F.col("group").alias("fa"), F.col("group").alias("fb"))
     whole = expand(members, several).select("fa", F.col("a.id").alias("ix"), F.col("b.id").alias("iy"), F.col("a.rec").alias("x"), F.col("b.rec").alias("y"))
     direct = links.select(F.col("a").alias("ix"), F.col("b").alias("iy"), "confidence")
     whole = space.save(whole.join(direct, ["ix", "iy"], "left").select("ix", "iy", "x", "y", "confidence"), "whole")
-    told = rated(whole.where("confidence is null"), read, kind, weights)
+    told = space.save(rated(whole.where("confidence is null"), read, kind, weights), "rated")
     whole = whole.join(told, ["ix", "iy"], "left").select("x", "y", F.coalesce("confidence", "rated").alias("confidence"))
 
-    torn = grouped.join(clash, "group", "left_semi").select("id", "rec", "class")
+    torn = space.save(grouped.join(clash, "group", "left_semi").select("id", "rec", "class"), "torn")
     kept = chosen.select(F.least("u", "v").alias("c1"), F.greatest("u", "v").alias("c2")).distinct()
     some = links.join(torn.select(F.col("id").alias("a"), F.col("rec").alias("x"), F.col("class").alias("cx")), "a").join(torn.select(F.col("id").alias("b"), F.col("rec").alias("y"), F.col("class").alias("cy")), "b")
     some = some.withColumns({"c1": F.least("cx", "cy"), "c2": F.greatest("cx", "cy")}).join(kept.withColumn("kept", F.lit(True)), ["c1", "c2"], "left")
-    some = some.where("kept or cx = cy").select("x", "y", "confidence")
+    some = space.save(some.where("kept or cx = cy").select("x", "y", "confidence"), "some")
+    space.clear("traits", "links", "classes", "chosen", "grouped", "clash", "clean", "torn")
     return whole.unionAll(some).select(F.least("x", "y").alias("left_rec"), F.greatest("x", "y").alias("right_rec"), F.round("confidence", 6).alias("confidence")).distinct()
 
 
